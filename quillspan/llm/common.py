@@ -1,41 +1,19 @@
-"""Helpers shared by the training-data operators: shared folders, row keys, tokenizer files."""
+"""Helpers shared by the training-data operators."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.storage import materialise, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["materialise", "shared_dir", "single_threaded_tokenizers", "table", "tokenizer_path", "with_text"]
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new path below the cluster's shared checkpoint folder.
-
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset (tests on one
-    machine) a folder of our own is chosen and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspan-"))
-            found = spark.sparkContext.getCheckpointDir()
-        base = found
-    return f"{base.rstrip('/')}/quillspan-{what}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, lost executors cost a re-read only."""
-    spark = df.sparkSession
-    path = shared_dir(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def with_text(docs: DataFrame, *columns: str) -> DataFrame:

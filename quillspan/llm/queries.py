@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe
+from .simhash import op9_simhash
 from .tokencount import op7_token_counts
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op7_token_counts": op7_token_counts,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
