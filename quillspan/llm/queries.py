@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe
+from .packing import op8_packing
 from .simhash import op9_simhash
 from .tokencount import op7_token_counts
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op7_token_counts": op7_token_counts,
+    "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
 }
 
