@@ -6,9 +6,11 @@ from .bpe import op1_bpe
 from .packing import op8_packing
 from .simhash import op9_simhash
 from .tokencount import op7_token_counts
+from .tokenfile import op5_token_shards
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op5_token_shards": op5_token_shards,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
