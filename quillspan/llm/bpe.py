@@ -27,29 +27,28 @@ LONG_WORD = 64
 #: Distinct words and tokens given to one query; they bound memory.
 WORDS_AT_ONCE, TOKENS_AT_ONCE = 60_000, 1_500_000
 
-_NEIGHBOURS = """
-    SELECT p.w, p.pos, p.id, {extra}, m.rank
-    FROM (SELECT w, pos, id, lead(id) OVER q AS nid, {window} FROM s WHERE live
-          WINDOW q AS (PARTITION BY w ORDER BY pos)) p
-    LEFT JOIN merges m ON m.pair = p.id::BIGINT * 65536 + p.nid"""
-
-#: One contraction a step: of the least (rank, position) of each word.
-CONTRACT = f"""
-WITH RECURSIVE s(w, pos, id, live) AS (
-  SELECT w, pos, id, true FROM start_rows
+#: One contraction a step: of the least (rank, position) of each word.  ``spot`` is word * 256 + position.
+CONTRACT = """
+WITH RECURSIVE s(spot, id, live) AS (
+  SELECT w::BIGINT * 256 + pos, id, true FROM start_rows
   UNION ALL
-  SELECT w, pos, CASE WHEN pos = spot THEN rank ELSE id END, rank IS NOT NULL
-  FROM (SELECT w, pos, id, before, least // 1048576 AS rank, least % 1048576 AS spot
-        FROM (SELECT w, pos, id, before, min(rank::BIGINT * 1048576 + pos) OVER (PARTITION BY w) AS least
-              FROM ({_NEIGHBOURS.format(extra="p.before", window="lag(pos) OVER q AS before")})))
-  WHERE before IS DISTINCT FROM spot OR spot IS NULL
+  (WITH pairs AS MATERIALIZED (
+     SELECT spot, id, lead(id) OVER (ORDER BY spot) AS next_id, lead(spot) OVER (ORDER BY spot) AS next_spot FROM s WHERE live
+   ), ranked AS MATERIALIZED (
+     SELECT p.spot, p.id, p.next_spot, m.rank::BIGINT * 256 + p.spot % 256 AS place
+     FROM pairs p LEFT JOIN merges m ON m.pair = p.id::BIGINT * 65536 + p.next_id AND p.spot // 256 = p.next_spot // 256
+   ), best AS MATERIALIZED (
+     SELECT spot // 256 AS w, min(place) AS place, arg_min(next_spot, place) AS gone FROM ranked WHERE place IS NOT NULL GROUP BY ALL
+   )
+   SELECT r.spot, CASE WHEN r.place = b.place THEN b.place // 256 ELSE r.id END, b.w IS NOT NULL
+   FROM ranked r LEFT JOIN best b ON r.spot // 256 = b.w WHERE b.gone IS DISTINCT FROM r.spot)
 )
-SELECT w, list(id ORDER BY pos) AS ids FROM s WHERE NOT live GROUP BY w ORDER BY w
+SELECT spot // 256 AS w, list(id ORDER BY spot) AS ids FROM s WHERE NOT live GROUP BY ALL ORDER BY w
 """
 
 #: All of a word's pairs of the least rank a step, every other one where they overlap.  A merge makes pairs of
 #: higher rank only, since each token's own bytes encode to that token, so this equals one at a time.
-CONTRACT_LONG = f"""
+CONTRACT_LONG = """
 WITH RECURSIVE s(w, pos, id, live) AS (
   SELECT w, pos, id, true FROM start_rows
   UNION ALL
@@ -60,7 +59,10 @@ WITH RECURSIVE s(w, pos, id, live) AS (
                            max(CASE WHEN NOT hit THEN n ELSE 0 END) OVER (PARTITION BY w ORDER BY pos) AS missed
                     FROM (SELECT w, pos, id, n, least, coalesce(rank = least, false) AS hit
                           FROM (SELECT w, pos, id, n, rank, min(rank) OVER (PARTITION BY w) AS least
-                                FROM ({_NEIGHBOURS.format(extra="p.n", window="row_number() OVER q AS n")}))))))
+                                FROM (SELECT p.w, p.pos, p.id, p.n, m.rank
+                                      FROM (SELECT w, pos, id, lead(id) OVER q AS nid, row_number() OVER q AS n
+                                            FROM s WHERE live WINDOW q AS (PARTITION BY w ORDER BY pos)) p
+                                      LEFT JOIN merges m ON m.pair = p.id::BIGINT * 65536 + p.nid))))))
   WHERE gone IS NOT TRUE
 )
 SELECT w, list(id ORDER BY pos) AS ids FROM s WHERE NOT live GROUP BY w ORDER BY w
@@ -195,7 +197,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         engine, encode = engine_for(path, pattern)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            step = 400
+            step = 1000
             for k in range(0, len(texts), step):
                 ids = encode(texts[k : k + step])
                 decoded = engine.decode(ids)

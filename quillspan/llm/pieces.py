@@ -75,7 +75,7 @@ class LevelEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cuts = [cut_level(t) if t else [] for t in texts]
-        if sum(map(len, texts)) > 2_000_000 and len(texts) > 1:  # one part's pieces must fit in the cache
+        if sum(map(len, texts)) > 4_000_000 and len(texts) > 1:  # one part's pieces must fit in the cache
             half = len(texts) // 2
             return self(texts[:half]) + self(texts[half:])
         self.cache.add(p for cut in cuts if cut for p in cut)
