@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe
+from .langid import op2_language_id
 from .packing import op8_packing
+from .pii import op4_pii
 from .simhash import op9_simhash
 from .tokencount import op7_token_counts
 from .tokenfile import op5_token_shards
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_language_id": op2_language_id,
+    "op4_pii": op4_pii,
     "op5_token_shards": op5_token_shards,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
