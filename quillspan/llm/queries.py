@@ -7,6 +7,7 @@ from .langid import op2_language_id
 from .packing import op8_packing
 from .pii import op4_pii
 from .simhash import op9_simhash
+from .suffixdedup import op10_suffix_dedup
 from .tokencount import op7_token_counts
 from .tokenfile import op5_token_shards
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
