@@ -10,16 +10,19 @@ from .simhash import op9_simhash
 from .suffixdedup import op10_suffix_dedup
 from .tokencount import op7_token_counts
 from .tokenfile import op5_token_shards
+from .topk import SQL as TOP_K_SQL
+from .topk import op6_top_k
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_language_id": op2_language_id,
     "op4_pii": op4_pii,
     "op5_token_shards": op5_token_shards,
+    "op6_top_k": op6_top_k,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_top_k": TOP_K_SQL}
