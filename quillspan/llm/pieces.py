@@ -28,12 +28,13 @@ class PieceCache:
         self.encode, self.entries, self.known = encode, entries, {}
 
     def add(self, pieces: Iterable) -> None:
-        fresh = [p for p in set(pieces) if p not in self.known]
+        wanted = set(pieces)
+        fresh = [p for p in wanted if p not in self.known]
         if not fresh:
             return
         if len(self.known) + len(fresh) > self.entries:
             self.known.clear()
-            fresh = list(set(pieces))
+            fresh = list(wanted)
         self.known.update(zip(fresh, self.encode(fresh)))
 
 
