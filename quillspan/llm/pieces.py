@@ -70,9 +70,10 @@ class LevelEncoder:
         self.cache = PieceCache(lambda pieces: self._encode(pieces, encode), entries)
 
     def _encode(self, pieces: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes | None]:
-        good = [p for p in pieces if p[0] == _WHOLE or is_plain(p)]
-        found = dict(zip(good, encode([piece_text(p) for p in good])))
-        return [found.get(p) for p in pieces]
+        words = [self.find_all(piece_text(p)) if p[0] == _WHOLE or is_plain(p) else None for p in pieces]
+        distinct = list({w for found in words if found for w in found})
+        ids = dict(zip(distinct, encode(distinct)))
+        return [None if found is None else b"".join([ids[w] for w in found]) for found in words]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cuts = [cut_level(t) if t else [] for t in texts]
@@ -95,19 +96,61 @@ class LevelEncoder:
         return out
 
 
+def level_characters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte, for ``str.translate`` of Latin-1 text."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
+class ModelIds:
+    """Ids of single pre-tokenized words from the model of a tokenizers library tokenizer."""
+
+    def __init__(self, library):
+        self.tokenize, self.characters = library.model.tokenize, level_characters()
+
+    def __call__(self, word: str) -> bytes:
+        found = self.tokenize(word.encode().decode("latin-1").translate(self.characters))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+
 class WordEncoder:
     """Encodes texts for a vocabulary that drops white space and never looks across it.
 
-    The ids of a text are those of its chunks between ASCII white space; the library encodes each distinct chunk once
-    as long as the cache holds it.  ``library`` is a tokenizers.Tokenizer.
+    The ids of a text are those of its chunks between ASCII white space; each distinct chunk is encoded once as long
+    as the cache holds it.  Chunks of ASCII and precomposed Latin letters are lower-cased and cut here as the file's
+    normalizer and pre-tokenizer do it, and the library's model encodes their words; all others go through the whole
+    library.  ``library`` is a tokenizers.Tokenizer.
     """
 
+    #: The pattern of the vocabulary file's pre-tokenizer.
+    WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    SIMPLE = r"[!-~\u00c0-\u012f\u0131-\u017e]+"
+
     def __init__(self, library, entries: int = CACHE_ENTRIES):
-        self.library = library
+        import regex
+
+        self.library, self.model = library, ModelIds(library)
+        self.simple, self.words = re.compile(self.SIMPLE).fullmatch, regex.compile(self.WORDS).findall
+        self.added = [t.content for t in library.get_added_tokens_decoder().values()]
         self.cache = PieceCache(self._encode, entries)
 
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        return library_ids(self.library, [c.decode() for c in chunks])
+        words: dict[str, bytes] = {}
+        out, whole = [], []
+        for i, text in enumerate(c.decode() for c in chunks):
+            if not self.simple(text) or any(a in text for a in self.added):
+                whole.append((i, text))
+                out.append(b"")
+                continue
+            found = self.words(text.lower())
+            for w in found:
+                if w not in words:
+                    words[w] = self.model(w)
+            out.append(words[found[0]] if len(found) == 1 else b"".join([words[w] for w in found]))
+        for (i, _), ids in zip(whole, library_ids(self.library, [t for _, t in whole])):
+            out[i] = ids
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""

@@ -32,29 +32,20 @@ _counters: dict = {}
 
 
 def word_counter(path: str):
-    """A function from texts to token counts for a vocabulary that drops white space and never looks across it.
-
-    ASCII white space parts a text into chunks whose ids, one after another, are the text's.  The library encodes
-    each distinct chunk once as long as the worker's cache holds it.
-    """
+    """A function from texts to token counts for a vocabulary that drops white space and never looks across it."""
     if path not in _counters:
         single_threaded_tokenizers()
         from tokenizers import Tokenizer
 
-        library, known = Tokenizer.from_file(path), {}
-        from .pieces import CACHE_ENTRIES
+        from .pieces import PieceCache, WordEncoder
+
+        encoder = WordEncoder(Tokenizer.from_file(path))
+        cache = PieceCache(lambda chunks: [len(ids) // 4 for ids in encoder._encode(chunks)])
 
         def count(texts: list[str]) -> list[int]:
-            chunks = [t.encode().split() for t in texts]
-            fresh = list({c for cut in chunks for c in cut if c not in known})
-            if len(known) + len(fresh) > CACHE_ENTRIES:
-                known.clear()
-                fresh = list({c for cut in chunks for c in cut})
-            for k in range(0, len(fresh), 2000):
-                part = fresh[k : k + 2000]
-                found = library.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-                known.update(zip(part, map(len, found)))
-            return [sum(map(known.__getitem__, cut)) for cut in chunks]
+            cuts = [t.encode().split() for t in texts]
+            cache.add(c for cut in cuts for c in cut)
+            return [sum(map(cache.known.__getitem__, cut)) for cut in cuts]
 
         _counters[path] = count
     return _counters[path]

@@ -185,18 +185,20 @@ _encoders: dict = {}
 def level_encoder(path: str, pattern: str):
     """The worker's encoder of texts to id bytes for a byte-level vocabulary of the tokenizers library.
 
-    A text that holds an added token's string goes to the library as a whole.
+    The pattern cuts a text into words and the library's model encodes them; a text that holds an added token's string
+    goes to the library as a whole.
     """
     if (path, pattern) not in _encoders:
         single_threaded_tokenizers()
         import regex
         from tokenizers import Tokenizer
 
-        from .pieces import LevelEncoder, library_ids
+        from .pieces import LevelEncoder, ModelIds, library_ids
 
         library = Tokenizer.from_file(path)
         added = [t.content for t in library.get_added_tokens_decoder().values()]
-        by_piece = LevelEncoder(regex.compile(pattern).findall, lambda pieces: library_ids(library, pieces))
+        model = ModelIds(library)
+        by_piece = LevelEncoder(regex.compile(pattern).findall, lambda words: [model(w) for w in words])
 
         def encode(texts: list[str]) -> list[bytes]:
             whole = [any(a in t for a in added) for t in texts]
