@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe
+from .gridjoin import SQL as EMBEDDING_SQL
+from .gridjoin import op3_embedding_dedup
 from .langid import op2_language_id
 from .packing import op8_packing
 from .pii import op4_pii
@@ -16,6 +18,7 @@ from .topk import op6_top_k
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_language_id": op2_language_id,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_pii": op4_pii,
     "op5_token_shards": op5_token_shards,
     "op6_top_k": op6_top_k,
@@ -25,4 +28,4 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_top_k": TOP_K_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": EMBEDDING_SQL, "op6_top_k": TOP_K_SQL}
