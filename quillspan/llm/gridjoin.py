@@ -187,6 +187,8 @@ def spanning_links(near):
             at = np.flatnonzero(new_rows)
             new_columns = near[at].any(axis=0) & ~columns
             found = np.flatnonzero(new_columns)
+            if not len(found):
+                break
             out += zip(at[near[np.ix_(at, found)].argmax(axis=0)].tolist(), found.tolist())
             columns |= new_columns
             new_rows = near[:, found].any(axis=1) & rows_left
