@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from quillspan.plans import retrieval
 
-
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+AREAS = [retrieval]
+QUERIES = {name: query for area in AREAS for name, query in area.QUERIES.items()}
+ORACLE_SQL = {name: sql for area in AREAS for name, sql in area.ORACLE_SQL.items()}
+FLAGSHIP = retrieval.merged_rank
