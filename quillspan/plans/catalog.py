@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspan.plans import retrieval
+from quillspan.plans import audit, memory, network, retrieval
 
-AREAS = [retrieval]
+AREAS = [retrieval, network, memory, audit]
 QUERIES = {name: query for area in AREAS for name, query in area.QUERIES.items()}
 ORACLE_SQL = {name: sql for area in AREAS for name, sql in area.ORACLE_SQL.items()}
 FLAGSHIP = retrieval.merged_rank
