@@ -101,7 +101,7 @@ def canonical_label(label: Column) -> Column:
 def statement_type(kind: Column) -> Column:
     """A slug of at most 40 characters for the type of a statement."""
     slug = F.regexp_replace(F.lower(F.trim(kind)), r"[^a-z0-9_]+", "_")
-    return F.trim(F.lit("_"), F.substring(F.regexp_replace(slug, "_+", "_"), 1, 40))
+    return F.trim(F.substring(F.regexp_replace(slug, "_+", "_"), 1, 40), F.lit("_"))
 
 
 def hook(title: Column, content: Column, terms: Column, cap: int = 120) -> Column:

@@ -4,7 +4,8 @@ Each partition first replaces its edges by a spanning forest of stars.  Then lar
 (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014) join edges with the least neighbour of each
 node until nothing changes, a number of rounds that grows with the logarithm of the graph's size.  A round
 aggregates before it shuffles and joins by plain equality, so a node with very many neighbours is split as a skewed
-join.  Each round's edges are written to the shared folder.
+join.  Each round's edges are written to the shared folder.  A forest that one task's memory surely holds, at most
+``ONE_TASK`` rows, is finished there instead.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from quillspan.storage import materialise
 
+ONE_TASK = 100_000
+
 
 class UnionFind:
     """Disjoint sets whose root is the least member."""
@@ -76,8 +79,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     state = materialise(pairs.mapInArrow(_contract, "u long, v long").distinct(), "components")
-    seen = None
-    while True:
+    small, seen = state.count() <= ONE_TASK, None
+    if small:
+        state = materialise(state.coalesce(1).mapInArrow(_contract, "u long, v long"), "components")
+    while not small:
         mark = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).collect()[0]
         if mark[0] == 0 or mark == seen:
             break

@@ -14,7 +14,7 @@ def age_days(date: Column, now: Column) -> Column:
 
 def recency(date: Column, now: Column) -> Column:
     """1 today, one half at 30 days; null for no date."""
-    return 1 / (1 + F.greatest(age_days(date, now), F.lit(0.0)) / 30)
+    return F.when(date.isNotNull(), 1 / (1 + F.greatest(age_days(date, now), F.lit(0.0)) / 30))
 
 
 def engagement(rows: DataFrame, attention: str = "attention", source: str = "source") -> DataFrame:

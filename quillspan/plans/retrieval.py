@@ -197,7 +197,7 @@ p AS (SELECT a.grp, a.signal, a.source AS source_a, b.source AS source_b, a.pos
 r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY ratio DESC, pos_a, pos_b, signal) AS nth FROM p WHERE ratio IS NOT NULL)
 SELECT grp, signal, source_a, source_b, pos_a, pos_b, CASE WHEN isinf(ratio) THEN ratio ELSE round(ratio * pow(10.0, 2 - floor(log10(ratio)))) / pow(10.0, 2 - floor(log10(ratio))) END AS ratio, nth::INTEGER AS nth FROM r WHERE nth <= 3""",
     "merged_rank": f"""WITH RECURSIVE {DOCS}, {SURVIVORS}, {SCORED.replace('FROM docs)', 'FROM survivors)')}, {ENG.format('survivors')},
-aged AS (SELECT pos, 1 / (1 + greatest(0, (epoch(TIMESTAMP '{NOW}') - epoch(date)) / 86400) / 30) AS rec FROM survivors),
+aged AS (SELECT pos, CASE WHEN date IS NOT NULL THEN 1 / (1 + greatest(0, (epoch(TIMESTAMP '{NOW}') - epoch(date)) / 86400) / 30) END AS rec FROM survivors),
 med AS (SELECT list_sort(list(rec))[len(list(rec)) // 2 + 1] AS m FROM aged WHERE rec IS NOT NULL),
 blend AS (SELECT e.pos, e.source, e.corroboration, e.date, e.title, e.content, (0.6 * s.score / (SELECT max(score) FROM scored) + 0.25 * coalesce(a.rec, (SELECT m FROM med)) + 0.15 * e.eng) * (1 + 0.15 * least(1, (e.corroboration - 1) / 3)) AS c
   FROM engaged e JOIN scored s USING (pos) JOIN aged a USING (pos)),
