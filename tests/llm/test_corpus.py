@@ -76,7 +76,9 @@ def test_simhash(spark, docs, monkeypatch, chunk):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 100_000])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr("quillspan.operators.components.ONE_TASK", one_task)
     rng = random.Random(2)
     pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, i) for i in range(5001, 5200)]
     edges = spark.createDataFrame([*pairs, (None, 3), (7, 7)], "src long, dst long").repartition(8)
