@@ -3,8 +3,8 @@
 Each partition first replaces its edges by a spanning forest of stars.  Then large-star and small-star rounds
 (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014) join edges with the least neighbour of each
 node until nothing changes, a number of rounds that grows with the logarithm of the graph's size.  A round
-aggregates before it shuffles and joins by plain equality, so a node with very many neighbours is split as a skewed
-join.  Each round's edges are written to the shared folder.  A forest that one task's memory surely holds, at most
+aggregates before it shuffles; the result is written, so that the join has plain inputs and a node with very many
+neighbours is split as a skewed one.  Each round's edges are written to the shared folder.  A forest that one task's memory surely holds, at most
 ``ONE_TASK`` rows, is finished there instead.
 """
 
@@ -62,12 +62,12 @@ def _contract(batches: Iterator) -> Iterator:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
