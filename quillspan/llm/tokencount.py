@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, single_threaded_tokenizers, table, tokenizer_path, with_text
+from .common import materialise, shared_dir, single_threaded_tokenizers, table, tokenizer_path, with_text
 
 CACHE = T.StructType([T.StructField("tokenizer", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
@@ -79,7 +79,8 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = 2048) -> D
     counted = misses.mapInArrow(encode, "digest binary, n_tokens long").select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
     counted.write.mode("append").parquet(cache)
     stored = read_cache(spark, cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
-    counts = stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # two runs at once may both append
+    # two runs at once may both append; written, so that the join can split a text that very many documents share
+    counts = materialise(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     sized = texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return sized.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
