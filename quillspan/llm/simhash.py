@@ -120,6 +120,7 @@ def links(distinct_fps: DataFrame, distance: int = 4, blocks: int = 6) -> DataFr
     keys = F.explode(F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks))))
     keyed = distinct_fps.select("fp", keys.alias("key"))
     shared = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / CHUNK).alias("chunks"))
+    shared = materialise(shared, "shared-keys")  # so that the join can split a key with very many fingerprints
     met = keyed.join(shared, "key").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")))
     partners = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: F.xxhash64("key", F.least(c, F.col("chunk")), F.greatest(c, F.col("chunk"))))
     cells = met.select("fp", F.explode(F.when(F.col("chunks") == 1, F.array("key")).otherwise(partners)).alias("cell"))
@@ -133,7 +134,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4) -> DataF
     by_fp = fps.groupBy("fp").agg(least)
     roots = connected_components(links(by_fp.select("fp"), distance)).withColumnsRenamed({"node": "fp"})
     joined = by_fp.join(roots, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    firsts = joined.groupBy("root").agg(F.min("first").alias("first"))
+    firsts = materialise(joined.groupBy("root").agg(F.min("first").alias("first")), "firsts")
     by_fp = joined.select("fp", "root").join(firsts, "root").select("fp", "first")
     return fps.join(by_fp, "fp")
 
