@@ -32,7 +32,7 @@ from .common import materialise, table
 
 WIDTH, KMER = 400, 64
 #: Bytes of segments that are sorted at once (a value's segments stay together) and from which a value is trimmed.
-SORT_BYTES, TRIM_BYTES = 1 << 19, 1 << 22
+SORT_BYTES, TRIM_BYTES = 1 << 19, 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list = []
 
@@ -241,7 +241,7 @@ def trimmed(parts: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(some.column(c).take(owner) for c in ("key", "value", "copies")), pa.array(np.concatenate(found).view(np.int64))], ["key", "value", "copies", "ends"])
 
     windows = materialise(parts.mapInArrow(ends, "key binary, value long, copies long, ends long"), "window-ends")
-    again = windows.groupBy("value", "ends").agg(F.sum("copies").alias("n")).where("n > 1").select("value", "ends")
+    again = materialise(windows.groupBy("value", "ends").agg(F.sum("copies").alias("n")).where("n > 1").select("value", "ends"), "ends")
     wanted = windows.join(again, ["value", "ends"]).groupBy("key").agg(F.collect_set("ends").alias("wanted"))
 
     def cut(batches: Iterator) -> Iterator:
@@ -292,10 +292,11 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), digests, pa.array(np.concatenate(counts), pa.int64())], ["value", "digest", "n"])
 
     found = materialise(keyed.select("text", "digest").mapInArrow(find, "value long, digest binary, n long"), "anchors")
-    again = found.groupBy("value").agg(F.sum("n").alias("n")).where("n > 1").select("value")
+    # aggregates are written before they are joined: only joins of plain inputs are split where a value or text is hot
+    again = materialise(found.groupBy("value").agg(F.sum("n").alias("n")).where("n > 1").select("value"), "values")
     wanted = found.join(again, "value").groupBy("digest").agg(F.collect_set("value").alias("values"))
     classes = keyed.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
-    info = wanted.join(classes, "digest")
+    info = materialise(wanted.join(classes, "digest"), "wanted")
     mine = keyed.join(info, "digest").where(F.col("doc_id").eqNullSafe(F.col("first")))
     mine = mine.select("digest", "text", "values", "copies").dropDuplicates(["digest"])
 
@@ -351,7 +352,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text``."""
     names, schema = docs.columns, docs.schema
     digest = F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32))
-    joined = docs.withColumn("_digest", digest).join(repeated_spans(docs, width).withColumnsRenamed({"digest": "_digest", "firsts": "_firsts", "lasts": "_lasts"}), "_digest", "left").drop("_digest")
+    joined = docs.withColumn("_digest", digest).join(materialise(repeated_spans(docs, width), "spans").withColumnsRenamed({"digest": "_digest", "firsts": "_firsts", "lasts": "_lasts"}), "_digest", "left").drop("_digest")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -383,8 +384,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, kinds)], ["digest", "n_removed", "n_spans", "kept_sha256"])
 
     firsts = texts.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    cuts = texts.join(spans.join(firsts, "digest"), "digest").where(F.col("doc_id").eqNullSafe(F.col("first")))
+    cuts = texts.join(materialise(spans.join(firsts, "digest"), "first-spans"), "digest").where(F.col("doc_id").eqNullSafe(F.col("first")))
     cuts = cuts.select("digest", "text", "firsts", "lasts").mapInArrow(cut, "digest binary, n_removed long, n_spans long, kept_sha256 string")
-    cuts = cuts.dropDuplicates(["digest"])
+    cuts = materialise(cuts.dropDuplicates(["digest"]), "cuts")
     rows = texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")).join(cuts, "digest", "left")
     return rows.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
