@@ -271,7 +271,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     roots = connected_components(found.where("dst IS NOT NULL").select("src", "dst")).withColumnsRenamed({"node": "class", "component": "root"})
     known = placed.select("class", "embedding", "n", "first").join(links, "class", "left").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     known = materialise(known, "known")
-    firsts = known.groupBy("root").agg(F.min("first").alias("component_id"))
+    firsts = materialise(known.groupBy("root").agg(F.min("first").alias("component_id")), "firsts")
     known = known.join(firsts, "root").select("embedding", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     linked = rows.where("sound").select("vec_id", "embedding").join(known, "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
