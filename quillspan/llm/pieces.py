@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 #: Entries kept per worker process; a full cache starts anew.  It bounds memory and never changes a result.
 CACHE_ENTRIES = 700_000
@@ -70,17 +71,25 @@ class LevelEncoder:
         self.cache = PieceCache(lambda pieces: self._encode(pieces, encode), entries)
 
     def _encode(self, pieces: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes | None]:
-        words = [self.find_all(piece_text(p)) if p[0] == _WHOLE or is_plain(p) else None for p in pieces]
+        words = [self._words(p) for p in pieces]
         distinct = list({w for found in words if found for w in found})
         ids = dict(zip(distinct, encode(distinct)))
         return [None if found is None else b"".join([ids[w] for w in found]) for found in words]
 
+    def _words(self, piece: str) -> list[str] | None:
+        """The matches of a piece; letters alone, and letters before one mark, are known without the pattern."""
+        if piece.isalpha():
+            return [f" {piece}"]
+        if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+            return [f" {piece[:-1]}", piece[-1]]
+        return self.find_all(piece_text(piece)) if piece[0] == _WHOLE or is_plain(piece) else None
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         cuts = [cut_level(t) if t else [] for t in texts]
         if sum(map(len, texts)) > 4_000_000 and len(texts) > 1:  # one part's pieces must fit in the cache
             half = len(texts) // 2
             return self(texts[:half]) + self(texts[half:])
-        self.cache.add(p for cut in cuts if cut for p in cut)
+        self.cache.add(chain.from_iterable(cut for cut in cuts if cut))
         known, out = self.cache.known, [None] * len(texts)
         for i, cut in enumerate(cuts):
             if cut is not None:
@@ -110,7 +119,8 @@ class ModelIds:
         self.tokenize, self.characters = library.model.tokenize, level_characters()
 
     def __call__(self, word: str) -> bytes:
-        found = self.tokenize(word.encode().decode("latin-1").translate(self.characters))
+        plain = word.isascii() and word.isprintable()  # only the blank is written otherwise
+        found = self.tokenize(word.replace(" ", self.characters[32]) if plain else word.encode().decode("latin-1").translate(self.characters))
         return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
 
@@ -143,7 +153,8 @@ class WordEncoder:
                 whole.append((i, text))
                 out.append(b"")
                 continue
-            found = self.words(text.lower())
+            low = text.lower()
+            found = [low] if low.isalpha() else self.words(low)
             for w in found:
                 if w not in words:
                     words[w] = self.model(w)
@@ -158,7 +169,7 @@ class WordEncoder:
         out = []
         for k in range(0, len(cuts), 400):
             part = cuts[k : k + 400]
-            self.cache.add(c for cut in part for c in cut)
+            self.cache.add(chain.from_iterable(part))
             known = self.cache.known
             out += [b"".join(map(known.__getitem__, cut)) for cut in part]
         return out

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def word_counter(path: str):
 
         def count(texts: list[str]) -> list[int]:
             cuts = [t.encode().split() for t in texts]
-            cache.add(c for cut in cuts for c in cut)
+            cache.add(chain.from_iterable(cuts))
             return [sum(map(cache.known.__getitem__, cut)) for cut in cuts]
 
         _counters[path] = count
