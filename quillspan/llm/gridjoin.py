@@ -78,28 +78,37 @@ def projected(classes: DataFrame, epsilon: float, bases: dict) -> DataFrame:
 
 
 def in_sequence(rows: DataFrame) -> DataFrame:
-    """``rows`` sorted by grid order, with their interval (part, block) and place ``pos`` in it; blocks hold one ``dim``."""
+    """``rows`` in grid order, cut into intervals: with their ``block`` and place ``pos`` in it; a block holds one ``dim``.
+
+    Tasks count their own rows; the driver adds up the counts, a row for each task and length of vectors.  So intervals
+    depend on the sequence alone and not on how many tasks sorted it.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, block, pos, last = TaskContext.get().partitionId(), -1, BLOCK_ROWS, None
+        part, place, last = TaskContext.get().partitionId(), 0, None
         for batch in batches:
-            blocks, places = [], []
+            places = []
             for dim in batch.column("dim").to_pylist():
-                if pos >= BLOCK_ROWS or dim != last:
-                    block, pos, last = block + 1, 0, dim
-                blocks.append(block)
-                places.append(pos)
-                pos += 1
-            extra = [pa.array(np.full(len(blocks), part, np.int32)), pa.array(blocks, pa.int64()), pa.array(places, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "part", "block", "pos"])
+                place, last = (place + 1 if dim == last else 0), dim
+                places.append(place)
+            extra = [pa.array(np.full(len(places), part, np.int32)), pa.array(places, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "part", "place"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     ordered = rows.repartitionByRange("dim", "cells", "embedding").sortWithinPartitions("dim", "cells", "embedding")
-    return ordered.mapInArrow(run, f"{kinds}, part int, block long, pos long")
+    counted = materialise(ordered.mapInArrow(run, f"{kinds}, part int, place long"), "sequence")
+    starts, total, last = [], 0, None
+    for dim, part, n in sorted(tuple(r) for r in counted.groupBy("dim", "part").agg(F.max("place") + 1).collect()):
+        total = total if dim == last else -(-total // BLOCK_ROWS) * BLOCK_ROWS
+        starts.append((dim, part, total))
+        total, last = total + n, dim
+    bases = rows.sparkSession.createDataFrame(starts, "dim int, part int, base long")
+    placed = counted.join(F.broadcast(bases), ["dim", "part"]).withColumn("class", F.col("base") + F.col("place")).drop("part", "place", "base")
+    return placed.withColumns({"block": F.floor(F.col("class") / BLOCK_ROWS).cast("long"), "pos": F.col("class") % BLOCK_ROWS})
 
 
 def interval_pairs(boxes: DataFrame, count: int, epsilon: float) -> DataFrame:
@@ -258,14 +267,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     sound = is_sound(F.col("embedding")) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     classes = materialise(rows.where("sound").groupBy("embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("first")), "classes")
-    placed = materialise(in_sequence(projected(classes, epsilon, rotations(classes))), "sequence")
-    before, starts = 0, []
-    for part, n in sorted(tuple(r) for r in placed.groupBy("part").agg(F.max("block") + 1).collect()):  # a row for each task of the sort
-        starts.append((part, before))
-        before += n
-    bases = placed.sparkSession.createDataFrame(starts, "part int, base long")
-    placed = placed.join(F.broadcast(bases), "part").withColumn("block", F.col("base") + F.col("block"))
-    placed = placed.withColumn("class", F.col("block") * BLOCK_ROWS + F.col("pos"))
+    placed = in_sequence(projected(classes, epsilon, rotations(classes)))
     found = class_links(placed, least, epsilon)
     links = found.where("dst IS NULL").groupBy(F.col("src").alias("class")).agg(F.sum("links").alias("others"))
     roots = connected_components(found.where("dst IS NOT NULL").select("src", "dst")).withColumnsRenamed({"node": "class", "component": "root"})
