@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as X
 from quillspan.operators import rank, recall, relevance, resolve
+from quillspan.storage import materialise
 
 QUERY = "the tion of and erthe with 9 a"
 NOW = "2025-02-01 00:00:00"
@@ -117,14 +118,16 @@ def signal_divergence(spark, sf_dir):
 
 def merged_rank(spark, sf_dir, limit: int = 25):
     """Flagship: deduplicate all candidates, score, blend and cut, with the stamps of each survivor."""
-    members = resolve.grouped(corpus(spark, sf_dir))
-    kept = resolve.survivors(members).drop("source").join(members.select("pos", "source", "title", "content", "attention"), "pos")
+    docs, now = corpus(spark, sf_dir), F.lit(NOW).cast("timestamp")
+    kept = materialise(resolve.survivors(resolve.grouped(docs)).select("pos", "source", "corroboration", "date"), "survivors")
     terms = relevance.term_list(spark, QUERY)
-    scored = relevance.bm25(kept, FIELDS, terms, "rel").withColumn("rrf", F.lit(None).cast("double"))
-    scored = rank.composite(rank.engagement(scored), F.lit(NOW).cast("timestamp"), bool(terms))
-    top = scored.orderBy(F.desc(F.round("composite", 9)), "pos").limit(limit)
-    now = F.lit(NOW).cast("timestamp")
-    return top.select("pos", "source", "corroboration", F.round("composite", 6).alias("composite"), rank.freshness(F.col("date"), now).alias("freshness_class"), X.hook(F.col("title"), F.col("content"), F.array(*map(F.lit, terms))).alias("relevance_hook"))
+    scored = relevance.bm25(kept.join(docs.select("pos", "title", "content", "attention"), "pos"), FIELDS, terms, "rel")
+    # texts are read for the score and for the rows that stay; what is normalised over the whole set is narrow and written once
+    narrow = materialise(scored.select("pos", "source", "corroboration", "date", "attention", "rel", F.lit(None).cast("double").alias("rrf")), "candidates")
+    blended = rank.composite(rank.engagement(narrow), now, bool(terms))
+    top = blended.orderBy(F.desc(F.round("composite", 9)), "pos").limit(limit)
+    stamped = F.broadcast(top.drop("attention")).join(docs.select("pos", "title", "content"), "pos")  # ``limit`` rows
+    return stamped.select("pos", "source", "corroboration", F.round("composite", 6).alias("composite"), rank.freshness(F.col("date"), now).alias("freshness_class"), X.hook(F.col("title"), F.col("content"), F.array(*map(F.lit, terms))).alias("relevance_hook"))
 
 
 def source_diversity(spark, sf_dir):
