@@ -15,6 +15,7 @@ import re
 import struct
 from collections.abc import Callable, Iterable
 from itertools import chain
+from weakref import WeakSet
 
 #: Entries kept per worker process; a full cache starts anew.  It bounds memory and never changes a result.
 CACHE_ENTRIES = 700_000
@@ -22,11 +23,21 @@ _MARK, _WHOLE = "\x00", "\x01"
 _SPACE = re.compile(r"\s")
 
 
+_caches: WeakSet = WeakSet()
+
+
+def release_caches() -> None:
+    """Empty this process's piece caches; tasks of other operators call it, since Spark keeps workers between jobs."""
+    for cache in _caches:
+        cache.known.clear()
+
+
 class PieceCache:
     """Maps pieces to encoded bytes; ``encode`` turns a list of unseen pieces into their bytes."""
 
     def __init__(self, encode: Callable[[list], list[bytes]], entries: int = CACHE_ENTRIES):
         self.encode, self.entries, self.known = encode, entries, {}
+        _caches.add(self)
 
     def add(self, pieces: Iterable) -> None:
         wanted = set(pieces)
