@@ -33,7 +33,7 @@ from .pieces import release_caches
 
 WIDTH, KMER = 400, 64
 #: Bytes of segments that are sorted at once (a value's segments stay together) and from which a value is trimmed.
-SORT_BYTES, TRIM_BYTES = 1 << 19, 1 << 20
+SORT_BYTES, TRIM_BYTES = 1 << 18, 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list = []
 
