@@ -106,6 +106,53 @@ def card(m: re.Match, key: bytes) -> str | None:
     return refill(m.group(), body + str(luhn_digit(body)))
 
 
+class CardReadings:
+    """The card numbers in spans of digit groups that a pattern finds, which may hold other numbers beside them.
+
+    A reading is 13 to 19 digits from one group's start to a group's end and has the right check digit.  Usual layouts
+    come first, then any; earlier starts before later, longer before shorter.  No two readings share a group.
+    """
+
+    USUAL = re.compile(r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5}")
+    GROUP, WHOLE = re.compile(r"\d+"), re.compile(r"[\d -]+")
+
+    def __init__(self, pattern: str):
+        self.pattern = re.compile(pattern)
+
+    def finditer(self, text: str) -> Iterator[re.Match]:
+        for span in self.pattern.finditer(text):
+            valid = [(*g, usual) for g in self.valid(text, *span.span()) for usual in (self.USUAL.fullmatch(text, *g[2:]),)]
+            taken, found = set(), []
+            for i, j, start, end, usual in sorted(valid, key=lambda r: not r[4]):
+                if taken.isdisjoint(range(i, j)):
+                    taken.update(range(i, j))
+                    found.append((start, end))
+            for start, end in sorted(found):
+                yield self.WHOLE.fullmatch(text, start, end)
+
+    def valid(self, text: str, first: int, last: int) -> Iterator[tuple[int, int, int, int]]:
+        """(first group, group behind the last, start, end) of each reading with the right check digit."""
+        groups = [g.span() for g in self.GROUP.finditer(text, first, last)]
+        before, sums = [0], ([0], [0])  # digits before a group; check sums with the even or the odd places doubled
+        for start, end in groups:
+            before.append(before[-1] + end - start)
+            for d in map(int, text[start:end]):
+                twice = 2 * d - 9 * (d > 4)
+                even = len(sums[0]) % 2
+                sums[0].append(sums[0][-1] + (twice if even else d))
+                sums[1].append(sums[1][-1] + (d if even else twice))
+        j = 0
+        for i in range(len(groups)):
+            while j < len(groups) and before[j + 1] - before[i] <= 19:
+                j += 1
+            for k in range(j, i, -1):
+                if before[k] - before[i] < 13:
+                    break
+                of = sums[before[k] % 2]
+                if (of[before[k]] - of[before[i]]) % 10 == 0:
+                    yield i, k, groups[i][0], groups[k - 1][1]
+
+
 def phone(m: re.Match, key: bytes) -> str | None:
     """Country code and layout stay, so that only numbers of one layout share a range."""
     digits = re.sub(r"\D", "", m.group("rest"))
@@ -184,7 +231,7 @@ RULES: list[tuple[str, str, Callable]] = [
     ("date", r"(?<![\d.,/-])(?P<a>\d\d)(?P<s>[-/.])(?P<b>\d\d)(?P=s)(?P<y>(?:19|20)\d\d)(?![\d/-])", day_first),
     ("ipv4", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)", address),
     ("social", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", social),
-    ("card", r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])", card),
+    ("card", r"(?<![\d-])\d(?:[ -]?\d){12,}(?![\d-])", card),
     ("phone", r"(?P<country>(?<![\w+])\+\d{1,3}[ .-]?)(?P<rest>\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3})(?!\d)", phone),
     ("phone", r"(?P<country>(?<![\w+(.-]))(?P<rest>\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d-])", phone),
 ]
@@ -216,7 +263,7 @@ _compiled: list = []
 
 def compiled_rules() -> list:
     if not _compiled:
-        _compiled.extend((name, re.compile(pattern), make) for name, pattern, make in RULES)
+        _compiled.extend((name, (CardReadings if make is card else re.compile)(pattern), make) for name, pattern, make in RULES)
     return _compiled
 
 

@@ -174,6 +174,30 @@ def test_each_rule_alone():
         assert any(re.search(pattern, t) and pii.HINT.search(t) for t in texts)
 
 
+def test_cards_beside_numbers():
+    valid = lambda t: (d := re.sub(r"\D", "", t)) and pii.luhn_digit(d[:-1]) == int(d[-1])
+    card = "4111 1111 1111 1111"
+    made = pii.pseudonymise(card)[0]
+    assert made != card and valid(made)
+    for text in (f"{card} 12/27", f"{card} 123", f"12 {card}", f"{card}-123", f"7 12 {card} 123 4", f"2 {card} 12 34 56 78 90"):
+        assert pii.pseudonymise(text) == (text.replace(card, made), 1), text
+    other = "5500-0000-0000-0004"
+    assert pii.pseudonymise(f"{card} {other} {card} 1") == (f"{made} {pii.pseudonymise(other)[0]} {made} 1", 3)
+    amex = "3782 822463 10005"
+    assert pii.pseudonymise(f"{amex} 1234")[0] == pii.pseudonymise(amex)[0] + " 1234" != f"{amex} 1234"
+    odd = "411 1111 11111 1111"  # the same digits in other groups, between numbers
+    assert pii.pseudonymise(odd)[0] != odd and valid(pii.pseudonymise(odd)[0])
+    assert pii.pseudonymise(f"88 {odd} 99")[1] == 1
+    for clean in ("4111 1111 1111 1112", "12 34", "4" * 20, "4111 1111 1111 1112 12/27", ""):
+        assert pii.pseudonymise(clean) == (clean, 0)
+    rng = random.Random(3)
+    for _ in range(300):
+        groups = ["".join(rng.choice("0123456789") for _ in range(rng.choice([1, 2, 4, 4, 4, 5, 14]))) for _ in range(rng.randint(1, 9))]
+        text = " ".join(groups)
+        some = any(13 <= len("".join(groups[i:j])) <= 19 and valid("".join(groups[i:j])) for i in range(len(groups)) for j in range(i + 1, len(groups) + 1))
+        assert (pii.pseudonymise(text)[1] > 0) == some, text
+
+
 def test_pii_on_odd_rows(spark, docs):
     found = pii.replace_private(docs, count="n")
     assert found.columns == [*docs.columns, "n"]
