@@ -112,7 +112,7 @@ def signal_divergence(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").selectExpr(
         "l_partkey AS grp", "l_orderkey * 10 + l_linenumber AS pos", "concat('s', l_suppkey % 7) AS source", "stack(2, 'quantity', l_quantity, 'net', round(l_extendedprice * (0.05 - l_discount), 2)) AS (signal, value)"
     )
-    lines = lines.where("grp % 10 = 0").dropDuplicates(["grp", "pos", "signal"])
+    lines = lines.groupBy("grp", "pos", "signal").agg(F.min("source").alias("source"), F.min("value").alias("value"))
     return resolve.divergences(lines)
 
 
