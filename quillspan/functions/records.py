@@ -68,6 +68,15 @@ def window(text: Column, start: Column, size: int, back: int = 400) -> Column:
     return F.struct(page.alias("text"), F.when(more, start + F.length(page)).alias("next"))
 
 
+def pages(text: Column, size: int, back: int = 400) -> Column:
+    """ARRAY<STRUCT<start, text, next>>: all pages of a text by ``window``, one after another; an empty text has one empty page."""
+    step = lambda start: F.struct(start.cast("int").alias("start"), (w := window(text, start, size, back))["text"].alias("text"), w["next"].cast("int").alias("next"))
+    turn = lambda found, _: F.when(F.element_at(found, -1)["next"].isNull(), found).otherwise(F.concat(found, F.array(step(F.element_at(found, -1)["next"]))))
+    # a page ends behind the first of its last ``back`` characters at the earliest
+    most = F.ceil(F.length(text) / (size - back)).cast("int")
+    return F.when(text.isNotNull(), F.aggregate(F.sequence(F.lit(0), most), F.array(step(F.lit(0))), turn))
+
+
 def agent_view(content: Column, cap: int = 2000) -> Column:
     """STRUCT<content, content_truncated, content_full_chars> for readers with little room."""
     return F.struct(F.substring(content, 1, cap).alias("content"), (F.length(content) > cap).alias("content_truncated"), F.length(content).alias("content_full_chars"))

@@ -47,7 +47,8 @@ def coverage_impact(spark, sf):
 def search_plan(spark, sf):
     docs = table(spark, sf, "documents")
     number = F.substring("name", 4, 9).cast("int")
-    rows = docs.groupBy(F.col("source").alias("name")).agg(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("doc_id") < 40, F.split(F.lower("text"), r"[^a-z]+"))))).alias("tokens"))
+    words = docs.select(F.col("source").alias("name"), F.explode_outer(F.array_distinct(F.split(F.lower("text"), r"[^a-z]+"))).alias("word")).distinct()
+    rows = words.groupBy("name").agg(F.collect_list("word").alias("tokens"))
     rows = rows.withColumns({"enable": number == 4, "disable": number % 6 == 4, "walled": number % 9 == 2, "group_off": number == 17})
     rows = rows.withColumn("enabled", audit.enabled(rows))
     names = lambda test: rows.where(test).select("name")

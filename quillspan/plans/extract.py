@@ -29,10 +29,9 @@ def tail_passages(spark, sf):
 
 
 def text_pages(spark, sf):
-    """The first two pages of each text, of 1,000 characters at most."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", R.window(F.col("text"), F.lit(0), 1000).alias("first"))
-    both = docs.select("doc_id", "first", R.window(F.col("text"), F.coalesce("first.next", F.lit(0)), 1000).alias("second"))
-    return both.select("doc_id", F.length("first.text").alias("first_chars"), F.col("first.next").alias("first_next"), F.when(F.col("first.next").isNotNull(), F.length("second.text")).alias("second_chars"))
+    """Every page of each text, of 1,000 characters at most; one row of nulls for a null text."""
+    paged = table(spark, sf, "documents").select("doc_id", F.posexplode_outer(R.pages(F.col("text"), 1000)).alias("page", "p"))
+    return paged.select("doc_id", "page", "p.start", F.length("p.text").alias("chars"), "p.next", F.sha2("p.text", 256).alias("digest"))
 
 
 def record_fields(spark, sf):
@@ -63,7 +62,7 @@ def summary_lines(spark, sf):
 def inverted_abstracts(spark, sf):
     from quillspan.operators.biblio import abstract_text
 
-    docs = table(spark, sf, "documents").where(F.length("text") < 1500)
+    docs = table(spark, sf, "documents")
     words = docs.select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("place", "word"))
     index = words.groupBy("doc_id", "word").agg(F.array_sort(F.collect_list("place")).alias("places")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("inverted"))
     return index.select("doc_id", abstract_text(F.col("inverted")).alias("abstract"))

@@ -78,7 +78,7 @@ def graph_find(spark, sf):
 
 
 def graph_voices(spark, sf):
-    return graph.voices(edges(spark, sf).where("type = 'same_as' OR type = 'authored' AND dst LIKE '%07'"), "exploratory")
+    return graph.voices(edges(spark, sf).where("type IN ('same_as', 'authored')"), "exploratory")
 
 
 def works(spark, sf):
