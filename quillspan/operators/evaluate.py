@@ -69,8 +69,14 @@ def similar(needle: str, text: str) -> float:
     n, t = plain_form(needle), plain_form(text)
     if not n or not t:
         return 0.0
-    step = max(1, len(n) // 4)
-    return max(SequenceMatcher(None, n, t[i : i + len(n)], autojunk=False).ratio() for i in range(0, max(1, len(t) - len(n) + 1), step))
+    if n in t:
+        return 1.0
+    best, match = 0.0, SequenceMatcher(None, n, autojunk=False)
+    for i in range(max(1, len(t) - len(n) + 1)):
+        match.set_seq2(t[i : i + len(n)])
+        if match.quick_ratio() > best:  # never below the ratio
+            best = max(best, match.ratio())
+    return best
 
 
 def in_top(results: Column, wanted: Column, k: int) -> Column:

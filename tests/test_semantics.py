@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 import zipfile
 
 import pytest
@@ -286,3 +287,16 @@ def test_streams_equal_batches(spark, sf, tmp_path):
     stream = spark.readStream.schema(hits.schema).parquet(str(tmp_path / "hits"))
     got = run_stream(spark, journal.running_yields(stream), "yields", "complete").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, journal.running_yields(hits).collect()))
+
+
+def test_similar_slides_by_one():
+    from difflib import SequenceMatcher
+
+    needle = "thequickbrownfoxjumpsoverthelazydogwhilethecatlooksonand"
+    assert evaluate.similar(needle, "sevench" + needle + "tail" * 9) == 1.0
+    rng = random.Random(6)
+    for _ in range(60):
+        text = "".join(rng.choice("abcde") for _ in range(rng.randint(1, 60)))
+        n = "".join(rng.choice("abcde") for _ in range(rng.randint(1, 30)))
+        windows = [text[i : i + len(n)] for i in range(max(1, len(text) - len(n) + 1))]
+        assert evaluate.similar(n, text) == max(SequenceMatcher(None, n, w, autojunk=False).ratio() for w in windows)
