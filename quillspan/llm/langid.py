@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,6 +92,10 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]
     return [(r["lang"], r["text"]) for r in rows]
 
 
+def has_letters() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` appended; ``model`` comes from ``fit``, or is None for nothing learned."""
     spark, names = docs.sparkSession, docs.columns
@@ -117,8 +121,7 @@ def predict(docs: DataFrame, model) -> DataFrame:
             kept = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores)], [*names, "lang_pred", "score"])
 
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters")
-    return docs.select("*", letters).mapInArrow(run, schema)
+    return docs.select("*", has_letters().alias("_letters")).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -128,9 +131,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents in which a language was found; a missing ``lang`` takes the prediction."""
-    found = identify(docs).where(F.col("lang_pred") != NO_LANGUAGE)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    """The documents with letters; a missing ``lang`` takes the prediction, and stays null where nothing was learned."""
+    found = identify(docs).where((F.col("lang_pred") != NO_LANGUAGE) | has_letters())
+    return found.withColumn("lang", F.coalesce("lang", F.nullif("lang_pred", F.lit(NO_LANGUAGE)))).select(*docs.columns)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import random
 import re
 import sys
+import zlib
 
 import numpy as np
 import pytest
@@ -216,6 +217,14 @@ def test_language_id(spark, sf, docs):
     assert langid.keep_identified(docs.limit(0)).count() == 0
 
 
+def test_nothing_learned_keeps_texts_with_letters(spark, docs):
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 3 == 1][:3]
+    tables = [docs.withColumn("lang", F.lit(None).cast("string")), spark.createDataFrame([(i, t, "en", None, None) for i, t in zip(held, ["one text", "12 !", "ein Text"])], SCHEMA)]
+    for t in tables:
+        want = [r for r in t.collect() if any(c.isalpha() for c in r.text or "")]
+        assert want and sorted(langid.keep_identified(t).collect(), key=str) == sorted(want, key=str)
+
+
 def unit_vectors(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(120, 8))
