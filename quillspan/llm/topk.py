@@ -9,7 +9,7 @@ Components are turned into whole numbers first, and products are exact: in doubl
 64-bit whole numbers.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows without an id, take no part;
-equal rows count once; a query's own id is not among its results; vectors of another length than a query's are no
+repeated rows count each time, as candidates and as queries; a query's own id is not among its results; vectors of another length than a query's are no
 candidates; ties go to smaller ids; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -137,7 +137,7 @@ def _blocks(rows: DataFrame, group: str, kind: str) -> DataFrame:
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score); both inputs are (vec_id, vector) with whole-number components."""
-    sized = [d.select("vec_id", "vector", F.size("vector").alias("dim")).where("vec_id IS NOT NULL").dropDuplicates(["vec_id", "vector"]) for d in (vectors, queries)]
+    sized = [d.select("vec_id", "vector", F.size("vector").alias("dim")).where("vec_id IS NOT NULL") for d in (vectors, queries)]
     rows, asked = (materialise(d, what) for d, what in zip(sized, ("candidates", "queries")))
     shards, blocks = (max(1, -(-d.count() // n)) for d, n in ((rows, SHARD_ROWS), (asked, QUERY_ROWS)))
     dealt = lambda n, what: F.pmod(F.xxhash64(F.col("vec_id"), F.lit(what)), F.lit(n)).cast("long")

@@ -265,6 +265,18 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_top_k_keeps_repeated_rows(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, [(i % 7 + 1) / 8, 1.0]) for i in range(60)] + [(6, [7 / 8, 1.0])] * 2 + [(50, [2 / 8, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(topk.SQL).fetchall()
+    found = topk.op6_top_k(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, found)) == sorted(want) and [r[2] for r in sorted(want)[:3]] == [6, 6, 6]
+
+
 def test_pipeline(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
