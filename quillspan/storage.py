@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,16 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new path below the cluster's shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset (tests on one machine) a folder
-    of our own is chosen and set.
+    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset, a local session (a test on one
+    machine) gets a folder of our own; on a cluster a machine's own folder would be unreadable elsewhere, so it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspan-"))
-            found = spark.sparkContext.getCheckpointDir()
-        base = found
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspan-"))
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/quillspan-{what}-{uuid.uuid4().hex}"
 
 
@@ -28,4 +28,15 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there."""
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Free the files of tables that ``materialise`` made and that nothing will read again.
+
+    An empty table takes their place: Spark's own writers remove the files, whatever store the folder is in.
+    """
+    for df in tables:
+        df.sparkSession.range(0).write.mode("overwrite").parquet(df.stored_at)
