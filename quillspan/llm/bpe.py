@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, tokenizer_path, with_text
+from .workers import begin, kept
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Bytes from which a word's equal least pairs are contracted together rather than one by one.
@@ -173,19 +174,14 @@ class BpeEngine:
         return out
 
 
-_engines: dict = {}
-
-
 def engine_for(path: str, pattern: str):
-    """The worker process's engine and text encoder for a rank file; both are kept between tasks."""
-    if (path, pattern) not in _engines:
-        import regex
+    """A worker process's engine and text encoder for a rank file."""
+    import regex
 
-        from .pieces import LevelEncoder
+    from .pieces import LevelEncoder
 
-        engine = BpeEngine(read_ranks(path))
-        _engines[path, pattern] = engine, LevelEncoder(regex.compile(pattern).findall, engine.encode_words)
-    return _engines[path, pattern]
+    engine = BpeEngine(read_ranks(path))
+    return engine, LevelEncoder(regex.compile(pattern).findall, engine.encode_words)
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -194,7 +190,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        engine, encode = engine_for(path, pattern)
+        begin("bpe")
+        engine, encode = kept((path, pattern), lambda: engine_for(path, pattern))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             step = 1000

@@ -7,9 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.storage import materialise, shared_dir
+from quillspan.storage import discard, materialise, shared_dir
 
-__all__ = ["materialise", "shared_dir", "single_threaded_tokenizers", "table", "tokenizer_path", "with_text"]
+__all__ = ["discard", "materialise", "shared_dir", "single_threaded_tokenizers", "table", "tokenizer_path", "with_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

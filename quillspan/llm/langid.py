@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .pieces import release_caches
+from .workers import begin
 
 SAMPLE, LANDMARKS = 2048, 256
 FEATURES_LOG2 = 15
@@ -106,7 +106,7 @@ def predict(docs: DataFrame, model) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        release_caches()
+        begin("langid")
         for batch in batches:
             letters = batch.column("_letters").to_pylist()
             texts = batch.column("text").to_pylist()

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, single_threaded_tokenizers, table, tokenizer_path, with_text
+from .workers import begin, kept
 
 PIECES = "part int, doc_id long, piece int, start long, length long, ids_crc32 long, local_rank long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -99,12 +100,13 @@ def cut(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, part, ranks = word_encoder(path), TaskContext.get().partitionId(), {}
+        begin("packing")
+        encode, part, ranks = kept(path, lambda: word_encoder(path)), TaskContext.get().partitionId(), {}
         end, room = end_id.to_bytes(4, "little"), capacity * 4
         for batch in batches:
-            rows, texts = [], batch.column("text").to_pylist()
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)):
-                ids += end
+            rows = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                ids = encode(text.as_py()) + end
                 for k in range(0, len(ids), room):
                     piece = ids[k : k + room]
                     n = len(piece) // 4
@@ -117,18 +119,13 @@ def cut(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     return with_text(docs, "doc_id").mapInArrow(run, PIECES)
 
 
-_encoders: dict = {}
-
-
 def word_encoder(path: str):
-    if path not in _encoders:
-        single_threaded_tokenizers()
-        from tokenizers import Tokenizer
+    single_threaded_tokenizers()
+    from tokenizers import Tokenizer
 
-        from .pieces import WordEncoder
+    from .pieces import WordEncoder
 
-        _encoders[path] = WordEncoder(Tokenizer.from_file(path))
-    return _encoders[path]
+    return WordEncoder(Tokenizer.from_file(path))
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -145,6 +142,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> D
         import numpy as np
         import pyarrow as pa
 
+        begin("packing")
         table = np.array(runs, dtype=np.int64).reshape(-1, 5)
         keys = table[:, 0] * (1 << 48) + table[:, 1]
         for batch in batches:

@@ -15,41 +15,54 @@ import re
 import struct
 from collections.abc import Callable, Iterable
 from itertools import chain
-from weakref import WeakSet
 
-#: Entries kept per worker process; a full cache starts anew.  It bounds memory and never changes a result.
-CACHE_ENTRIES = 700_000
+#: Bytes that a cache may take in a worker process, and what an entry takes beside its strings; a full cache starts
+#: anew.  It bounds memory and never changes a result.
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 200
 _MARK, _WHOLE = "\x00", "\x01"
 _SPACE = re.compile(r"\s")
 
 
-_caches: WeakSet = WeakSet()
-
-
-def release_caches() -> None:
-    """Empty this process's piece caches; tasks of other operators call it, since Spark keeps workers between jobs."""
-    for cache in _caches:
-        cache.known.clear()
-
-
 class PieceCache:
     """Maps pieces to encoded bytes; ``encode`` turns a list of unseen pieces into their bytes."""
 
-    def __init__(self, encode: Callable[[list], list[bytes]], entries: int = CACHE_ENTRIES):
-        self.encode, self.entries, self.known = encode, entries, {}
-        _caches.add(self)
+    def __init__(self, encode: Callable[[list], list[bytes]], limit: int = CACHE_BYTES):
+        self.encode, self.limit, self.known, self.size = encode, limit, {}, 0
 
     def add(self, pieces: Iterable) -> None:
         wanted = set(pieces)
         fresh = [p for p in wanted if p not in self.known]
         if not fresh:
             return
-        if len(self.known) + len(fresh) > self.entries:
+        more = sum(map(len, fresh)) * 2 + ENTRY_BYTES * len(fresh)
+        if self.size + more > self.limit:
             self.known.clear()
             fresh = list(wanted)
+            self.size, more = 0, sum(map(len, fresh)) * 2 + ENTRY_BYTES * len(fresh)
+        self.size += more
         self.known.update(zip(fresh, self.encode(fresh)))
 
 
+class Known(dict):
+    """What ``make`` gives for each key, made when it is first looked up."""
+
+    def __init__(self, make: Callable, limit: int = CACHE_BYTES):
+        self.make, self.limit, self.size = make, limit, 0
+
+    def __missing__(self, key):
+        found = self.make(key)
+        self.size += 2 * len(key) + ENTRY_BYTES
+        if self.size > self.limit:
+            self.clear()
+            self.size = 2 * len(key) + ENTRY_BYTES
+        self[key] = found
+        return found
+
+
+class NeedsPattern(Exception):
+    """A piece has white space of its own: only the pattern cuts its text rightly."""
+
+
 def cut_level(text: str) -> list[str] | None:
     """``text`` cut at single blanks and line feeds, or None if it has other characters that need the pattern.
 
@@ -77,9 +90,9 @@ class LevelEncoder:
     ``find_all`` gives the pattern's matches in a text; ``encode`` maps piece texts to the bytes of their ids.
     """
 
-    def __init__(self, find_all: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES):
+    def __init__(self, find_all: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]], limit: int = CACHE_BYTES):
         self.find_all = find_all
-        self.cache = PieceCache(lambda pieces: self._encode(pieces, encode), entries)
+        self.cache = PieceCache(lambda pieces: self._encode(pieces, encode), limit)
 
     def _encode(self, pieces: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes | None]:
         words = [self._words(p) for p in pieces]
@@ -116,6 +129,37 @@ class LevelEncoder:
         return out
 
 
+class PieceIds:
+    """Encodes texts for a byte-level vocabulary of the tokenizers library, whose ``model`` encodes each distinct match.
+
+    ``find_all`` gives the pattern's matches in a text.
+    """
+
+    def __init__(self, find_all: Callable[[str], list[str]], model: Callable[[str], bytes], limit: int = CACHE_BYTES):
+        self.find_all, self.model, self.known = find_all, model, Known(self._make, limit)
+
+    def _make(self, piece: str) -> bytes:
+        if piece[0] == _WHOLE:
+            return self.model(piece[1:])
+        if piece.isalpha():
+            return self.model(f" {piece}")
+        if piece[-1] in ".,;:!?" and piece[:-1].isalpha():  # letters before one mark are two matches
+            return self.known[piece[:-1]] + self.known[_WHOLE + piece[-1]]
+        if not is_plain(piece):
+            raise NeedsPattern
+        return b"".join([self.known[_WHOLE + m] for m in self.find_all(piece_text(piece))])
+
+    def __call__(self, text: str) -> bytes:
+        """The text's ids as little-endian unsigned 32-bit integers."""
+        cut = cut_level(text) if text else []
+        if cut is not None:
+            try:
+                return b"".join(map(self.known.__getitem__, cut))
+            except NeedsPattern:
+                pass
+        return b"".join([self.known[_WHOLE + m] for m in self.find_all(text)])
+
+
 def level_characters() -> dict[int, str]:
     """The printable character that byte-level vocabularies write for each byte, for ``str.translate`` of Latin-1 text."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -128,11 +172,13 @@ class ModelIds:
 
     def __init__(self, library):
         self.tokenize, self.characters = library.model.tokenize, level_characters()
+        self.packs = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
     def __call__(self, word: str) -> bytes:
         plain = word.isascii() and word.isprintable()  # only the blank is written otherwise
         found = self.tokenize(word.replace(" ", self.characters[32]) if plain else word.encode().decode("latin-1").translate(self.characters))
-        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        ids = [t.id for t in found]
+        return self.packs[len(ids)](*ids) if len(ids) < 16 else struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordEncoder:
@@ -148,49 +194,27 @@ class WordEncoder:
     WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     SIMPLE = r"[!-~\u00c0-\u012f\u0131-\u017e]+"
 
-    def __init__(self, library, entries: int = CACHE_ENTRIES):
+    def __init__(self, library, limit: int = CACHE_BYTES):
         import regex
 
-        self.library, self.model = library, ModelIds(library)
-        self.simple, self.words = re.compile(self.SIMPLE).fullmatch, regex.compile(self.WORDS).findall
+        self.library, model = library, ModelIds(library)
+        self.simple, self.find_words = re.compile(self.SIMPLE).fullmatch, regex.compile(self.WORDS).findall
         self.added = [t.content for t in library.get_added_tokens_decoder().values()]
-        self.cache = PieceCache(self._encode, entries)
-
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        words: dict[str, bytes] = {}
-        out, whole = [], []
-        for i, text in enumerate(c.decode() for c in chunks):
-            if not self.simple(text) or any(a in text for a in self.added):
-                whole.append((i, text))
-                out.append(b"")
-                continue
-            low = text.lower()
-            found = [low] if low.isalpha() else self.words(low)
-            for w in found:
-                if w not in words:
-                    words[w] = self.model(w)
-            out.append(words[found[0]] if len(found) == 1 else b"".join([words[w] for w in found]))
-        for (i, _), ids in zip(whole, library_ids(self.library, [t for _, t in whole])):
-            out[i] = ids
-        return out
+        self.words, self.chunks = Known(model, limit // 2), Known(self.encode_chunk, limit // 2)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        cuts = [t.encode().split() for t in texts]
-        out = []
-        for k in range(0, len(cuts), 400):
-            part = cuts[k : k + 400]
-            self.cache.add(chain.from_iterable(part))
-            known = self.cache.known
-            out += [b"".join(map(known.__getitem__, cut)) for cut in part]
-        return out
+    def encode_chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if not self.simple(text) or any(a in text for a in self.added):
+            return library_ids(self.library, text)
+        low = text.lower()
+        return self.words[low] if low.isalpha() else b"".join([self.words[w] for w in self.find_words(low)])
+
+    def __call__(self, text: str) -> bytes:
+        """The text's ids as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.chunks.__getitem__, text.encode().split()))
 
 
-def library_ids(library, texts: list[str]) -> list[bytes]:
-    """What the tokenizers library gives for each text, as little-endian unsigned 32-bit integers."""
-    out = []
-    for k in range(0, len(texts), 2000):
-        for found in library.encode_batch_fast(texts[k : k + 2000], add_special_tokens=False):
-            ids = found.ids
-            out.append(struct.pack(f"<{len(ids)}I", *ids))
-    return out
+def library_ids(library, text: str) -> bytes:
+    """What the tokenizers library gives for a text, as little-endian unsigned 32-bit integers."""
+    ids = library.encode(text, add_special_tokens=False).ids
+    return struct.pack(f"<{len(ids)}I", *ids)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .pieces import release_caches
+from .workers import begin
 
 #: A deployment passes its own key.
 DEFAULT_KEY = b"quillspan pseudonyms"
@@ -276,7 +276,7 @@ def replace_private(docs: DataFrame, key: bytes = DEFAULT_KEY, count: str | None
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        release_caches()
+        begin("pii")
         for batch in batches:
             found = [(None, 0) if t is None else pseudonymise(t, key) for t in batch.column("text").to_pylist()]
             made = {"text": pa.array([t for t, _ in found], pa.string())}

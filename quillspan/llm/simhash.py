@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quillspan.operators.components import UnionFind, connected_components
 
 from .common import materialise, table, with_text
-from .pieces import release_caches
+from .workers import begin
 
 #: Fingerprints of one key that are compared in one piece; a key with more is dealt into cells.
 CHUNK = 2048
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        release_caches()
+        begin("simhash")
         for batch in batches:
             fps = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])

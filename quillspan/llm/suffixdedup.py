@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialise, table
-from .pieces import release_caches
+from .workers import begin
 
 WIDTH, KMER = 400, 64
 #: Bytes of segments that are sorted at once (a value's segments stay together) and from which a value is trimmed.
@@ -281,7 +281,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        release_caches()
+        begin("suffixdedup")
         for batch in batches:
             values, counts, owners = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):

@@ -6,20 +6,22 @@ each distinct one once, and appended; then every document takes its count from t
 
 Defined results: a null text counts as the empty one; repeated rows and equal texts share one stored count and
 each keep their row; columns besides ``doc_id`` and ``text`` are ignored; an empty table gives an empty result.
-A run that is repeated after a failure finds what earlier runs appended, and the append itself is atomic.
+The append is atomic.  A run over the same ``cache`` folder finds what earlier runs appended and encodes only what is
+new; ``op7_token_counts`` itself starts from an empty folder, so that it always does the whole work.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, shared_dir, single_threaded_tokenizers, table, tokenizer_path, with_text
+from .common import materialise, shared_dir, table, tokenizer_path, with_text
+from .workers import begin, kept
 
 CACHE = T.StructType([T.StructField("tokenizer", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
@@ -29,35 +31,24 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()[:16]
 
 
-_counters: dict = {}
-
-
 def word_counter(path: str):
-    """A function from texts to token counts for a vocabulary that drops white space and never looks across it."""
-    if path not in _counters:
-        single_threaded_tokenizers()
-        from tokenizers import Tokenizer
-
-        from .pieces import PieceCache, WordEncoder
-
-        encoder = WordEncoder(Tokenizer.from_file(path))
-        cache = PieceCache(lambda chunks: [len(ids) // 4 for ids in encoder._encode(chunks)])
-
-        def count(texts: list[str]) -> list[int]:
-            cuts = [t.encode().split() for t in texts]
-            cache.add(chain.from_iterable(cuts))
-            return [sum(map(cache.known.__getitem__, cut)) for cut in cuts]
+    """A function from a text to its token count for a vocabulary that drops white space and never looks across it."""
+    from .packing import word_encoder
+    from .pieces import Known
 
-        _counters[path] = count
-    return _counters[path]
+    encoder = word_encoder(path)
+    counts = Known(lambda chunk: len(encoder.encode_chunk(chunk)) // 4)
+    return lambda text: sum(map(counts.__getitem__, text.encode().split()))
 
 
 def read_cache(spark: SparkSession, cache: str) -> DataFrame:
     """The stored counts; none if the folder holds no table yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(cache)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    try:
+        return spark.read.schema(CACHE).parquet(cache)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], CACHE)
-    return spark.read.schema(CACHE).parquet(cache)
 
 
 def token_counts(docs: DataFrame, path: str, cache: str, limit: int = 2048) -> DataFrame:
@@ -70,11 +61,10 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = 2048) -> D
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        count = word_counter(path)
+        begin("token counts")
+        count = kept(path, lambda: word_counter(path))
         for batch in batches:
-            texts, counts = batch.column("text").to_pylist(), []
-            for k in range(0, len(texts), 500):
-                counts += count(texts[k : k + 500])
+            counts = [count(text.as_py()) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
     counted = misses.mapInArrow(encode, "digest binary, n_tokens long").select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")

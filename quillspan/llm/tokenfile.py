@@ -4,10 +4,11 @@ A shard's file holds, for each bit of the ids from the highest down, a plane of
 every block of it.  Each plane orders the ids anew: those with a zero bit first, both kinds in their old order.  From
 these alone the file gives the id at a place, the count of an id before a place, and the place of its n-th occurrence.
 
-File: ``QWM1``, then little-endian unsigned numbers: ids (8 bytes), bits of an id (1), documents (8), then the
-documents' ids and ends, and per plane the zeros (8), the packed bits and the ones before each block of 512 bits;
-arrays are compressed by zstd, each after its length (8).
+File: ``QWM2``, then little-endian unsigned numbers: ids (8 bytes), bits of an id (1), documents (8), then the
+documents' ids, which of them are null (packed bits) and their ends, and per plane the zeros (8), the packed bits and
+the ones before each block of 512 bits; arrays are compressed by zstd, each after its length (8).
 
+Texts are encoded where they are read, and only ids are shuffled, as 16-bit numbers where the vocabulary allows it.
 Documents are range-partitioned by id, so shards follow one another in order of ids; a shard is written when it has
 ``SHARD_TOKENS`` ids, so a task holds one shard at a time.  Shards are rows (place, file) of a table in the
 shared folder, written by Spark's committed writers, so that no executor's own disk matters.
@@ -19,19 +20,20 @@ rows are written each; columns besides ``doc_id`` and ``text`` are ignored; an e
 from __future__ import annotations
 
 import struct
+from bisect import bisect_right
 from collections.abc import Iterator
 from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, single_threaded_tokenizers, table, tokenizer_path, with_text
+from .common import discard, materialise, shared_dir, single_threaded_tokenizers, table, tokenizer_path, with_text
+from .workers import begin, kept
 
 SHARD_TOKENS = 1 << 20
 BLOCK = 512
-MAGIC = b"QWM1"
+MAGIC = b"QWM2"
 SHARD = "part int, shard int, part_start long, n_tokens long, file binary"
-NO_ID = -(1 << 63)
 
 
 def _packed(values, level: int = 1) -> bytes:
@@ -121,16 +123,14 @@ class WaveletMatrix:
         return place
 
     def _find(self, level: int, k: int, bit: int) -> int:
-        """The place of the k-th bit of a kind in a plane."""
-        low, high = 0, self.n - 1
-        while low < high:
-            middle = (low + high) // 2
-            ones = self._ones(level, middle + 1)
-            if (ones if bit else middle + 1 - ones) > k:
-                high = middle
-            else:
-                low = middle + 1
-        return low
+        """The place of the k-th bit of a kind in a plane: its block by the counts before blocks, then within it."""
+        import numpy as np
+
+        ranks, plane = self.ranks[level], self.planes[level]
+        before = lambda block: int(ranks[block]) if bit else block * BLOCK - int(ranks[block])
+        block = bisect_right(range(len(ranks)), k, key=before) - 1
+        bits = np.unpackbits(plane[block * BLOCK // 8 : (block + 1) * BLOCK // 8])
+        return block * BLOCK + int(np.flatnonzero(bits == bit)[k - before(block)])
 
     def all(self):
         """All ids in order: the planes' orders undone from the last plane up."""
@@ -146,23 +146,26 @@ class WaveletMatrix:
         return ids.astype(np.uint32)
 
 
-def write_shard(doc_ids, ends, ids) -> bytes:
+def write_shard(doc_ids: list[int | None], ends, ids) -> bytes:
     """A shard's file for documents that end before the places ``ends`` of ``ids``."""
+    import numpy as np
+
     matrix = WaveletMatrix.build(ids)
-    parts = [MAGIC, struct.pack("<QBQ", len(ids), len(matrix.zeros), len(doc_ids)), _packed(doc_ids.astype("<i8")), _packed(ends.astype("<u8"))]
+    known, absent = np.array([i or 0 for i in doc_ids], "<i8"), np.packbits(np.array([i is None for i in doc_ids], bool))
+    parts = [MAGIC, struct.pack("<QBQ", len(ids), len(matrix.zeros), len(doc_ids)), _packed(known), _packed(absent), _packed(ends.astype("<u8"))]
     for zeros, plane, ranks in zip(matrix.zeros, matrix.planes, matrix.ranks):
         parts += [struct.pack("<Q", zeros), _packed(plane), _packed(ranks.astype("<u4"))]
     return b"".join(parts)
 
 
 def read_shard(data: bytes):
-    """(doc_ids, ends, wavelet matrix) of a shard's file."""
+    """(doc_ids, which of them are null, ends, wavelet matrix) of a shard's file."""
     import numpy as np
     import zstandard
 
     if data[:4] != MAGIC:
         raise ValueError("not a shard")
-    (n, width, _), at, engine = struct.unpack_from("<QBQ", data, 4), 21, zstandard.ZstdDecompressor()
+    (n, width, documents), at, engine = struct.unpack_from("<QBQ", data, 4), 21, zstandard.ZstdDecompressor()
 
     def array(kind: str):
         nonlocal at
@@ -170,43 +173,54 @@ def read_shard(data: bytes):
         at += 8 + size
         return np.frombuffer(engine.decompress(data[at - size : at]), dtype=kind)
 
-    doc_ids, ends, zeros, planes, ranks = array("<i8"), array("<u8"), [], [], []
+    doc_ids, absent, ends, zeros, planes, ranks = array("<i8"), array("u1"), array("<u8"), [], [], []
     for _ in range(width):
         zeros.append(struct.unpack_from("<Q", data, at)[0])
         at += 8
         planes.append(array("u1"))
         ranks.append(array("<u4"))
-    return doc_ids, ends, WaveletMatrix(n, zeros, planes, ranks)
-
-
-_encoders: dict = {}
+    return doc_ids, np.unpackbits(absent, count=documents).view(bool), ends, WaveletMatrix(n, zeros, planes, ranks)
 
 
 def level_encoder(path: str, pattern: str):
-    """The worker's encoder of texts to id bytes for a byte-level vocabulary of the tokenizers library.
+    """The worker's function from a text to id bytes for a byte-level vocabulary of the tokenizers library.
 
     The pattern cuts a text into words and the library's model encodes them; a text that holds an added token's string
     goes to the library as a whole.
     """
-    if (path, pattern) not in _encoders:
-        single_threaded_tokenizers()
-        import regex
-        from tokenizers import Tokenizer
+    single_threaded_tokenizers()
+    import regex
+    from tokenizers import Tokenizer
+
+    from .pieces import ModelIds, PieceIds, library_ids
 
-        from .pieces import LevelEncoder, ModelIds, library_ids
+    library = Tokenizer.from_file(path)
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    by_piece = PieceIds(regex.compile(pattern).findall, ModelIds(library))
+    return lambda text: library_ids(library, text) if any(a in text for a in added) else by_piece(text)
 
-        library = Tokenizer.from_file(path)
-        added = [t.content for t in library.get_added_tokens_decoder().values()]
-        model = ModelIds(library)
-        by_piece = LevelEncoder(regex.compile(pattern).findall, lambda words: [model(w) for w in words])
 
-        def encode(texts: list[str]) -> list[bytes]:
-            whole = [any(a in t for a in added) for t in texts]
-            pieced = iter(by_piece([t for t, w in zip(texts, whole) if not w]))
-            return [library_ids(library, [t])[0] if w else next(pieced) for t, w in zip(texts, whole)]
+def encoded(docs: DataFrame, path: str, pattern: str, end_id: int) -> DataFrame:
+    """(doc_id, wide, ids, tie): each text's ids with the end id, 16 or 32 bits each (``wide``); ``tie`` orders rows of one id."""
 
-        _encoders[path, pattern] = encode
-    return _encoders[path, pattern]
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        begin("token shards")
+        encode, end = kept((path, pattern), lambda: level_encoder(path, pattern)), end_id.to_bytes(4, "little")
+        for batch in batches:
+            for k in range(0, batch.num_rows, 400):
+                some, rows = batch.slice(k, 400), []
+                for text in some.column("text").to_pylist():
+                    data = encode(text) + end
+                    ids = np.frombuffer(data, "<u4")
+                    wide = bool(ids.max() >> 16)
+                    rows.append((wide, data if wide else ids.astype("<u2").tobytes(), crc32(data)))
+                kinds = (pa.bool_(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], ["doc_id", "wide", "ids", "tie"])
+
+    return with_text(docs, "doc_id").mapInArrow(run, "doc_id long, wide boolean, ids binary, tie long")
 
 
 def write_shards(docs: DataFrame, path: str, pattern: str, folder: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> None:
@@ -217,31 +231,29 @@ def write_shards(docs: DataFrame, path: str, pattern: str, folder: str, end_id:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, part, shard = level_encoder(path, pattern), TaskContext.get().partitionId(), 0
-        end, doc_ids, sizes, held, size, before = end_id.to_bytes(4, "little"), [], [], [], 0, 0
+        begin("token shards")
+        part, shard = TaskContext.get().partitionId(), 0
+        doc_ids, held, size, before = [], [], 0, 0
 
         def file():
-            ids = np.frombuffer(b"".join(held), dtype="<u4")
-            data = write_shard(np.array(doc_ids, np.int64), np.cumsum(np.array(sizes, np.uint64)), ids)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], ["part", "shard", "part_start", "n_tokens", "file"])
+            data = write_shard(doc_ids, np.cumsum(np.array([len(x) for x in held], np.uint64)), np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([data], pa.binary())], ["part", "shard", "part_start", "n_tokens", "file"])
 
         for batch in batches:
-            texts, ids_of = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for k in range(0, len(texts), 400):
-                for doc_id, ids in zip(ids_of[k : k + 400], encode(texts[k : k + 400])):
-                    doc_ids.append(NO_ID if doc_id is None else doc_id)
-                    sizes.append(len(ids) // 4 + 1)
-                    held += ids, end
-                    size += sizes[-1]
-                    if size >= shard_tokens:
-                        yield file()
-                        doc_ids, sizes, held, size, before, shard = [], [], [], 0, before + size, shard + 1
+            for doc_id, wide, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "wide", "ids"))):
+                doc_ids.append(doc_id)
+                held.append(np.frombuffer(ids, "<u4" if wide else "<u2"))
+                size += len(held[-1])
+                if size >= shard_tokens:
+                    yield file()
+                    doc_ids, held, size, before, shard = [], [], 0, before + size, shard + 1
         if doc_ids:
             yield file()
 
-    keyed = with_text(docs, "doc_id").withColumn("text_hash", F.xxhash64("text"))
-    ordered = keyed.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
-    ordered.select("doc_id", "text").mapInArrow(run, SHARD).write.parquet(folder)
+    ids = materialise(encoded(docs, path, pattern, end_id), "encoded")
+    ordered = ids.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered.select("doc_id", "wide", "ids").mapInArrow(run, SHARD).write.parquet(folder)
+    discard(ids)
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -253,17 +265,19 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     totals, starts, total = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect(), {}, 0
     for part, n in sorted(tuple(r) for r in totals):
         starts[part], total = total, total + n
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        begin("token shards")
         for batch in batches:
             for part, before, file in zip(*(batch.column(c).to_pylist() for c in ("part", "part_start", "file"))):
-                doc_ids, ends, matrix = read_shard(file)
+                doc_ids, absent, ends, matrix = read_shard(file)
                 data, ends = matrix.all().tobytes(), ends.astype(np.int64)
                 begins = np.concatenate(([0], ends[:-1]))
                 sums = [crc32(data[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())]
-                columns = [pa.array(doc_ids, mask=doc_ids == NO_ID), pa.array(begins + starts[part] + before), pa.array(ends - begins), pa.array(sums, pa.int64())]
+                columns = [pa.array(doc_ids, mask=absent), pa.array(begins + starts[part] + before), pa.array(ends - begins), pa.array(sums, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return shards.select("part", "part_start", "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
