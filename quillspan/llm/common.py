@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 
 from quillspan.storage import discard, materialise, shared_dir
 
-__all__ = ["discard", "materialise", "shared_dir", "single_threaded_tokenizers", "table", "tokenizer_path", "with_text"]
+__all__ = ["discard", "free_name", "materialise", "shared_dir", "single_threaded_tokenizers", "table", "tokenizer_path", "with_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores before it until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
 def with_text(docs: DataFrame, *columns: str) -> DataFrame:
     """``columns`` and ``text`` of ``docs`` alone (clashing extra columns go), a null text as the empty one."""
     return docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("text"))

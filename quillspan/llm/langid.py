@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import free_name, table
 from .workers import begin
 
 SAMPLE, LANDMARKS = 2048, 256
@@ -96,11 +96,11 @@ def has_letters() -> Column:
     return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
 
-def predict(docs: DataFrame, model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` appended; ``model`` comes from ``fit``, or is None for nothing learned."""
-    spark, names = docs.sparkSession, docs.columns
+def predict(docs: DataFrame, model, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the columns ``pred`` and ``score`` appended; ``model`` comes from ``fit``, or is None for nothing learned."""
+    spark, names, mark = docs.sparkSession, docs.columns, free_name(docs, "letters")
     held = spark.sparkContext.broadcast(model)  # features times languages
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -108,7 +108,7 @@ def predict(docs: DataFrame, model) -> DataFrame:
 
         begin("langid")
         for batch in batches:
-            letters = batch.column("_letters").to_pylist()
+            letters = batch.column(mark).to_pylist()
             texts = batch.column("text").to_pylist()
             langs, scores = np.full(len(texts), NO_LANGUAGE, dtype=object), np.zeros(len(texts))
             given = [i for i, has in enumerate(letters) if has] if held.value else []
@@ -119,21 +119,22 @@ def predict(docs: DataFrame, model) -> DataFrame:
                 langs[which] = np.array(held.value[0], dtype=object)[found.argmax(axis=1)]
                 scores[which] = np.clip((found.max(axis=1).astype(np.float64) + 1) / 2, 0, 1)
             kept = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores)], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores)], [*names, pred, score])
 
-    return docs.select("*", has_letters().alias("_letters")).mapInArrow(run, schema)
+    return docs.select("*", has_letters().alias(mark)).mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, learned from its own labelled rows."""
+def identify(docs: DataFrame, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the columns ``pred`` and ``score``, learned from its own labelled rows."""
     rows = training_rows(docs)
-    return predict(docs, fit(rows) if rows else None)
+    return predict(docs, fit(rows) if rows else None, pred, score)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents with letters; a missing ``lang`` takes the prediction, and stays null where nothing was learned."""
-    found = identify(docs).where((F.col("lang_pred") != NO_LANGUAGE) | has_letters())
-    return found.withColumn("lang", F.coalesce("lang", F.nullif("lang_pred", F.lit(NO_LANGUAGE)))).select(*docs.columns)
+    pred = free_name(docs, "lang_pred")
+    found = identify(docs, pred, free_name(docs, "score")).where((F.col(pred) != NO_LANGUAGE) | has_letters())
+    return found.withColumn("lang", F.coalesce("lang", F.nullif(pred, F.lit(NO_LANGUAGE)))).select(*docs.columns)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ walking until the result lies in the range again.  So the result has the same fo
 pseudonyms in every document, and different values stay different.
 
 Formats: e-mail addresses (letters and digits of the local part and of the domain before its last label), phone
-numbers, card numbers (the check digit is made anew), IPv4 addresses, social security numbers, account numbers
-(IBAN, check digits made anew), calendar dates, access key ids, and values assigned to secret names.
+numbers, card numbers (the check digit is made anew), IPv4 and IPv6 addresses (an IPv6 address is linked as written),
+social security numbers, account numbers (IBAN, check digits made anew), calendar dates, access key ids, and values
+assigned to secret names.  Long values are permuted in linked parts, in time that grows with their length.
 
 Defined results: a null text stays null; an empty or very long text is handled whole; repeated rows get equal
 results; other columns pass through unchanged; an empty table gives an empty result.
@@ -19,6 +20,7 @@ import re
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from hashlib import blake2b
+from ipaddress import IPv6Address
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +29,13 @@ from pyspark.sql import types as T
 from .common import table
 from .workers import begin
 
-#: A deployment passes its own key.
+#: For tests; a deployment passes its own key or names one in the session, since anyone can undo this one's pseudonyms.
 DEFAULT_KEY = b"quillspan pseudonyms"
+#: The session's setting that holds the key.
+KEY_SETTING = "spark.quillspan.pii.key"
 ROUNDS = 8
+#: Characters of a value that are permuted as one number.
+LINKED = 64
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
@@ -77,7 +83,24 @@ def alphabet_of(c: str, hexadecimal: bool) -> str:
 
 
 def permute_letters(text: str, key: bytes, hexadecimal: bool = False) -> str:
-    """ASCII letters and digits of ``text`` permuted, each within its kind."""
+    """ASCII letters and digits of ``text`` permuted, each within its kind.
+
+    A text longer than ``LINKED`` is permuted in parts of that length, there and back: a part's key comes from the
+    parts before it in the pass, so the first pass carries every change to the end and the second one to the front.
+    """
+    if len(text) <= LINKED:
+        return _permute_letters(text, key, hexadecimal)
+    parts = [text[k : k + LINKED] for k in range(0, len(text), LINKED)]
+    for _ in range(2):
+        linked, made = _key(key, "linked"), []
+        for part in parts:
+            made.append(_permute_letters(part, linked, hexadecimal))
+            linked = blake2b(part.encode(), key=linked, digest_size=32).digest()
+        parts = made[::-1]
+    return "".join(parts)
+
+
+def _permute_letters(text: str, key: bytes, hexadecimal: bool) -> str:
     kinds = [alphabet_of(c, hexadecimal) if c.isascii() and c.isalnum() else c for c in text]
     value, size = 0, 1
     for c, kind in zip(text, kinds):
@@ -168,6 +191,16 @@ def address(m: re.Match, key: bytes) -> str | None:
     return ".".join(map(str, permute(int.from_bytes(parts, "big"), 1 << 32, _key(key, "ipv4")).to_bytes(4, "big")))
 
 
+def long_address(m: re.Match, key: bytes) -> str | None:
+    """The layout of an IPv6 address stays; its hexadecimal digits are permuted.  Times and names of code are none."""
+    try:
+        IPv6Address(m.group())
+    except ValueError:
+        return None
+    usual = re.search(r"\d", m.group()) and re.search(r"\w{3}", m.group())
+    return permute_letters(m.group(), _key(key, "ipv6"), hexadecimal=True) if usual else None
+
+
 def social(m: re.Match, key: bytes) -> str | None:
     area, group, serial = (int(p) for p in m.group().split("-"))
     if area in (0, 666) or area >= 900 or not group or not serial:
@@ -230,6 +263,7 @@ RULES: list[tuple[str, str, Callable]] = [
     ("date", r"(?<![\d.,/-])(?P<y>(?:19|20)\d\d)(?P<s>[-/.])(?P<m>\d\d)(?P=s)(?P<d>\d\d)(?![\d/-])", year_first),
     ("date", r"(?<![\d.,/-])(?P<a>\d\d)(?P<s>[-/.])(?P<b>\d\d)(?P=s)(?P<y>(?:19|20)\d\d)(?![\d/-])", day_first),
     ("ipv4", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)", address),
+    ("ipv6", r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,4})?)(?![\w:])", long_address),
     ("social", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", social),
     ("card", r"(?<![\d-])\d(?:[ -]?\d){12,}(?![\d-])", card),
     ("phone", r"(?P<country>(?<![\w+])\+\d{1,3}[ .-]?)(?P<rest>\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3})(?!\d)", phone),
@@ -267,9 +301,13 @@ def compiled_rules() -> list:
     return _compiled
 
 
-def replace_private(docs: DataFrame, key: bytes = DEFAULT_KEY, count: str | None = None) -> DataFrame:
-    """``docs`` with pseudonyms in ``text``; ``count`` names a column that takes the number of replaced values."""
+def replace_private(docs: DataFrame, key: bytes | None = None, count: str | None = None) -> DataFrame:
+    """``docs`` with pseudonyms in ``text``; ``count`` names a column that takes the number of replaced values.
+
+    Without ``key``, the session's setting ``KEY_SETTING`` is the key, or where that is unset ``DEFAULT_KEY``.
+    """
     names, schema = docs.columns, docs.schema
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, "").encode() or DEFAULT_KEY
     if count:
         schema = T.StructType([*schema.fields, T.StructField(count, T.LongType())])
 

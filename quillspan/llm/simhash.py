@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillspan.operators.components import UnionFind, connected_components
 
-from .common import materialise, table, with_text
+from .common import free_name, materialise, table, with_text
 from .workers import begin
 
 #: Fingerprints of one key that are compared in one piece; a key with more is dealt into cells.
@@ -144,9 +144,10 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4) -> DataF
 def keep_one(docs: DataFrame, distance: int = 4, words: int = 4) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of least id, null ids last; columns stay as they are."""
     kept = near_duplicates(docs, distance, words).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")).distinct()
-    keyed = docs.withColumns({"own_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    same = keyed["doc_id"].eqNullSafe(kept["kept_id"]) & (keyed["own_hash"] == kept["kept_hash"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "own_hash"]).select(*docs.columns)
+    own = free_name(docs, "own_hash")
+    keyed = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = keyed["doc_id"].eqNullSafe(kept["kept_id"]) & (keyed[own] == kept["kept_hash"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", own]).select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
