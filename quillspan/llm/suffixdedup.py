@@ -12,7 +12,8 @@ among its substrings of ``KMER`` bytes; equal windows have equal least hashes, s
 4. Repeated windows go back to their texts, which lose the bytes that they cover.
 
 A value with very many distinct segments (texts that share a passage and differ around it) is trimmed first: windows
-are counted by the hash of both their ends, and only stretches whose ends recur are compared.
+are counted by the hash of all their bytes, and only stretches of windows whose hash recurs are compared.  Of a common
+passage such stretches differ only in where they begin and end, so a value keeps few of them however many texts it has.
 
 Defined results: a null text counts as the empty one for the query and stays null in ``without_repeats``; texts shorter
 than a window lose nothing; of equal texts all lose everything, repeated rows included; a character that is cut in
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, table
+from .common import free_name, materialise, table
 from .workers import begin
 
 WIDTH, KMER = 400, 64
@@ -143,14 +144,17 @@ def repeated_windows(parts: list[bytes], width: int):
     needed = np.cumsum(change[:n]) > 0
     part_end = np.repeat(ends, lengths + 1)
 
+    bounds = np.arange(257)
     direct = np.flatnonzero(needed & smaller)
-    keys = [buffer[a:b] for a, b in zip(direct.tolist(), np.minimum(direct + width, part_end[direct]).tolist())]
-    direct = direct[np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)] if keys else direct
-    del keys
+    direct = direct[np.argsort(text[direct], kind="stable")]
+    direct_at = np.searchsorted(text[direct], bounds)
+    for a, b in zip(direct_at.tolist(), direct_at[1:].tolist()):  # only one bucket's bytes are copied at a time
+        some = direct[a:b]
+        keys = [buffer[i:j] for i, j in zip(some.tolist(), np.minimum(some + width, part_end[some]).tolist())]
+        if keys:
+            direct[a:b] = some[np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)]
     induced = np.flatnonzero(needed & ~smaller)
     induced = induced[np.argsort(text[induced], kind="stable")]
-    bounds = np.arange(257)
-    direct_at = np.searchsorted(text[direct], bounds)
     induced_at = np.searchsorted(text[induced], bounds)
     rank = np.full(n, -1, np.int64)
     for c in range(256):  # a bucket's induced suffixes come before its direct ones
@@ -204,6 +208,7 @@ def compared(parts: DataFrame, width: int) -> DataFrame:
             kinds = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, kinds)], ["key", "firsts", "lasts"])
 
+        begin("suffixdedup")
         rows, size, value = [], 0, None
         for batch in batches:
             for key, v, copies, part in zip(*(batch.column(c).to_pylist() for c in ("key", "value", "copies", "part"))):
@@ -220,30 +225,24 @@ def compared(parts: DataFrame, width: int) -> DataFrame:
     return ordered.mapInArrow(compare, "key binary, firsts array<long>, lasts array<long>")
 
 
-def end_hashes(data, width: int):
-    """For each window, one hash of its first and last ``KMER`` bytes."""
-    hashes = rolling_hashes(data, KMER)
-    return hashes[: len(data) - width + 1] * hashes.dtype.type(3) + hashes[width - KMER :]
-
-
 def trimmed(parts: DataFrame, width: int) -> DataFrame:
-    """What ``compared`` gives, for values with very many segments: only windows whose ends recur are compared."""
+    """What ``compared`` gives, for values with very many segments: only windows whose hash recurs are compared."""
     parts = materialise(parts.select("key", "value", "copies", "part"), "large-values")
 
-    def ends(batches: Iterator) -> Iterator:
+    def hashed(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 some = batch.slice(k, 500)
-                found = [end_hashes(np.frombuffer(p, np.uint8), width) for p in some.column("part").to_pylist()]
+                found = [rolling_hashes(np.frombuffer(p, np.uint8), width) for p in some.column("part").to_pylist()]
                 owner = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-                yield pa.RecordBatch.from_arrays([*(some.column(c).take(owner) for c in ("key", "value", "copies")), pa.array(np.concatenate(found).view(np.int64))], ["key", "value", "copies", "ends"])
+                yield pa.RecordBatch.from_arrays([*(some.column(c).take(owner) for c in ("key", "value", "copies")), pa.array(np.concatenate(found).view(np.int64))], ["key", "value", "copies", "hash"])
 
-    windows = materialise(parts.mapInArrow(ends, "key binary, value long, copies long, ends long"), "window-ends")
-    again = materialise(windows.groupBy("value", "ends").agg(F.sum("copies").alias("n")).where("n > 1").select("value", "ends"), "ends")
-    wanted = windows.join(again, ["value", "ends"]).groupBy("key").agg(F.collect_set("ends").alias("wanted"))
+    windows = materialise(parts.mapInArrow(hashed, "key binary, value long, copies long, hash long"), "window-hashes")
+    again = materialise(windows.groupBy("value", "hash").agg(F.sum("copies").alias("n")).where("n > 1").select("value", "hash"), "hashes")
+    wanted = windows.join(again, ["value", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("wanted"))
 
     def cut(batches: Iterator) -> Iterator:
         import numpy as np
@@ -252,7 +251,7 @@ def trimmed(parts: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             rows = []
             for key, value, copies, part, found in zip(*(batch.column(c).to_pylist() for c in ("key", "value", "copies", "part", "wanted"))):
-                kept = np.isin(end_hashes(np.frombuffer(part, np.uint8), width), np.array(found, np.int64).view(np.uint64))
+                kept = np.isin(rolling_hashes(np.frombuffer(part, np.uint8), width), np.array(found, np.int64).view(np.uint64))
                 for a, b in zip(*(x.tolist() for x in runs_of(kept))):
                     some = part[a : b + width]
                     rows.append((hashlib.blake2b(some, digest_size=16).digest(), value, key, a, copies, some))
@@ -325,11 +324,11 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     pieces = materialise(mine.mapInArrow(cut, "key binary, value long, digest binary, at long, copies long, size long, part binary"), "segments")
     parts = pieces.groupBy("key").agg(F.max("value").alias("value"), F.sum("copies").alias("copies"), F.first("part", ignorenulls=True).alias("part"))
-
-    large = pieces.groupBy("value").agg(F.sum("size").alias("size")).where(F.col("size") > TRIM_BYTES).select("value")
+    large = materialise(pieces.groupBy("value").agg(F.sum("size").alias("size")).where(F.col("size") > TRIM_BYTES).select("value"), "large")
     if large.isEmpty():
         repeated = compared(parts, width)
     else:
+        parts = materialise(parts, "parts")
         repeated = compared(parts.join(large, "value", "left_anti"), width).unionByName(trimmed(parts.join(large, "value", "left_semi"), width))
     return moved(pieces.select("key", "digest", "at").join(repeated, "key"), "digest")
 
@@ -353,15 +352,17 @@ def kept_bytes(raw: bytes, firsts: list[int], lasts: list[int], width: int) -> t
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text``."""
     names, schema = docs.columns, docs.schema
+    own = {c: free_name(docs, c) for c in ("digest", "firsts", "lasts")}
     digest = F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32))
-    joined = docs.withColumn("_digest", digest).join(materialise(repeated_spans(docs, width), "spans").withColumnsRenamed({"digest": "_digest", "firsts": "_firsts", "lasts": "_lasts"}), "_digest", "left").drop("_digest")
+    spans = materialise(repeated_spans(docs, width), "spans").withColumnsRenamed(own)
+    joined = docs.withColumn(own["digest"], digest).join(spans, own["digest"], "left").select(*names, own["firsts"], own["lasts"])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             texts = []
-            for text, a, b in zip(*(batch.column(c).to_pylist() for c in ("text", "_firsts", "_lasts"))):
+            for text, a, b in zip(*(batch.column(c).to_pylist() for c in ("text", own["firsts"], own["lasts"]))):
                 texts.append(text if not a else kept_bytes(text.encode(), a, b, width)[0].decode("utf-8", "ignore"))
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)
