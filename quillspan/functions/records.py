@@ -9,8 +9,16 @@ from pyspark.sql import functions as F
 
 #: The date formats that are tried in order after epochs and ISO forms.
 DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd MMM yyyy", "MMM dd, yyyy", "yyyy-MM", "yyyy"]
-#: Words of pages that stand in place of the wanted one.
-BLOCK_MARKERS = ["just a moment", "attention required", "access denied", "verify you are human", "enable javascript and cookies", "unusual traffic"]
+#: Words of pages that stand in place of the wanted one, in the order in which they are looked for.
+BLOCK_MARKERS = [
+    "just a moment", "attention required", "checking your browser", "verify you are human",
+    "enable javascript and cookies", "access denied", "403 forbidden", "unusual traffic",
+    "are you a robot", "captcha", "cf-chl", "__cf_chl", "ddos-guard",
+    "访问频次异常", "操作太频繁", "请稍候再试", "请稍后再试", "您两次操作间隔", "人机验证",
+    "拖动滑块", "访问链接异常", "检测到非正常操作", "账号异常",
+]
+#: A page of fewer characters that loads one of these scripts is blocked too.
+SHELL_LENGTH, SHELL_SCRIPTS, SHELL = 600, ["challenge-platform", "/cdn-cgi/challenge"], "short_challenge_shell"
 
 
 def dig(record: Column, path: str) -> Column:
@@ -49,9 +57,10 @@ def results_state(record: Column, path: str) -> Column:
 
 
 def blocked_by(html: Column) -> Column:
-    """The first marker of a block page that a text holds; null for none."""
+    """The first marker of a block page that a text holds, or ``SHELL`` for a short page of a challenge; null for none."""
     low = F.lower(F.coalesce(html, F.lit("")))
-    return F.coalesce(*(F.when(F.contains(low, F.lit(m)), m) for m in BLOCK_MARKERS))
+    shell = (F.length(html) < SHELL_LENGTH) & reduce(Column.__or__, (F.contains(low, F.lit(m)) for m in SHELL_SCRIPTS))
+    return F.coalesce(*(F.when(F.contains(low, F.lit(m)), m) for m in BLOCK_MARKERS), F.when(shell, SHELL))
 
 
 def window(text: Column, start: Column, size: int, back: int = 400) -> Column:

@@ -107,6 +107,10 @@ def test_records(spark):
     dates = [one(spark, R.as_date(F.lit(v))) for v in ("1704067200", "2024-01-01T00:00:00Z", "2024/01/01", "01 Jan 2024", "never")]
     assert dates == [datetime.datetime(2024, 1, 1)] * 4 + [None]
     assert one(spark, R.blocked_by(F.lit("<h1>Just a moment</h1>"))) == "just a moment"
+    assert one(spark, R.blocked_by(F.lit("Access Denied: checking your browser"))) == "checking your browser"
+    assert one(spark, R.blocked_by(F.lit("请进行人机验证"))) == "人机验证"
+    assert one(spark, R.blocked_by(F.lit("<script src='/cdn-cgi/challenge/x'></script>"))) == "short_challenge_shell"
+    assert one(spark, R.blocked_by(F.lit("<script src='/cdn-cgi/challenge/x'></script>" + "x" * 600))) is None
     assert [one(spark, R.quoted(F.lit(v))) for v in ("plain", 'a: "b"', "")] == ["plain", '"a: \\"b\\""', '""']
     assert one(spark, R.markdown({"source": F.lit("s"), "date": F.lit(None)}, F.lit("T"), F.lit("c"))) == "---\nsource: s\n---\n\n# T\n\nc"
     found = one(spark, R.handles(F.array(F.lit("https://x.org/a.mp3"), F.lit("https://youtu.be/1"), F.lit("https://z.org"))))
