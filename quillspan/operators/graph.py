@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 from quillspan.operators.components import connected_components
 
 SYMMETRIC = ["same_as", "not_same_as", "coauthored", "conflicts"]
-#: The methods by which each policy accepts an identity edge.
-POLICIES = {
-    "conservative": ["id_eq"],
-    "working": ["id_eq", "title_fp"],
-    "exploratory": ["id_eq", "title_fp", "name_key"],
-}
+# The methods by which each policy accepts an identity edge, and the policies that heed rulings.
+BY_ID = ["id_eq:doi", "id_eq:arxiv", "id_eq:openalex", "id_eq:orcid"]
+POLICIES = {"conservative": BY_ID, "working": [*BY_ID, "ruling"], "exploratory": [*BY_ID, "ruling", "align:title_fp", "align:name_match"]}
+RULED = ["working", "exploratory"]
 
 
 def node_kind(node: Column) -> Column:
@@ -44,10 +42,13 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def accepted(edges: DataFrame, policy: str, rulings: DataFrame | None = None) -> DataFrame:
-    """``edges`` under a policy: facts pass, identities by its methods; rulings (a, b, verdict) overrule, refusals win."""
-    methods = POLICIES.get(policy, POLICIES["conservative"])
-    kept = edges.where((F.col("type") != "same_as") | F.col("method").isin(methods))
-    if rulings is None:
+    """``edges`` under a policy: facts pass, identities by its methods; an unknown policy is the conservative one.
+
+    Rulings (a, b, verdict) overrule in the policies of ``RULED`` and refusals win; the conservative one knows none.
+    """
+    name = policy.strip().lower()
+    kept = edges.where((F.col("type") != "same_as") | F.col("method").isin(POLICIES.get(name, BY_ID)))
+    if rulings is None or name not in RULED:
         return kept
     ends = rulings.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "verdict")
     final = ends.groupBy("a", "b").agg(F.min("verdict").alias("verdict"))  # not_same before same

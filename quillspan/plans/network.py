@@ -17,7 +17,7 @@ def edges(spark, sf):
         lines.selectExpr("concat('work:o:', l_orderkey) AS src", "concat('topic:p', l_partkey) AS dst", "'about' AS type", "CASE WHEN l_linenumber = 7 THEN 'X' WHEN l_linenumber % 2 = 0 THEN 'A' ELSE 'M' END AS tier", "'tap' AS method", "l_shipdate AS first_seen"),
         customers.selectExpr("concat('person:c:', c_custkey) AS src", "concat('inst:n', c_nationkey) AS dst", "'member_of' AS type", "'M' AS tier", "'tap' AS method", "TIMESTAMP '2020-01-01' AS first_seen"),
         suppliers.selectExpr("concat('person:s:', s_suppkey) AS src", "concat('inst:n', s_nationkey) AS dst", "'member_of' AS type", "'M' AS tier", "'tap' AS method", "TIMESTAMP '2020-01-01' AS first_seen"),
-        customers.where("c_custkey % 5 = 0").selectExpr("concat('person:c:', c_custkey) AS src", "concat('person:c:', c_custkey - 5 + c_custkey % 2) AS dst", "'same_as' AS type", "'A' AS tier", "CASE c_custkey % 3 WHEN 0 THEN 'id_eq' WHEN 1 THEN 'title_fp' ELSE 'name_key' END AS method", "TIMESTAMP '2021-01-01' AS first_seen"),
+        customers.where("c_custkey % 5 = 0").selectExpr("concat('person:c:', c_custkey) AS src", "concat('person:c:', c_custkey - 5 + c_custkey % 2) AS dst", "'same_as' AS type", "'A' AS tier", "CASE c_custkey % 3 WHEN 0 THEN 'id_eq:orcid' WHEN 1 THEN 'align:title_fp' ELSE 'align:name_match' END AS method", "TIMESTAMP '2021-01-01' AS first_seen"),
     ]
     all_edges = made[0]
     for m in made[1:]:
@@ -30,7 +30,7 @@ EDGES = """raw AS (
   UNION ALL SELECT 'work:o:' || l_orderkey, 'topic:p' || l_partkey, 'about', CASE WHEN l_linenumber = 7 THEN 'X' WHEN l_linenumber % 2 = 0 THEN 'A' ELSE 'M' END, 'tap', l_shipdate FROM lineitem
   UNION ALL SELECT 'person:c:' || c_custkey, 'inst:n' || c_nationkey, 'member_of', 'M', 'tap', TIMESTAMP '2020-01-01' FROM customer
   UNION ALL SELECT 'person:s:' || s_suppkey, 'inst:n' || s_nationkey, 'member_of', 'M', 'tap', TIMESTAMP '2020-01-01' FROM supplier
-  UNION ALL SELECT 'person:c:' || c_custkey, 'person:c:' || (c_custkey - 5 + c_custkey % 2), 'same_as', 'A', CASE c_custkey % 3 WHEN 0 THEN 'id_eq' WHEN 1 THEN 'title_fp' ELSE 'name_key' END, TIMESTAMP '2021-01-01' FROM customer WHERE c_custkey % 5 = 0
+  UNION ALL SELECT 'person:c:' || c_custkey, 'person:c:' || (c_custkey - 5 + c_custkey % 2), 'same_as', 'A', CASE c_custkey % 3 WHEN 0 THEN 'id_eq:orcid' WHEN 1 THEN 'align:title_fp' ELSE 'align:name_match' END, TIMESTAMP '2021-01-01' FROM customer WHERE c_custkey % 5 = 0
 ), edges AS MATERIALIZED (
   SELECT CASE WHEN type = 'same_as' THEN least(src, dst) ELSE src END AS src, CASE WHEN type = 'same_as' THEN greatest(src, dst) ELSE dst END AS dst, type, method, min(tier) AS tier, min(first_seen) AS first_seen
   FROM raw WHERE tier IN ('M', 'A') GROUP BY 1, 2, type, method
@@ -147,7 +147,7 @@ ORACLE_SQL = {
 h2 AS (SELECT DISTINCT b AS node FROM h1 JOIN ends ON a = node WHERE b NOT IN (SELECT node FROM h0 UNION SELECT node FROM h1))
 SELECT node, 0 AS hops FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2""",
     "graph_policy_edges": f"""WITH {EDGES}, rul AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(v) AS v FROM (SELECT 'person:c:' || c_custkey AS a, 'person:c:' || (c_custkey - 5 + c_custkey % 2) AS b, CASE WHEN c_custkey % 20 = 0 THEN 'not_same' ELSE 'same' END AS v FROM customer WHERE c_custkey % 10 = 0) GROUP BY 1, 2)
-SELECT DISTINCT src, dst, method FROM edges e WHERE type = 'same_as' AND method IN ('id_eq', 'title_fp') AND NOT EXISTS (SELECT 1 FROM rul WHERE v = 'not_same' AND a = src AND b = dst) UNION SELECT a, b, 'ruling' FROM rul WHERE v = 'same'""",
+SELECT DISTINCT src, dst, method FROM edges e WHERE type = 'same_as' AND method IN ('id_eq:doi', 'id_eq:arxiv', 'id_eq:openalex', 'id_eq:orcid', 'ruling') AND NOT EXISTS (SELECT 1 FROM rul WHERE v = 'not_same' AND a = src AND b = dst) UNION SELECT a, b, 'ruling' FROM rul WHERE v = 'same'""",
     "graph_between": f"""WITH {EDGES}, {ENDS}, w1 AS (SELECT 'person:c:15' AS s, b FROM ends WHERE a = 'person:c:15'), w2 AS (SELECT s, w1.b AS m, ends.b FROM w1 JOIN ends ON ends.a = w1.b WHERE ends.b <> s),
 v1 AS (SELECT 'person:c:20' AS s, b FROM ends WHERE a = 'person:c:20'), v2 AS (SELECT s, v1.b AS m, ends.b FROM v1 JOIN ends ON ends.a = v1.b WHERE ends.b <> s),
 l AS (SELECT 'person:c:15' AS node, ['person:c:15'] AS p UNION ALL SELECT b, [s, b] FROM w1 UNION ALL SELECT b, [s, m, b] FROM w2), r AS (SELECT 'person:c:20' AS node, ['person:c:20'] AS p UNION ALL SELECT b, [s, b] FROM v1 UNION ALL SELECT b, [s, m, b] FROM v2),
@@ -155,7 +155,7 @@ met AS (SELECT DISTINCT l.p || list_reverse(r.p)[2:] AS p FROM l JOIN r USING (n
 SELECT (len(p) - 1)::INTEGER AS edges, array_to_string(p, '|') AS path FROM met WHERE len(p) = len(list_distinct(p)) AND len(p) >= 2 ORDER BY len(p), path LIMIT 8""",
     "graph_since": f"WITH {EDGES} SELECT src, dst, type, first_seen FROM edges WHERE (src = 'person:c:7' OR dst = 'person:c:7') AND first_seen >= TIMESTAMP '1996-01-01'",
     "graph_find": f"WITH {EDGES}, {NODES}, f AS (SELECT * FROM nodes WHERE contains(lower(label), 'c:') AND contains(lower(label), '12') AND kind = 'person') SELECT id, kind, label, (SELECT count(*) FROM f) > 10 AS capped FROM f ORDER BY id LIMIT 10",
-    "graph_voices": f"""WITH RECURSIVE {EDGES}, part_of AS (SELECT src AS a, dst AS b FROM edges WHERE type = 'same_as' OR type = 'authored' AND dst LIKE '%07'), ways AS (SELECT a, b FROM part_of UNION SELECT b, a FROM part_of),
+    "graph_voices": f"""WITH RECURSIVE {EDGES}, part_of AS (SELECT src AS a, dst AS b FROM edges WHERE type = 'same_as' OR type = 'authored'), ways AS (SELECT a, b FROM part_of UNION SELECT b, a FROM part_of),
 reach AS (SELECT a AS node, a AS least FROM ways UNION SELECT b, least FROM reach JOIN ways ON a = node WHERE least < b),
 roots AS (SELECT node, min(least) AS voice FROM reach GROUP BY node)
 SELECT voice, count(*) FILTER (starts_with(node, 'doc:')) AS documents, count(*) FILTER (starts_with(node, 'work:')) AS works, CASE WHEN count(*) FILTER (starts_with(node, 'work:')) >= 1 OR count(*) FILTER (starts_with(node, 'doc:')) >= 2 THEN 'voice' ELSE 'unresolved' END AS verdict FROM roots GROUP BY voice""",

@@ -160,11 +160,15 @@ def test_graph_rules(spark):
     rows = [("B", "A", "coauthored", "M", "m", 1), ("A", "B", "coauthored", "M", "m", 2), ("A", "C", "cites", "J", "m", 1)]
     edges = graph.normal_edges(spark.createDataFrame(rows, "src string, dst string, type string, tier string, method string, first_seen int").withColumn("last_seen", F.col("first_seen")))
     assert [(r.src, r.dst, r.first_seen, r.last_seen) for r in edges.collect()] == [("A", "B", 1, 2)]
-    same = spark.createDataFrame([("doc:1", "doc:2", "same_as", "id_eq"), ("doc:2", "work:3", "same_as", "title_fp"), ("doc:9", "person:1", "same_as", "id_eq")], "src string, dst string, type string, method string")
+    same = spark.createDataFrame([("doc:1", "doc:2", "same_as", "id_eq:doi"), ("doc:2", "work:3", "same_as", "align:title_fp"), ("doc:9", "person:1", "same_as", "id_eq:orcid")], "src string, dst string, type string, method string")
     got = {(r.documents, r.works, r.verdict) for r in graph.voices(same, "conservative").collect()}
     assert got == {(2, 0, "voice"), (1, 0, "unresolved")}
     ruled = spark.createDataFrame([("doc:2", "doc:1", "same"), ("doc:1", "doc:2", "not_same")], "a string, b string, verdict string")
-    assert graph.accepted(same, "conservative", ruled).where("src = 'doc:1'").count() == 0
+    pairs = lambda policy, r=None: {(e.src, e.dst, e.method) for e in graph.accepted(same, policy, r).collect()}
+    by_id, by_title = {("doc:1", "doc:2", "id_eq:doi"), ("doc:9", "person:1", "id_eq:orcid")}, {("doc:2", "work:3", "align:title_fp")}
+    assert pairs("conservative", ruled) == pairs("working") == pairs("unheard of", ruled) == by_id and pairs("exploratory") == by_id | by_title
+    assert pairs(" Working ", ruled) == {("doc:9", "person:1", "id_eq:orcid")}
+    assert pairs("working", spark.createDataFrame([("z", "y", "same")], "a string, b string, verdict string")) == by_id | {("y", "z", "ruling")}
     assert [one(spark, graph.node_kind(F.lit(n))) for n in ("doc:a", "inst:b", "inv:c", "work:d", "e")] == ["document", "institution", "investigation", "work", "unknown"]
 
 
