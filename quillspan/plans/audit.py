@@ -138,7 +138,7 @@ ORACLE_SQL = {
     "coverage_grid": f"WITH {GRID} SELECT * FROM grid",
     "coverage_gaps": f"WITH {GRID} SELECT domain, mode FROM grid WHERE state = 'empty' OR state IN ('single', 'dark') AND (domain, mode) NOT IN (('de', 'search'), ('it', 'recall'))",
     "coverage_impact": f"WITH {ROSTER}, {CELLS}, p AS (SELECT DISTINCT name, domain, mode FROM placed), l AS (SELECT domain, mode, count(*) FILTER (name <> 'src0') AS left_over FROM p WHERE (domain, mode) IN (SELECT (domain, mode) FROM p WHERE name = 'src0') GROUP BY ALL) SELECT domain, mode, left_over AS \"left\", CASE left_over WHEN 0 THEN 'empty' WHEN 1 THEN 'single' ELSE 'covered' END AS turns FROM l",
-    "search_plan": """WITH c AS (SELECT source AS name, substr(source, 4)::INTEGER AS k, coalesce(list_distinct(flatten(list(regexp_split_to_array(lower(text), '[^a-z]+')) FILTER (doc_id < 40))), []) AS tokens FROM documents GROUP BY source),
+    "search_plan": """WITH c AS (SELECT source AS name, substr(source, 4)::INTEGER AS k, coalesce(list_distinct(flatten(list(regexp_split_to_array(lower(text), '[^a-z]+')))), []) AS tokens FROM documents GROUP BY source),
 f AS (SELECT *, CASE WHEN k = 4 THEN true WHEN k % 6 = 4 OR k % 9 = 2 OR k = 17 THEN false ELSE true END AS enabled, CASE WHEN k % 8 = 5 THEN 'retired' WHEN k % 8 = 6 THEN 'org_watch_static' WHEN k > 17 THEN 'emergency' END AS reason FROM c),
 q AS (SELECT t, count(*) FILTER (list_contains(tokens, t)) AS d, count(*) AS n FROM f, unnest(['the', 'tion', 'with', 'and', 'les']) AS u(t) GROUP BY t),
 r AS (SELECT f.name, k, enabled, reason, sum(CASE WHEN list_contains(tokens, t) THEN ln(1 + (n - d + 0.5) / (d + 0.5)) ELSE 0 END) AS fit FROM f, q GROUP BY ALL)

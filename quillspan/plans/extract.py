@@ -106,14 +106,16 @@ ORACLE_SQL = {
     "normal_urls": "SELECT page_id, regexp_replace(lower(regexp_replace(regexp_replace(url, '[?#].*$', '', 's'), '/+$', '')), '^https?://(www\\.)?', '') AS url FROM pages",
     "tail_passages": """WITH c AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, i, substr(text, i * 2000 + 1, 2000) AS s FROM documents, unnest(range(1, 17)) AS r(i) WHERE length(text) > i * 2000),
 k AS (SELECT *, title || chr(10) || s AS p FROM c WHERE trim(s) <> '') SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS chunk, length(p)::INTEGER AS chars, sha256(p) AS digest FROM k""",
-    "text_pages": """WITH a AS (SELECT doc_id, text, length(text) AS n, substr(text, 1, 1000) AS raw FROM documents), b AS (SELECT *, CASE WHEN n > 1000 AND contains(right(raw, 400), chr(10)) THEN 1000 - instr(reverse(raw), chr(10)) + 1 ELSE length(raw) END AS f FROM a),
-c AS (SELECT *, substr(text, f + 1, 1000) AS raw2 FROM b)
-SELECT doc_id, f::INTEGER AS first_chars, CASE WHEN n > 1000 THEN f END::INTEGER AS first_next, CASE WHEN n > 1000 THEN CASE WHEN f + 1000 < n AND contains(right(raw2, 400), chr(10)) THEN 1000 - instr(reverse(raw2), chr(10)) + 1 ELSE length(raw2) END END::INTEGER AS second_chars FROM c""",
+    "text_pages": """WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, text, length(text) AS n FROM documents),
+p AS (SELECT doc_id, 0 AS page, 0 AS start FROM d WHERE n IS NOT NULL UNION ALL SELECT doc_id, page + 1, ends FROM (SELECT p.doc_id, page, start + length(raw) - CASE WHEN contains(right(raw, 400), chr(10)) THEN length(regexp_extract(raw, '[^\\n]*$')) ELSE 0 END AS ends
+  FROM (SELECT p.*, substr(text, start + 1, 1000) AS raw, n FROM p JOIN d USING (doc_id)) p WHERE start + 1000 < n)),
+e AS (SELECT doc_id, page, start, lead(start) OVER (PARTITION BY doc_id ORDER BY page) AS next FROM p)
+SELECT doc_id, page::INTEGER AS page, start::INTEGER AS start, (coalesce(next, n) - start)::INTEGER AS chars, next::INTEGER AS next, sha256(substr(text, start + 1, coalesce(next, n) - start)) AS digest FROM d LEFT JOIN e USING (doc_id)""",
     "record_fields": "SELECT event_id, (props->>'$.k')::BIGINT AS k, (props->>'$.k')::BIGINT AS deep, 'rows' AS rows, 'empty' AS none, 'wrong_type' AS at_state, 'absent' AS missing, event_id::VARCHAR AS any_of FROM events",
-    "dates_read": "SELECT event_id, CASE event_id // 4 % 7 WHEN 0 THEN date_trunc('second', ts) WHEN 5 THEN date_trunc('second', ts) WHEN 6 THEN NULL ELSE date_trunc('day', ts) END::TIMESTAMP AS date FROM events WHERE event_id % 4 = 0",
+    "dates_read": "SELECT event_id, CASE event_id // 4 % 7 WHEN 0 THEN date_trunc('second', ts) WHEN 5 THEN date_trunc('second', ts) WHEN 6 THEN NULL ELSE date_trunc('day', ts) END::TIMESTAMP AS date FROM events",
     "agent_views": "SELECT doc_id, sha256(substr(text, 1, 2000)) AS content, length(text) > 2000 AS content_truncated, length(text)::INTEGER AS content_full_chars FROM documents",
     "summary_lines": "SELECT doc_id, concat_ws(' | ', '[' || source || ']', nullif(split_part(text, chr(10), 1), ''), CASE WHEN doc_id % 7 <> 0 THEN strftime(TIMESTAMP '2024-01-01' + to_days((doc_id % 400)::INTEGER), '%Y-%m-%d') END) AS line FROM documents",
-    "inverted_abstracts": "SELECT doc_id, array_to_string(regexp_split_to_array(text, '\\s+'), ' ') AS abstract FROM documents WHERE length(text) < 1500",
+    "inverted_abstracts": "SELECT doc_id, array_to_string(regexp_split_to_array(text, '\\s+'), ' ') AS abstract FROM documents",
     "conversation_answers": """WITH q AS (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id), a AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS nth FROM conversations WHERE role = 'assistant')
 SELECT conv_id AS id, 'question' AS part, text FROM q UNION ALL SELECT q.conv_id, 'answer', a.text FROM q JOIN a ON a.conv_id = q.conv_id AND nth = 1""",
     "newest_values": """WITH f AS (SELECT l_partkey % 300 AS concept, l_shipdate::DATE AS e, l_shipdate::DATE - trunc(l_quantity)::INTEGER AS s, l_orderkey * 10 + l_linenumber AS filed, min(l_extendedprice) AS value FROM lineitem GROUP BY ALL),

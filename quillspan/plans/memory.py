@@ -143,7 +143,7 @@ SELECT source, source_id, coalesce(last_seen >= ran_at, false) AS still_live, ro
     "sensor_notify": "SELECT doc_id, 'any' AS rule FROM documents WHERE contains(lower(text), 'password') OR contains(lower(text), 'akia') UNION ALL SELECT doc_id, 'every' FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'and') AND contains(lower(text), 'of')",
     "health_streaks": f"WITH {STREAKS} SELECT * FROM st",
     "health_transitions": f"WITH {STREAKS}, l AS (SELECT *, coalesce(lag(fails) OVER (PARTITION BY source ORDER BY seen), 0) AS b FROM st), e AS (SELECT source, seen, CASE WHEN fails = 2 AND b = 1 AND NOT ok THEN 'down' WHEN fails = 0 AND b >= 2 THEN 'recovered' END AS event FROM l) SELECT * FROM e WHERE event IS NOT NULL",
-    "schedules": f"""WITH r AS (SELECT event_id, ts, {SCHEDULES}[(event_id // 10 % 8 + 1)::INTEGER] AS schedule FROM events WHERE event_id % 10 = 0),
+    "schedules": f"""WITH r AS (SELECT event_id, ts, {SCHEDULES}[(event_id // 10 % 8 + 1)::INTEGER] AS schedule FROM events),
 k AS (SELECT *, split_part(schedule, '@', 1) AS kind, try_cast(regexp_extract(schedule, '@(\\d+) ', 1) AS INTEGER) AS num, try_cast(regexp_extract(schedule, '(\\d+):\\d+$', 1) AS INTEGER) * 60 + try_cast(regexp_extract(schedule, ':(\\d+)$', 1) AS INTEGER) AS mins, ts::DATE AS d FROM r),
 days AS (SELECT k.*, x AS day FROM k, unnest(generate_series(d - 62, d, INTERVAL 1 DAY)) AS g(x)),
 slots AS (SELECT event_id, max(day + to_minutes(mins)) AS slot FROM days WHERE day + to_minutes(mins) <= ts AND (kind = 'daily' OR kind = 'weekly' AND isodow(day) = num OR kind = 'monthly' AND day(day) = least(num, day(last_day(day)))) GROUP BY event_id)

@@ -191,7 +191,7 @@ ORACLE_SQL = {
     "dedup_survivors": f"WITH RECURSIVE {DOCS}, {SURVIVORS} SELECT pos, source, members, array_to_string(also_in, ',') AS also_in, array_to_string(live_sources, ',') AS live_sources, corroboration, date, date_from, merge_basis FROM survivors",
     "engagement_percentile": f"WITH {DOCS}, {ENG.format('docs')} SELECT pos, round(eng, 9)::DOUBLE AS eng FROM engaged",
     "signal_divergence": """
-WITH raw AS (SELECT DISTINCT l_partkey AS grp, l_orderkey * 10 + l_linenumber AS pos, 's' || (l_suppkey % 7) AS source, l_quantity AS q, round(l_extendedprice * (0.05 - l_discount), 2) AS v FROM lineitem WHERE l_partkey % 10 = 0),
+WITH raw AS (SELECT DISTINCT l_partkey AS grp, l_orderkey * 10 + l_linenumber AS pos, 's' || (l_suppkey % 7) AS source, l_quantity AS q, round(l_extendedprice * (0.05 - l_discount), 2) AS v FROM lineitem),
 one AS (SELECT grp, pos, min(source) AS source, min(q) AS q, min(v) AS v FROM raw GROUP BY ALL),
 s AS (SELECT grp, pos, source, 'quantity' AS signal, q AS value FROM one UNION ALL SELECT grp, pos, source, 'net', v FROM one),
 p AS (SELECT a.grp, a.signal, a.source AS source_a, b.source AS source_b, a.pos AS pos_a, b.pos AS pos_b,
