@@ -44,15 +44,22 @@ class PieceCache:
 
 
 class Known(dict):
-    """What ``make`` gives for each key, made when it is first looked up."""
+    """What ``make`` gives for each key, made when it is first looked up.
+
+    When half of ``limit`` is taken, what is held becomes the old half, and the former old half goes: keys that are met
+    again move back, rare ones leave.
+    """
 
     def __init__(self, make: Callable, limit: int = CACHE_BYTES):
-        self.make, self.limit, self.size = make, limit, 0
+        self.make, self.limit, self.size, self.old = make, limit // 2, 0, {}
 
     def __missing__(self, key):
-        found = self.make(key)
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
         self.size += 2 * len(key) + ENTRY_BYTES
         if self.size > self.limit:
+            self.old = self.copy()
             self.clear()
             self.size = 2 * len(key) + ENTRY_BYTES
         self[key] = found
@@ -142,7 +149,7 @@ class PieceIds:
         if piece[0] == _WHOLE:
             return self.model(piece[1:])
         if piece.isalpha():
-            return self.model(f" {piece}")
+            return self.model.after_blank(piece)
         if piece[-1] in ".,;:!?" and piece[:-1].isalpha():  # letters before one mark are two matches
             return self.known[piece[:-1]] + self.known[_WHOLE + piece[-1]]
         if not is_plain(piece):
@@ -172,7 +179,14 @@ class ModelIds:
 
     def __init__(self, library):
         self.tokenize, self.characters = library.model.tokenize, level_characters()
-        self.packs = [struct.Struct(f"<{n}I").pack for n in range(16)]
+        self.packs, self.blank = [struct.Struct(f"<{n}I").pack for n in range(16)], self.characters[32]
+
+    def after_blank(self, letters: str) -> bytes:
+        """The ids of a blank and letters."""
+        if not letters.isascii():
+            return self(f" {letters}")
+        ids = [t.id for t in self.tokenize(self.blank + letters)]
+        return self.packs[len(ids)](*ids) if len(ids) < 16 else struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, word: str) -> bytes:
         plain = word.isascii() and word.isprintable()  # only the blank is written otherwise

@@ -31,6 +31,8 @@ from .common import discard, materialise, shared_dir, single_threaded_tokenizers
 from .workers import begin, kept
 
 SHARD_TOKENS = 1 << 20
+#: Bytes of memory for the pieces that a worker knows; it bounds memory and never changes a result.
+PIECE_BYTES = 224 << 20
 BLOCK = 512
 MAGIC = b"QWM2"
 SHARD = "part int, shard int, part_start long, n_tokens long, file binary"
@@ -196,7 +198,7 @@ def level_encoder(path: str, pattern: str):
 
     library = Tokenizer.from_file(path)
     added = [t.content for t in library.get_added_tokens_decoder().values()]
-    by_piece = PieceIds(regex.compile(pattern).findall, ModelIds(library))
+    by_piece = PieceIds(regex.compile(pattern).findall, ModelIds(library), PIECE_BYTES)
     return lambda text: library_ids(library, text) if any(a in text for a in added) else by_piece(text)
 
 
