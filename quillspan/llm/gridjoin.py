@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from quillspan.operators.components import UnionFind, connected_components
 
@@ -30,8 +31,9 @@ from .common import materialise, table
 from .topk import is_sound
 
 SAMPLE = 4096
-#: Dimensions of the grid order, and of boxes.
+#: Dimensions of the grid order, and of boxes, whose last one is the norm of what the leading ones leave.
 GRID_DIMS, BOX_DIMS = 6, 16
+LEADING = BOX_DIMS - 1
 BLOCK_ROWS, SMALL_ROWS, FAN = 4096, 256, 16
 SLACK = 1e-6
 
@@ -45,15 +47,26 @@ def rotations(classes: DataFrame) -> dict:
         found.setdefault(len(v), []).append(v)
     out = {}
     for dim, rows in found.items():
-        x = np.array(rows, np.float64)
+        x = np.stack([as_doubles(v) for v in rows])
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         out[dim] = np.linalg.eigh(x.T @ x / len(x) - np.outer(x.mean(0), x.mean(0)))[1][:, ::-1]
     return out
 
 
+def as_doubles(vector: list[float]):
+    """A vector in double precision, scaled by a power of two so that no square overflows or vanishes; its direction is exact."""
+    import numpy as np
+
+    x = np.array(vector, np.float64)
+    return np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))
+
+
 def projected(classes: DataFrame, epsilon: float, bases: dict) -> DataFrame:
-    """``classes`` with ``dim``, the grid ``cells`` and the leading principal coordinates ``point``."""
-    bases = {d: b[:, :BOX_DIMS] for d, b in bases.items()}
+    """``classes`` with ``dim``, the grid ``cells`` and the ``point``: ``LEADING`` principal coordinates and the norm of the rest.
+
+    Two vectors are as far apart at least as their points: the norms of the rests differ by no more than the rests do.
+    """
+    bases = {d: b[:, :LEADING] for d, b in bases.items()}
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -62,11 +75,12 @@ def projected(classes: DataFrame, epsilon: float, bases: dict) -> DataFrame:
         for batch in batches:
             points, cells, dims = [], [], []
             for v in batch.column("embedding").to_pylist():
-                x = np.array(v, np.float64)
+                x = as_doubles(v)
                 y = np.zeros(BOX_DIMS)
                 # a length that the sample lacks keeps its own leading dimensions
-                z = x @ bases[len(x)] if len(x) in bases else x[:BOX_DIMS]
+                z = x @ bases[len(x)] if len(x) in bases else x[:LEADING]
                 y[: len(z)] = z / np.linalg.norm(x)
+                y[LEADING] = max(0.0, 1 - y @ y) ** 0.5
                 points.append(y)
                 cells.append(np.floor(y[:GRID_DIMS] / epsilon).astype(np.int32).tolist())
                 dims.append(len(x))
@@ -212,6 +226,8 @@ def class_links(rows: DataFrame, least: float, epsilon: float) -> DataFrame:
     ``rows`` are (block, pos, dim, embedding, n, point); a class is block * BLOCK_ROWS + pos.
     """
 
+    kind = "<f4" if isinstance(rows.schema["embedding"].dataType.elementType, FloatType) else "<f8"
+
     def gather(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -219,7 +235,7 @@ def class_links(rows: DataFrame, least: float, epsilon: float) -> DataFrame:
         held: dict = {}
         for batch in batches:
             for block, pos, v, n, p in zip(*(batch.column(c).to_pylist() for c in ("block", "pos", "embedding", "n", "point"))):
-                held.setdefault(block, []).append((pos, np.array(v, "<f4"), n, np.array(p, "<f8")))
+                held.setdefault(block, []).append((pos, as_doubles(v).astype(kind), n, np.array(p, "<f8")))
         for block, found in held.items():
             found.sort(key=lambda r: r[0])
             vectors, weights, points = (np.stack([r[i] for r in found]) for i in (1, 2, 3))
@@ -242,7 +258,7 @@ def class_links(rows: DataFrame, least: float, epsilon: float) -> DataFrame:
         def block(batch, i: int, side: str):
             dim = batch.column("dim")[i].as_py()
             vectors, weights, points = (batch.column(f"{c}_{side}")[i].as_py() for c in ("vectors", "weights", "points"))
-            return np.frombuffer(vectors, "<f4").reshape(-1, dim).astype(np.float64), np.frombuffer(weights, "<i8"), np.frombuffer(points, "<f8").reshape(-1, BOX_DIMS)
+            return np.frombuffer(vectors, kind).reshape(-1, dim).astype(np.float64), np.frombuffer(weights, "<i8"), np.frombuffer(points, "<f8").reshape(-1, BOX_DIMS)
 
         for batch in batches:
             for i in range(batch.num_rows):

@@ -250,6 +250,13 @@ def test_embedding_dedup(spark, monkeypatch, block):
     assert gridjoin.near_vectors(vectors.limit(0)).count() == 0
 
 
+def test_double_vectors(spark):
+    at = lambda c, scale=1.0: [c * scale, (1 - c * c) ** 0.5 * scale]
+    rows = [(1, at(1.0)), (2, at(0.95 - 1e-10)), (3, [*at(1.0, 1e200), 0.0]), (4, [*at(0.95 + 1e-10, 1e-200), 0.0]), (5, [1e39, 0.0, 0.0, 0.0]), (6, [1.0, 0.0, 0.0, 0.0])]
+    found = gridjoin.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 3), (5, 1, 5), (6, 1, 5)]
+
+
 def test_top_k(spark, monkeypatch):
     for name, n in (("SHARD_ROWS", 40), ("LEAF_ROWS", 4), ("QUERY_ROWS", 16), ("SHARDS_A_TASK", 2)):
         monkeypatch.setattr(topk, name, n)
