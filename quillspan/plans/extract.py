@@ -100,8 +100,16 @@ def _visible(html: str) -> str:
     return f"trim(regexp_replace(regexp_replace(regexp_replace({html}, '<!--.*?-->', ' ', 'gs'), '<[^>]+>', ' ', 'gs'), '\\s+', ' ', 'g'))"
 
 
+# The markers of block pages in their order, stated apart from the engine's.
+_MARKERS = [
+    "just a moment", "attention required", "checking your browser", "verify you are human",
+    "enable javascript and cookies", "access denied", "403 forbidden", "unusual traffic",
+    "are you a robot", "captcha", "cf-chl", "__cf_chl", "ddos-guard",
+    "访问频次异常", "操作太频繁", "请稍候再试", "请稍后再试", "您两次操作间隔", "人机验证",
+    "拖动滑块", "访问链接异常", "检测到非正常操作", "账号异常",
+]
 ORACLE_SQL = {
-    "page_texts": f"SELECT page_id, regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si') AS title, {_visible('html')} AS content, CASE {' '.join(f'WHEN contains(lower(html), {chr(39)}{m}{chr(39)}) THEN {chr(39)}{m}{chr(39)}' for m in R.BLOCK_MARKERS)} END AS blocked FROM pages",
+    "page_texts": f"SELECT page_id, regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si') AS title, {_visible('html')} AS content, CASE {' '.join(f'WHEN contains(lower(html), {chr(39)}{m}{chr(39)}) THEN {chr(39)}{m}{chr(39)}' for m in _MARKERS)} WHEN length(html) < 600 AND (contains(lower(html), 'challenge-platform') OR contains(lower(html), '/cdn-cgi/challenge')) THEN 'short_challenge_shell' END AS blocked FROM pages",
     "page_versions": f"WITH v AS (SELECT url, {_visible('html')} AS content FROM pages) SELECT url, substr(sha256(content), 1, 16) AS version FROM v WHERE length(content) >= 200",
     "normal_urls": "SELECT page_id, regexp_replace(lower(regexp_replace(regexp_replace(url, '[?#].*$', '', 's'), '/+$', '')), '^https?://(www\\.)?', '') AS url FROM pages",
     "tail_passages": """WITH c AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, i, substr(text, i * 2000 + 1, 2000) AS s FROM documents, unnest(range(1, 17)) AS r(i) WHERE length(text) > i * 2000),
