@@ -5,6 +5,8 @@ from __future__ import annotations
 from .bpe import op1_bpe
 from .gridjoin import SQL as EMBEDDING_SQL
 from .gridjoin import op3_embedding_dedup
+from .importance import SQL as IMPORTANCE_SQL
+from .importance import op11_importance_resampling
 from .langid import op2_language_id
 from .packing import op8_packing
 from .pii import op4_pii
@@ -26,6 +28,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": EMBEDDING_SQL, "op6_top_k": TOP_K_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": EMBEDDING_SQL, "op6_top_k": TOP_K_SQL, "op11_importance_resampling": IMPORTANCE_SQL}
