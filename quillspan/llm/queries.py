@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe
+from .divergence import SQL as DIVERGENCE_SQL
+from .divergence import op13_source_divergence
 from .gridjoin import SQL as EMBEDDING_SQL
 from .gridjoin import op3_embedding_dedup
 from .importance import SQL as IMPORTANCE_SQL
@@ -29,6 +31,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_importance_resampling": op11_importance_resampling,
+    "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": EMBEDDING_SQL, "op6_top_k": TOP_K_SQL, "op11_importance_resampling": IMPORTANCE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": EMBEDDING_SQL, "op6_top_k": TOP_K_SQL, "op11_importance_resampling": IMPORTANCE_SQL, "op13_source_divergence": DIVERGENCE_SQL}
