@@ -12,6 +12,7 @@ from .importance import op11_importance_resampling
 from .langid import op2_language_id
 from .packing import op8_packing
 from .pii import op4_pii
+from .quality import op12_quality
 from .simhash import op9_simhash
 from .suffixdedup import op10_suffix_dedup
 from .tokencount import op7_token_counts
@@ -31,6 +32,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_quality": op12_quality,
     "op13_source_divergence": op13_source_divergence,
 }
 
