@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspan.plans import audit, extract, memory, network, retrieval
+from quillspan.plans import audit, evidence, extract, memory, network, retrieval
 
-AREAS = [retrieval, network, memory, audit, extract]
+AREAS = [retrieval, network, evidence, memory, audit, extract]
 QUERIES = {name: query for area in AREAS for name, query in area.QUERIES.items()}
 ORACLE_SQL = {name: sql for area in AREAS for name, sql in area.ORACLE_SQL.items()}
 FLAGSHIP = retrieval.merged_rank
