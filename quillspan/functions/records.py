@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The date formats that are tried in order after epochs and ISO forms.
-DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd MMM yyyy", "MMM dd, yyyy", "yyyy-MM", "yyyy"]
+#: The date formats that are tried in order after ISO forms.
+DATE_FORMATS = ["yyyy-M-d'T'H:m:s", "yyyy-M-d H:m:s", "yyyy-M-d", "yyyy/M/d"]
 #: Words of pages that stand in place of the wanted one, in the order in which they are looked for.
 BLOCK_MARKERS = [
     "just a moment", "attention required", "checking your browser", "verify you are human",
@@ -39,15 +39,38 @@ def as_whole(value: Column) -> Column:
 
 def as_boolean(value: Column) -> Column:
     low = F.lower(F.trim(value))
-    return F.when(low.isin("true", "yes", "1"), True).when(low.isin("false", "no", "0"), False)
+    return F.when(low.isin("true", "1", "yes", "y", "on"), True).when(low.isin("false", "0", "no", "n", "off", ""), False)
 
 
 def as_date(value: Column) -> Column:
-    """A timestamp from an epoch in seconds, an ISO form or one of the known formats; null for anything else."""
-    tried = [F.try_to_timestamp(value, F.lit(f)) for f in DATE_FORMATS]
-    epoch = F.when(value.rlike(r"^\d{9,10}(\.\d+)?$"), F.timestamp_micros((value.try_cast("double") * 1_000_000).cast("long")))
-    iso = F.when(value.rlike(r"^\d{4}-\d\d-\d\dT"), F.try_to_timestamp(F.regexp_replace(value, "Z$", "+00:00")))
-    return F.coalesce(epoch, iso, *tried)
+    """A timestamp from the text of an ISO form or of one of the known formats; null for anything else, digits included."""
+    s = F.trim(value)
+    tried = [F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS]
+    iso = F.regexp_replace(F.regexp_replace(s, "Z$", "+00:00"), r"(?<=:\d\d|[T ]\d\d|[.,]\d{1,9})([+-]\d\d):?(\d\d)?$", "$1:$2")
+    iso = F.regexp_replace(F.regexp_replace(iso, r"([+-]\d\d):$", "$1:00"), r"^(.{10}[T ]\d\d)(?![:\d])", "$1:00")
+    iso = F.regexp_replace(iso, r"^(.{10}[T ]\d\d:\d\d)(?!:)", "$1:00")
+    iso = F.when(s.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d(:\d\d(:\d\d([.,]\d{1,9})?)?)?(Z|[+-]\d\d(:?\d\d)?)?$"), F.replace(iso, F.lit(","), F.lit(".")).try_cast("timestamp"))
+    return F.coalesce(iso, F.when(s.rlike(r"^\d{8}$"), F.try_to_timestamp(s, F.lit("yyyyMMdd"))), *tried)
+
+
+def as_epoch(value: Column) -> Column:
+    """A timestamp from a number of seconds since 1970; null where that is out of range."""
+    seconds = value.try_cast("double")
+    return F.when(seconds.between(-62_135_596_800, 253_402_300_799), F.timestamp_micros((seconds * 1_000_000).cast("long")))
+
+
+def date_at(record: Column, paths: list[str]) -> Column:
+    """The date at the first filled one of several paths of a JSON text: a number is an epoch, a text is read as a date."""
+    whole = F.try_parse_json(record)
+    is_text = lambda p: F.coalesce(F.schema_of_variant(F.try_variant_get(whole, variant_path(p), "variant")) == "STRING", F.lit(False))
+    tried = [F.when(dig_any(record, [p]).isNotNull(), F.struct(dig(record, p).alias("v"), is_text(p).alias("text"))) for p in paths]
+    first = F.coalesce(*tried)
+    return F.when(first["text"], as_date(first["v"])).otherwise(as_epoch(first["v"]))
+
+
+def variant_path(path: str) -> str:
+    steps = [p for p in path.removeprefix("$").strip(".").split(".") if p]
+    return "$" + "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in steps)
 
 
 def results_state(record: Column, path: str) -> Column:

@@ -42,7 +42,12 @@ def overlap(query_terms: list[str], surface: Column) -> Column:
 
 
 def coverage(roster: DataFrame, domains: DataFrame, modes: DataFrame) -> DataFrame:
-    """(domain, mode, sources, state) of every declared cell; ``roster`` is (name, domains, modes, healthy)."""
+    """(domain, mode, sources, state) of every declared cell; ``roster`` is (name, domains, modes, healthy).
+
+    Where the roster has ``presumed_dark``, such a source holds no cell either: it is as good as down.
+    """
+    if "presumed_dark" in roster.columns:
+        roster = roster.withColumn("healthy", F.col("healthy") & ~F.coalesce("presumed_dark", F.lit(False)))
     placed = roster.select("name", "healthy", F.explode("domains").alias("domain"), "modes").select("name", "healthy", "domain", F.explode("modes").alias("mode"))
     cells = placed.groupBy("domain", "mode").agg(F.count_distinct("name").alias("sources"), F.count_distinct(F.when(F.col("healthy"), F.col("name"))).alias("healthy"))
     declared = domains.crossJoin(F.broadcast(modes))  # the declared grid, not rows
@@ -80,12 +85,16 @@ def dossier(roster: DataFrame, yields: DataFrame, watermarks: DataFrame, streaks
     })
 
 
-def red_lines(candidates: DataFrame, rules: DataFrame) -> DataFrame:
+#: Fixed value: the soft rules that are hard for candidates that nobody submitted.
+HARD_IF_DISCOVERED = ["pii_employment_tracker"]
+
+
+def red_lines(candidates: DataFrame, rules: DataFrame, promoted: list[str] = HARD_IF_DISCOVERED) -> DataFrame:
     """(id, rule, severity) of every rule that a candidate (id, url, query, discovered) breaks.
 
     ``rules`` are (rule, kind, value, severity), a policy file of bounded size.  Hosts meet by equality; suffixes by every
-    suffix of a host; only path and query rules are tried one by one, in one expression.  Soft rules are hard for
-    discovered candidates.
+    suffix of a host; only path and query rules are tried one by one, in one expression.  The ``promoted``
+    rules are hard for discovered candidates, even where they are soft.
     """
     host = F.regexp_replace(F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit(""))), r"^(www|m)\.", "")
     rows = candidates.withColumn("host", host)
@@ -101,7 +110,7 @@ def red_lines(candidates: DataFrame, rules: DataFrame) -> DataFrame:
     if checks:
         broken.append(rows.select("id", "discovered", F.explode(F.array_compact(F.array(*checks))).alias("r")).select("id", "discovered", "r.rule", "r.severity"))
     found = reduce(DataFrame.unionByName, broken)
-    return found.select("id", "rule", F.when(F.col("discovered"), "hard").otherwise(F.col("severity")).alias("severity")).distinct()
+    return found.select("id", "rule", F.when(F.col("discovered") & F.col("rule").isin(promoted), "hard").otherwise(F.col("severity")).alias("severity")).distinct()
 
 
 def allowed_moves(history: DataFrame, edges: DataFrame) -> DataFrame:
@@ -112,10 +121,20 @@ def allowed_moves(history: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("id", "step", "state", (F.col("before").isNull() | (F.col("before") == F.col("state")) | F.coalesce("_edge", F.lit(False))).alias("allowed"))
 
 
+# The words of a refusal and of throttling.
+REFUSED, THROTTLED = r"\b(401|403)\b", r"\b429\b|rate[\s_-]*limit(ed|ing)?|throttl(e|ed|ing)|too many requests"
+
+
 def probe_class(ok: Column, message: Column) -> Column:
-    """up, skipped, rate_limited, blocked, degraded or down, by the probe's result and words."""
+    """skipped, blocked, rate_limited, degraded, up or down, by a probe's result and words.
+
+    A probe without a result was skipped.  Only a failed one can be blocked, but a source that answers may throttle too.
+    """
     low = F.lower(F.coalesce(message, F.lit("")))
-    return F.when(ok, "up").when(low.rlike("skip|not configured"), "skipped").when(low.rlike("429|rate"), "rate_limited").when(low.rlike("403|blocked|captcha"), "blocked").when(ok.isNull(), "degraded").otherwise("down")
+    return (
+        F.when(ok.isNull(), "skipped").when(~ok & low.rlike(REFUSED), "blocked").when(low.rlike(THROTTLED), "rate_limited")
+        .when(ok & F.contains(low, F.lit("degraded")), "degraded").when(ok, "up").otherwise("down")
+    )
 
 
 def summary(rows: DataFrame, statuses: list[str]) -> DataFrame:

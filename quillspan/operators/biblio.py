@@ -10,7 +10,7 @@ def citation_degrees(works: DataFrame, seeds: DataFrame) -> DataFrame:
     """(work, in_degree, edges, seed_refs, seed_cites): counts over references that are works of the corpus.
 
     ``in_degree`` counts repeated references and self-citations; ``edges`` counts distinct citing works without loops.
-    ``works`` are (work, refs), ``seeds`` are (work).
+    A seed is never missing, so its own ``seed_refs`` and ``seed_cites`` are null.  ``works`` are (work, refs), ``seeds`` are (work).
     """
     flagged = works.join(seeds.withColumn("is_seed", F.lit(True)), "work", "left")
     refs = flagged.select(F.col("work").alias("citing"), "is_seed", F.explode("refs").alias("work"))
@@ -21,7 +21,8 @@ def citation_degrees(works: DataFrame, seeds: DataFrame) -> DataFrame:
         F.count_distinct(F.when(F.col("is_seed"), F.col("citing"))).alias("seed_refs"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return works.select("work").join(degrees, "work", "left").join(cites, "work", "left").select("work", *(zero(c) for c in ("in_degree", "edges", "seed_refs", "seed_cites")))
+    rows = flagged.select("work", "is_seed").join(degrees, "work", "left").join(cites, "work", "left")
+    return rows.select("work", zero("in_degree"), zero("edges"), *(F.when(F.col("is_seed").isNull(), zero(c)).alias(c) for c in ("seed_refs", "seed_cites")))
 
 
 def coauthor_credit(authorship: DataFrame, egos: DataFrame, most: int = 12) -> DataFrame:

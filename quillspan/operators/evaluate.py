@@ -16,9 +16,10 @@ def wilson(successes: Column, total: Column, z: float = 1.96) -> Column:
 
 
 def majority(reps: DataFrame) -> DataFrame:
-    """(task, status): skipped if all repetitions are, else pass where more than half of the others pass."""
-    scored, passed = F.count_if(F.col("status") != "skipped"), F.count_if(F.col("status") == "pass")
-    return reps.groupBy("task").agg(F.when(scored == 0, "skipped").when(2 * passed > scored, "pass").otherwise("fail").alias("status"))
+    """(task, status): dormant where all repetitions are, pass where more than half of all pass, skipped where some are and none fails, else fail."""
+    is_ = lambda s: F.count_if(F.col("status") == s)
+    n, passed = F.count("*"), is_("pass")
+    return reps.groupBy("task").agg(F.when(is_("dormant") == n, "dormant").when(2 * passed > n, "pass").when((is_("skipped") > 0) & (is_("fail") == 0), "skipped").otherwise("fail").alias("status"))
 
 
 def suite_rates(tasks: DataFrame, dead: DataFrame) -> DataFrame:
@@ -35,23 +36,42 @@ def latency(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def conflicts(claims: DataFrame, floor: float) -> DataFrame:
-    """(item, ratio): the first value of each provenance disagrees by max / min of at least ``floor``."""
+    """(item, ratio): the first value of each provenance disagrees by max / min of at least ``floor``.
+
+    Values that are not positive are provenances all the same, but stay out of the ratio.
+    """
     first = claims.groupBy("item", "provenance").agg(F.min_by("value", "pos").alias("value"))
-    spread = first.groupBy("item").agg(F.count("*").alias("n"), F.max("value").alias("high"), F.min("value").alias("low"))
-    rated = spread.where("n >= 2 AND low > 0").select("item", (F.col("high") / F.col("low")).alias("ratio"))
-    return rated.where(F.col("ratio") >= floor)
+    positive = F.when(F.col("value") > 0, F.col("value"))
+    spread = first.groupBy("item").agg(F.count("*").alias("n"), F.count(positive).alias("p"), (F.max(positive) / F.min(positive)).alias("ratio"))
+    return spread.where((F.col("n") >= 2) & (F.col("p") >= 2) & (F.col("ratio") >= floor)).select("item", "ratio")
+
+
+#: The punctuation that judges leave out, and those of it that count between digits.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~，。、：；！？（）「」『』【】《》〈〉“”‘’＂＇﹁﹂﹃﹄"
+SEPARATORS = ",._:/-−"
+_LISTED = lambda chars: "".join(f"\\{c}" if c in "\\]^[-&" else c for c in chars)
+_KEPT = _LISTED(c for c in SEPARATORS if c in PUNCTUATION)
+#: What goes: punctuation that never counts, and blanks and separators without a digit on either side.
+_DROPPED = f"[{_LISTED(c for c in PUNCTUATION if c not in SEPARATORS)}]|(?<!\\d)[ {_KEPT}]|[ {_KEPT}](?!\\d)"
+
+
+def ascii_form(text: Column) -> Column:
+    """``plain_form`` of ASCII texts, in the JVM."""
+    low = F.trim(F.regexp_replace(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\\%"), F.lit("%"))), r"[\s\x1c-\x1f]+", " "))
+    return F.regexp_replace(low, _DROPPED, "")
 
 
 def plain_form(text: str | None) -> str:
-    """Normal form for judges: NFKC, case folded; punctuation and white space go but between digits."""
+    """Normal form for judges: NFKC, case folded; the listed punctuation and white space go, but separators between digits stay."""
     s = unicodedata.normalize("NFKC", (text or "").replace("\\%", "%")).casefold()
     s = " ".join(s.split())
-    keep = lambda i: s[i].isalnum() or 0 < i < len(s) - 1 and s[i - 1].isdigit() and s[i + 1].isdigit()
-    return "".join(c for i, c in enumerate(s) if keep(i))
+    digit = lambda i: 0 <= i < len(s) and s[i].isdecimal()
+    keep = lambda i, c: digit(i - 1) and digit(i + 1) if c == " " or c in SEPARATORS and c in PUNCTUATION else c not in PUNCTUATION
+    return "".join(c for i, c in enumerate(s) if keep(i, c))
 
 
 def contained(rows: DataFrame, needle: str, haystack: str, out: str = "contained") -> DataFrame:
-    """``rows`` with whether the normal form of a needle (not empty) is in that of a text; Unicode forms need Python."""
+    """``rows`` with whether the normal form of a needle (not empty) is in that of a text; only Unicode forms need Python."""
 
     @F.pandas_udf("boolean")
     def check(needles, texts):
@@ -59,7 +79,10 @@ def contained(rows: DataFrame, needle: str, haystack: str, out: str = "contained
 
         return pd.Series([bool(n) and n in plain_form(t) for n, t in zip(map(plain_form, needles), texts)])
 
-    return rows.withColumn(out, check(needle, haystack))
+    plain = F.coalesce(F.col(needle), F.lit("")).rlike(r"\A[\x00-\x7f]*\z") & F.coalesce(F.col(haystack), F.lit("")).rlike(r"\A[\x00-\x7f]*\z")
+    form = ascii_form(F.col(needle))
+    in_jvm = rows.where(plain).withColumn(out, (form != "") & F.contains(ascii_form(F.col(haystack)), form))
+    return in_jvm.unionByName(rows.where(~plain).withColumn(out, check(needle, haystack)))
 
 
 def similar(needle: str, text: str) -> float:
@@ -79,7 +102,20 @@ def similar(needle: str, text: str) -> float:
     return best
 
 
+def identifier(value: Column) -> Column:
+    """STRUCT<kind, value> of an identifier: an arXiv id without its version, a DOI, a link without its scheme, or text."""
+    v = F.regexp_replace(F.lower(F.trim(value)), r"[.,;]+$", "")
+    v = F.regexp_replace(F.regexp_extract(v, r"^[^?#]*", 0), r"^https?://doi\.org/", "")
+    v = F.regexp_replace(F.regexp_replace(v, r"^doi:\s*", ""), r"^(https?://)?arxiv\.org/(abs|pdf)/", "")
+    v = F.regexp_replace(F.regexp_replace(v, r"\.pdf$", ""), "/+$", "")
+    arxiv, link = r"^(?:arxiv:)?(\d{4}\.\d{4,5}|[a-z-]+/\d{7})(?:v\d+)?$", r"^[a-z][a-z0-9+.-]*://"
+    made = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("value"))
+    return (
+        F.when(v.rlike(arxiv), made("arxiv", F.regexp_extract(v, arxiv, 1))).when(F.startswith(v, F.lit("10.")) & F.contains(v, F.lit("/")), made("doi", v))
+        .when(v.rlike(link), made("url", F.regexp_replace(v, link, ""))).otherwise(made("text", v))
+    )
+
+
 def in_top(results: Column, wanted: Column, k: int) -> Column:
-    """Whether one of the first k identifiers is the wanted one, both in normal form."""
-    normal = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"^(https?://(dx\.)?doi\.org/|doi:|arxiv:)", "")
-    return F.exists(F.slice(results, 1, k), lambda r: normal(r) == normal(wanted))
+    """Whether one of the first k identifiers is the wanted one, in kind and value."""
+    return F.exists(F.slice(results, 1, max(0, k)), lambda r: identifier(r) == identifier(wanted)) if k > 0 else F.lit(False)

@@ -54,32 +54,71 @@ def transitions(tracked: DataFrame, least: int = 2) -> DataFrame:
     return tracked.select("source", "seen", event.alias("event")).where("event IS NOT NULL")
 
 
-def latest_slot(schedule: Column, now: Column) -> Column:
-    """The last time at or before ``now`` that a schedule names: ``daily@HH:MM``, ``weekly@D HH:MM``, ``monthly@N HH:MM``.
+# The names of weekdays, from Monday.
+WEEKDAYS = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
 
-    Weekdays count from 1 for Monday; a month without the day uses its last day.  Null for other schedules.
+
+def parsed_schedule(spec: Column) -> Column:
+    """STRUCT<kind, seconds, minutes, day> of a schedule: minutes of the day in order, ``day`` a weekday from 0 or a day of the month.
+
+    ``every:Ns``, ``daily@HH:MM,HH:MM``, ``weekly@mon-HH:MM``, ``monthly@D-HH:MM``; null for what is none of them.
     """
-    kind, rest = F.split(schedule, "@")[0], F.split(schedule, "@")[1]
-    clock = F.regexp_extract(rest, r"(\d{1,2}:\d{2})$", 1)
-    minutes = F.split(clock, ":")[0].try_cast("int") * 60 + F.split(clock, ":")[1].try_cast("int")
-    number = F.regexp_extract(rest, r"^(\d+) ", 1).try_cast("int")
-    at = lambda day: F.timestamp_add("MINUTE", minutes, day.cast("timestamp"))
-    today = F.to_date(now)
-    daily = F.when(at(today) <= now, at(today)).otherwise(at(F.date_sub(today, 1)))
-    day = F.date_sub(today, F.pmod(F.weekday(today) + 1 - number, F.lit(7)))
-    weekly = F.when(at(day) <= now, at(day)).otherwise(at(F.date_sub(day, 7)))
-    month = F.trunc(today, "month")
-    in_month = lambda m: F.date_add(m, F.least(number, F.day(F.last_day(m))) - 1)
-    monthly = F.when(at(in_month(month)) <= now, at(in_month(month))).otherwise(at(in_month(F.add_months(month, -1))))
-    return F.when(kind == "daily", daily).when(kind == "weekly", weekly).when(kind == "monthly", monthly)
-
-
-def is_due(schedule: Column, now: Column, last_run: Column) -> Column:
-    """One run for each slot, however many were missed; ``every:Ns`` is due N seconds after the last run."""
-    every = F.regexp_extract(schedule, r"^every:(\d+)s$", 1).try_cast("long")
-    passed = F.unix_timestamp(now) - F.unix_timestamp(last_run)
-    slot = latest_slot(schedule, now)
-    return F.when(every.isNotNull(), F.coalesce(passed >= every, F.lit(True))).otherwise(F.coalesce(slot.isNotNull() & (last_run.isNull() | (last_run < slot)), F.lit(False)))
+    s = F.trim(spec)
+    kind = F.regexp_extract(s, r"^(every|daily|weekly|monthly)[:@]", 1)
+    seconds = F.regexp_extract(s, r"^every:\s*\+?(\d+)\s*s$", 1).try_cast("long")
+    clocks = F.filter(F.split(F.regexp_extract(s, r"^(?:daily@|(?:weekly|monthly)@[^-]*-)(.*)$", 1), ","), lambda c: c != "")
+    sound = F.forall(clocks, lambda c: c.rlike(r"^\s*\d{1,2}\s*:\s*\d{1,2}\s*$") & (F.split(c, ":")[0].try_cast("int") <= 23) & (F.split(c, ":")[1].try_cast("int") <= 59))
+    minutes = F.array_sort(F.transform(clocks, lambda c: F.trim(F.split(c, ":")[0]).try_cast("int") * 60 + F.trim(F.split(c, ":")[1]).try_cast("int")))
+    weekday = F.nullif(F.array_position(F.array(*map(F.lit, WEEKDAYS)), F.lower(F.trim(F.regexp_extract(s, r"^weekly@([^-]*)-", 1)))), F.lit(0)).cast("int") - 1
+    day = F.regexp_extract(s, r"^monthly@\s*(\d{1,2})\s*-", 1).try_cast("int")
+    one = (F.size(clocks) == 1) & ~F.contains(s, F.lit(","))
+    made = lambda at, n=F.lit(None).cast("long"), m=F.lit(None).cast("array<int>"): F.struct(kind.alias("kind"), n.alias("seconds"), m.alias("minutes"), at.cast("int").alias("day"))
+    return (
+        F.when((kind == "every") & (seconds > 0), made(F.lit(None), seconds)).when((kind == "daily") & (F.size(clocks) > 0) & sound, made(F.lit(None), m=minutes))
+        .when((kind == "weekly") & one & sound & weekday.isNotNull(), made(weekday, m=minutes)).when((kind == "monthly") & one & sound & day.between(1, 31), made(day, m=minutes))
+    )
+
+
+def checked_schedule(spec: Column) -> Column:
+    """``spec``; the job fails on one that is no schedule."""
+    return F.when(parsed_schedule(spec).isNotNull(), spec).otherwise(F.raise_error(F.concat(F.lit("not a schedule: "), F.coalesce(spec, F.lit("null")))))
+
+
+def _slots(plan: Column, now: Column, ahead: bool) -> Column:
+    """The slots of this and the neighbouring day, week or month; a month without the day has none."""
+    today, sign = F.to_date(now), 1 if ahead else -1
+    at = lambda d: F.transform(plan["minutes"], lambda m: F.timestamp_add("MINUTE", m, d.cast("timestamp")))
+    days = lambda *ds: F.flatten(F.array(*(F.coalesce(at(d), F.array().cast("array<timestamp>")) for d in ds)))
+    to_day = F.pmod(plan["day"] - F.weekday(today), F.lit(7)) if ahead else -F.pmod(F.weekday(today) - plan["day"], F.lit(7))
+    first = [F.trunc(today, "month"), F.add_months(F.trunc(today, "month"), sign)]
+    in_month = [F.when(plan["day"] <= F.day(F.last_day(m)), F.date_add(m, plan["day"] - 1)) for m in first]
+    return F.when(plan["kind"] == "daily", days(today, F.date_add(today, sign))).when(plan["kind"] == "weekly", days(F.date_add(today, to_day), F.date_add(today, to_day + 7 * sign))).when(plan["kind"] == "monthly", days(*in_month))
+
+
+def latest_slot(plan: Column, now: Column) -> Column:
+    """The last time at or before ``now`` that a parsed schedule names; null for intervals and for what is no schedule."""
+    return F.array_max(F.filter(_slots(plan, now, False), lambda t: t <= now))
+
+
+def next_slot(plan: Column, now: Column, last_run: Column) -> Column:
+    """The first time after ``now``, to be shown: an interval's end, or now if that has passed; null if the next month has none."""
+    ends = F.timestamp_add("SECOND", plan["seconds"], F.coalesce(last_run, now))
+    return F.when(plan["kind"] == "every", F.greatest(ends, now)).otherwise(F.array_min(F.filter(_slots(plan, now, True), lambda t: t > now)))
+
+
+def is_due(plan: Column, slot: Column, now: Column, last_run: Column) -> Column:
+    """One run for each slot, however many were missed; an interval is due its seconds after the last run."""
+    passed = (F.unix_micros(now) - F.unix_micros(last_run)) / 1_000_000
+    in_time = F.coalesce(slot.isNotNull() & (last_run.isNull() | (last_run < slot)), F.lit(False))
+    return F.when(plan["kind"] == "every", F.coalesce(passed >= plan["seconds"], F.lit(True))).otherwise(in_time)
+
+
+def scheduled(jobs: DataFrame, schedule: Column, now: Column, last_run: Column) -> DataFrame:
+    """``jobs`` with slot (the latest), due and next; what is no schedule has no slot and is never due."""
+    now, last_run = now.cast("timestamp"), last_run.cast("timestamp")
+    read = jobs.withColumns({"_plan": parsed_schedule(schedule), "_now": now, "_ran": last_run})
+    read = read.withColumn("slot", latest_slot(F.col("_plan"), F.col("_now")))
+    return read.withColumns({"due": is_due(F.col("_plan"), F.col("slot"), F.col("_now"), F.col("_ran")), "next": next_slot(F.col("_plan"), F.col("_now"), F.col("_ran"))}).drop("_plan", "_now", "_ran")
 
 
 def yields(hits: DataFrame) -> DataFrame:

@@ -42,10 +42,12 @@ def record_fields(spark, sf):
 
 def dates_read(spark, sf):
     e = table(spark, sf, "events")
-    forms = [F.date_format("ts", f) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd MMM yyyy", "MMM dd, yyyy")]
-    which = (F.col("event_id") / 4 % 7).cast("int")
-    text = F.element_at(F.array(*forms, F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"), F.lit("soon")), which + 1)
-    return e.select("event_id", R.as_date(text).alias("date"))
+    forms = [F.date_format("ts", f) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd MMM yyyy", "MMM dd, yyyy", "yyyyMMdd", "yyyy-M-d'T'H:m:s", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd HH:mm:ss'+02:00'", "yyyy-MM", "yyyy")]
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")
+    texts = F.array(*(F.concat(F.lit('"'), f, F.lit('"')) for f in (*forms, seconds, F.lit("soon"))), seconds, F.lit("86400.5"), F.lit("true"), F.lit("null"))
+    which = (F.col("event_id") / 4 % 17).cast("int")
+    record = F.concat(F.lit('{"none": "", "at": {"when": '), F.element_at(texts, which + 1), F.lit("}}"))
+    return e.select("event_id", R.date_at(record, ["none", "at.when"]).alias("date"))
 
 
 def agent_views(spark, sf):
@@ -120,7 +122,7 @@ p AS (SELECT doc_id, 0 AS page, 0 AS start FROM d WHERE n IS NOT NULL UNION ALL
 e AS (SELECT doc_id, page, start, lead(start) OVER (PARTITION BY doc_id ORDER BY page) AS next FROM p)
 SELECT doc_id, page::INTEGER AS page, start::INTEGER AS start, (coalesce(next, n) - start)::INTEGER AS chars, next::INTEGER AS next, sha256(substr(text, start + 1, coalesce(next, n) - start)) AS digest FROM d LEFT JOIN e USING (doc_id)""",
     "record_fields": "SELECT event_id, (props->>'$.k')::BIGINT AS k, (props->>'$.k')::BIGINT AS deep, 'rows' AS rows, 'empty' AS none, 'wrong_type' AS at_state, 'absent' AS missing, event_id::VARCHAR AS any_of FROM events",
-    "dates_read": "SELECT event_id, CASE event_id // 4 % 7 WHEN 0 THEN date_trunc('second', ts) WHEN 5 THEN date_trunc('second', ts) WHEN 6 THEN NULL ELSE date_trunc('day', ts) END::TIMESTAMP AS date FROM events",
+    "dates_read": "SELECT event_id, CASE event_id // 4 % 17 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('day', ts) WHEN 2 THEN date_trunc('day', ts) WHEN 5 THEN date_trunc('day', ts) WHEN 6 THEN date_trunc('second', ts) WHEN 7 THEN ts WHEN 8 THEN date_trunc('second', ts) - INTERVAL 2 HOUR WHEN 13 THEN date_trunc('second', ts) WHEN 14 THEN TIMESTAMP '1970-01-02 00:00:00.5' END::TIMESTAMP AS date FROM events",
     "agent_views": "SELECT doc_id, sha256(substr(text, 1, 2000)) AS content, length(text) > 2000 AS content_truncated, length(text)::INTEGER AS content_full_chars FROM documents",
     "summary_lines": "SELECT doc_id, concat_ws(' | ', '[' || source || ']', nullif(split_part(text, chr(10), 1), ''), CASE WHEN doc_id % 7 <> 0 THEN strftime(TIMESTAMP '2024-01-01' + to_days((doc_id % 400)::INTEGER), '%Y-%m-%d') END) AS line FROM documents",
     "inverted_abstracts": "SELECT doc_id, array_to_string(regexp_split_to_array(text, '\\s+'), ' ') AS abstract FROM documents",

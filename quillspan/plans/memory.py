@@ -103,13 +103,15 @@ def health_transitions(spark, sf):
     return monitor.transitions(monitor.streaks(probes(spark, sf)))
 
 
-SCHEDULES = ["daily@06:30", "daily@13:00", "weekly@1 09:00", "weekly@6 12:00", "monthly@31 08:15", "monthly@5 00:00", "every:3600s", "never"]
+SCHEDULES = ["daily@06:30", "daily@13:00,5:15,", "weekly@mon-09:00", "weekly@Sat-12:00", "monthly@31-08:15", "monthly@5-00:00", "every:3600s", "weekly@1 09:00"]
 
 
 def schedules(spark, sf):
     events = table(spark, sf, "events")
     rows = events.select("event_id", "ts", F.element_at(F.array(*map(F.lit, SCHEDULES)), (F.col("event_id") / 10 % 8).cast("int") + 1).alias("schedule"))
-    return rows.select("event_id", monitor.latest_slot(F.col("schedule"), F.col("ts")).alias("slot"), monitor.is_due(F.col("schedule"), F.col("ts"), F.when(F.col("event_id") % 30 != 0, F.expr("ts - INTERVAL 9 HOURS"))).alias("due"))
+    ran = F.when(F.col("event_id") % 30 != 0, F.expr("ts - INTERVAL 9 HOURS"))
+    found = monitor.scheduled(rows, F.col("schedule"), F.col("ts"), ran)
+    return found.select("event_id", "slot", "due", F.when(F.col("schedule") != "every:3600s", F.col("next")).alias("next"))
 
 
 def search_yields(spark, sf):
@@ -143,11 +145,12 @@ SELECT source, source_id, coalesce(last_seen >= ran_at, false) AS still_live, ro
     "sensor_notify": "SELECT doc_id, 'any' AS rule FROM documents WHERE contains(lower(text), 'password') OR contains(lower(text), 'akia') UNION ALL SELECT doc_id, 'every' FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'and') AND contains(lower(text), 'of')",
     "health_streaks": f"WITH {STREAKS} SELECT * FROM st",
     "health_transitions": f"WITH {STREAKS}, l AS (SELECT *, coalesce(lag(fails) OVER (PARTITION BY source ORDER BY seen), 0) AS b FROM st), e AS (SELECT source, seen, CASE WHEN fails = 2 AND b = 1 AND NOT ok THEN 'down' WHEN fails = 0 AND b >= 2 THEN 'recovered' END AS event FROM l) SELECT * FROM e WHERE event IS NOT NULL",
-    "schedules": f"""WITH r AS (SELECT event_id, ts, {SCHEDULES}[(event_id // 10 % 8 + 1)::INTEGER] AS schedule FROM events),
-k AS (SELECT *, split_part(schedule, '@', 1) AS kind, try_cast(regexp_extract(schedule, '@(\\d+) ', 1) AS INTEGER) AS num, try_cast(regexp_extract(schedule, '(\\d+):\\d+$', 1) AS INTEGER) * 60 + try_cast(regexp_extract(schedule, ':(\\d+)$', 1) AS INTEGER) AS mins, ts::DATE AS d FROM r),
-days AS (SELECT k.*, x AS day FROM k, unnest(generate_series(d - 62, d, INTERVAL 1 DAY)) AS g(x)),
-slots AS (SELECT event_id, max(day + to_minutes(mins)) AS slot FROM days WHERE day + to_minutes(mins) <= ts AND (kind = 'daily' OR kind = 'weekly' AND isodow(day) = num OR kind = 'monthly' AND day(day) = least(num, day(last_day(day)))) GROUP BY event_id)
-SELECT event_id, slot, CASE WHEN starts_with(schedule, 'every:') THEN true ELSE coalesce(slot IS NOT NULL AND (event_id % 30 = 0 OR ts - INTERVAL 9 HOUR < slot), false) END AS due FROM k LEFT JOIN slots USING (event_id)""",
+    "schedules": """WITH s(i, kind, num, mins) AS (VALUES (0, 'daily', 0, [390]), (1, 'daily', 0, [315, 780]), (2, 'weekly', 1, [540]), (3, 'weekly', 6, [720]), (4, 'monthly', 31, [495]), (5, 'monthly', 5, [0]), (6, 'every', 0, []), (7, 'none', 0, [])),
+k AS MATERIALIZED (SELECT event_id, ts, ts::DATE AS d, s.*, CASE WHEN event_id % 30 <> 0 THEN ts - INTERVAL 9 HOUR END AS ran FROM events JOIN s ON i = event_id // 10 % 8),
+days AS (SELECT k.*, x AS day FROM k, unnest(generate_series(d - 62, d + 62, INTERVAL 1 DAY)) AS g(x)),
+named AS (SELECT event_id, ts, day + to_minutes(unnest(mins)) AS slot FROM days WHERE kind = 'daily' AND abs(datediff('day', d, day)) <= 1 OR kind = 'weekly' AND isodow(day) = num AND abs(datediff('day', d, day)) <= 7 OR kind = 'monthly' AND day(day) = num AND abs(datediff('month', d, day)) <= 1),
+slots AS (SELECT event_id, max(slot) FILTER (slot <= ts) AS slot, min(slot) FILTER (slot > ts) AS next FROM named GROUP BY event_id)
+SELECT event_id, slot, CASE kind WHEN 'every' THEN true ELSE coalesce(slot IS NOT NULL AND (ran IS NULL OR ran < slot), false) END AS due, next FROM k LEFT JOIN slots USING (event_id)""",
     "search_yields": """WITH h AS (SELECT l_orderkey % 50 AS search, 's' || (l_suppkey % 12) AS source, l_partkey AS work, CASE WHEN l_linenumber < 5 THEN trunc(l_quantity)::INTEGER % 15 END AS rank FROM lineitem),
 w AS (SELECT search, work, count(DISTINCT source) AS n FROM h GROUP BY ALL), y AS (SELECT source, count(DISTINCT search) AS searches, count(*) AS offered, count(rank) AS top, count(*) FILTER (rank IS NOT NULL AND n = 1) AS sole, min(rank) AS best_rank,
   count(*) FILTER (rank <= 2) AS r0_2, count(*) FILTER (rank BETWEEN 3 AND 5) AS r3_5, count(*) FILTER (rank BETWEEN 6 AND 9) AS r6_9, count(*) FILTER (rank >= 10) AS r10 FROM h JOIN w USING (search, work) GROUP BY source)

@@ -160,8 +160,8 @@ reach AS (SELECT a AS node, a AS least FROM ways UNION SELECT b, least FROM reac
 roots AS (SELECT node, min(least) AS voice FROM reach GROUP BY node)
 SELECT voice, count(*) FILTER (starts_with(node, 'doc:')) AS documents, count(*) FILTER (starts_with(node, 'work:')) AS works, CASE WHEN count(*) FILTER (starts_with(node, 'work:')) >= 1 OR count(*) FILTER (starts_with(node, 'doc:')) >= 2 THEN 'voice' ELSE 'unresolved' END AS verdict FROM roots GROUP BY voice""",
     "citation_degrees": """WITH works AS (SELECT DISTINCT l_orderkey AS work FROM lineitem), refs AS (SELECT l_orderkey AS citing, l_partkey % 997 AS work FROM lineitem), seeds AS (SELECT o_orderkey AS work FROM orders WHERE o_orderkey % 97 = 1)
-SELECT w.work, count(*) AS in_degree, count(DISTINCT CASE WHEN citing <> w.work THEN citing END) AS edges, count(DISTINCT CASE WHEN citing IN (SELECT work FROM seeds) THEN citing END) AS seed_refs,
-  (SELECT count(DISTINCT r2.work) FROM refs r2 WHERE r2.citing = w.work AND r2.work IN (SELECT work FROM seeds)) AS seed_cites FROM works w JOIN refs r ON r.work = w.work GROUP BY w.work""",
+SELECT w.work, count(*) AS in_degree, count(DISTINCT CASE WHEN citing <> w.work THEN citing END) AS edges, CASE WHEN w.work NOT IN (SELECT work FROM seeds) THEN count(DISTINCT CASE WHEN citing IN (SELECT work FROM seeds) THEN citing END) END AS seed_refs,
+  CASE WHEN w.work NOT IN (SELECT work FROM seeds) THEN (SELECT count(DISTINCT r2.work) FROM refs r2 WHERE r2.citing = w.work AND r2.work IN (SELECT work FROM seeds)) END AS seed_cites FROM works w JOIN refs r ON r.work = w.work GROUP BY w.work""",
     "coauthor_credit": f"WITH {CREDIT} SELECT ego, author, round(credit, 6) AS credit, papers, nth::INTEGER AS nth FROM ranked WHERE nth <= 12",
     "coauthor_bridges": f"WITH {CREDIT} SELECT author, count(DISTINCT ego) AS egos, round(sum(credit), 6) AS credit FROM ranked WHERE nth <= 12 GROUP BY author HAVING count(DISTINCT ego) >= 2 ORDER BY round(sum(credit), 9) DESC, author LIMIT 15",
     "coauthor_cooccurrence": f"WITH {CREDIT}, top AS (SELECT DISTINCT author FROM ranked WHERE nth <= 14) SELECT x.author AS a, y.author AS b, count(*) AS works FROM auth x JOIN auth y USING (work) WHERE x.author < y.author AND x.author IN (SELECT author FROM top) AND y.author IN (SELECT author FROM top) GROUP BY ALL",

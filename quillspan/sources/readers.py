@@ -31,7 +31,7 @@ def declarative(raw: DataFrame, source: str, results_path: str, fields: dict[str
     pick = lambda name: R.dig_any(F.col("item"), fields.get(name, [name]))
     docs = rows.select(
         F.lit(source).alias("source"), F.coalesce(pick("source_id"), pick("url")).alias("source_id"), pick("url").alias("url"), F.coalesce(pick("title"), F.lit("(no title)")).alias("title"),
-        F.coalesce(pick("content"), pick("title"), F.lit("(no title)")).alias("content"), R.as_date(pick("date")).alias("date"),
+        F.coalesce(pick("content"), pick("title"), F.lit("(no title)")).alias("content"), R.date_at(F.col("item"), fields.get("date", ["date"])).alias("date"),
     )
     status = items.select("state", F.coalesce(F.size("items"), F.lit(0)).alias("n"), F.coalesce(F.size(F.filter("items", lambda i: R.dig_any(i, fields.get("url", ["url"])).isNull())), F.lit(0)).alias("bad"))
     return docs.where("url IS NOT NULL"), status.groupBy("state").agg(F.count("*").alias("answers"), F.sum("n").alias("rows"), F.sum("bad").alias("dropped"))

@@ -102,10 +102,12 @@ def test_records(spark):
     assert one(spark, R.dig(body, "$.a.0.b")) == "x" and one(spark, R.dig(body, "a.7.b")) is None
     assert one(spark, R.dig_any(body, ["z", "a.1.b", "e", "n"])) == "3"
     assert [one(spark, R.results_state(body, p)) for p in ("a", "e", "m", "n", "q")] == ["rows", "empty", "map", "wrong_type", "absent"]
-    assert [one(spark, R.as_boolean(F.lit(v))) for v in ("Yes", "0", "maybe")] == [True, False, None]
+    assert [one(spark, R.as_boolean(F.lit(v))) for v in ("Yes", "0", "maybe", "on", "N", "")] == [True, False, None, True, False, False]
     assert [one(spark, R.as_whole(F.lit(v))) for v in ("10", "10.7", "x")] == [10, 10, None]
-    dates = [one(spark, R.as_date(F.lit(v))) for v in ("1704067200", "2024-01-01T00:00:00Z", "2024/01/01", "01 Jan 2024", "never")]
-    assert dates == [datetime.datetime(2024, 1, 1)] * 4 + [None]
+    dates = [one(spark, R.as_date(F.lit(v))) for v in ("2024-01-01T00:00:00Z", "2024/01/01", "20240101", "2024-1-1", "2024-01-01 02:00+0200", "1704067200", "01 Jan 2024", "2024-01", "never", "")]
+    assert dates == [datetime.datetime(2024, 1, 1)] * 5 + [None] * 5
+    at = lambda v: one(spark, R.date_at(F.lit('{"e": "", "d": %s}' % v), ["e", "d"]))
+    assert [at(v) for v in ("1704067200", '"1704067200"', '"2024-01-01"', "0", "true", "[1]", "1e300")] == [datetime.datetime(2024, 1, 1), None, datetime.datetime(2024, 1, 1), datetime.datetime(1970, 1, 1), None, None, None]
     assert one(spark, R.blocked_by(F.lit("<h1>Just a moment</h1>"))) == "just a moment"
     assert one(spark, R.blocked_by(F.lit("Access Denied: checking your browser"))) == "checking your browser"
     assert one(spark, R.blocked_by(F.lit("请进行人机验证"))) == "人机验证"
@@ -148,12 +150,22 @@ def test_monitor(spark):
     tracked = monitor.streaks(probes)
     assert [r.fails for r in tracked.orderBy("seen").collect()] == [1, 1, 2, 0]
     assert [(r.seen, r.event) for r in monitor.transitions(tracked).orderBy("seen").collect()] == [(3, "down"), (4, "recovered")]
-    slot = lambda s, now: str(one(spark, monitor.latest_slot(F.lit(s), when(now))))
+    told = lambda s, now, ran=None: monitor.scheduled(spark.range(1), F.lit(s), when(now), when(ran) if ran else F.lit(None)).first()
+    slot, ahead = lambda *a: str(told(*a).slot), lambda *a: str(told(*a).next)
     assert slot("daily@06:30", "2024-03-01 06:00:00") == "2024-02-29 06:30:00"
-    assert slot("monthly@31 08:00", "2024-03-01 06:00:00") == "2024-02-29 08:00:00"
-    assert slot("weekly@5 00:00", "2024-03-01 06:00:00") == "2024-03-01 00:00:00"
-    assert one(spark, monitor.is_due(F.lit("every:60s"), when("2024-01-01 00:01:00"), when("2024-01-01 00:00:00")))
-    assert not one(spark, monitor.is_due(F.lit("daily@06:30"), when("2024-03-01 07:00:00"), when("2024-03-01 06:30:00")))
+    assert slot("monthly@31-08:00", "2024-03-01 06:00:00") == slot("weekly@5 00:00", "2024-03-01 06:00:00") == slot("every:60s", "2024-03-01 06:00:00") == "None"
+    assert slot("monthly@31-08:00", "2024-04-01 06:00:00") == "2024-03-31 08:00:00"
+    assert slot("weekly@FRI-00:00", "2024-03-01 06:00:00") == "2024-03-01 00:00:00" and slot("weekly@sat-00:00", "2024-03-01 06:00:00") == "2024-02-24 00:00:00"
+    assert slot("daily@19:17,09:17,14:17", "2024-03-01 15:00:00") == "2024-03-01 14:17:00" and slot("daily@19:17,9:17", "2024-03-01 08:00:00") == "2024-02-29 19:17:00"
+    assert ahead("daily@19:17,09:17", "2024-03-01 09:17:00") == "2024-03-01 19:17:00" and ahead("monthly@31-08:00", "2024-03-31 08:00:00") == "None"
+    assert ahead("weekly@fri-06:00", "2024-03-01 06:00:00") == "2024-03-08 06:00:00" and ahead("every:60s", "2024-03-01 06:00:00", "2024-02-01 06:00:00") == "2024-03-01 06:00:00"
+    bad = ["", "every:0s", "every:5", "daily@", "daily@24:00", "daily@6", "weekly@mon", "weekly@mo-06:00", "weekly@mon-06:00,07:00", "monthly@0-06:00", "monthly@x-06:00", "hourly"]
+    assert [one(spark, monitor.parsed_schedule(F.lit(s))) for s in bad] == [None] * len(bad)
+    with pytest.raises(Exception, match="not a schedule"):
+        one(spark, monitor.checked_schedule(F.lit("hourly")))
+    assert told("every:60s", "2024-01-01 00:01:00", "2024-01-01 00:00:00").due and not told("every:60s", "2024-01-01 00:00:59", "2024-01-01 00:00:00").due
+    assert not told("daily@06:30", "2024-03-01 07:00:00", "2024-03-01 06:30:00").due and told("daily@06:30", "2024-03-01 07:00:00", "2024-02-20 06:30:00").due
+    assert told("every:60s", "2024-01-01 00:01:00").due and not told("hourly", "2024-01-01 00:01:00").due
 
 
 def test_graph_rules(spark):
@@ -178,8 +190,8 @@ def test_biblio(spark):
     top = credit.where("nth = 1").first()
     assert (top.author, round(top.credit, 2), top.papers) == ("x", 0.71, 3)
     works = spark.createDataFrame([("w", ["r", "r", "w"]), ("r", [])], "work string, refs array<string>")
-    got = {r.work: (r.in_degree, r.edges) for r in biblio.citation_degrees(works, spark.createDataFrame([("w",)], "work string")).collect()}
-    assert got == {"r": (2, 1), "w": (1, 0)}
+    got = {r.work: (r.in_degree, r.edges, r.seed_refs, r.seed_cites) for r in biblio.citation_degrees(works, spark.createDataFrame([("w",)], "work string")).collect()}
+    assert got == {"r": (2, 1, 1, 0), "w": (1, 0, None, None)}
     assert one(spark, biblio.abstract_text(F.from_json(F.lit('{"world": [1], "hello": [0, 2]}'), "map<string,array<int>>"))) == "hello world hello"
     people = spark.createDataFrame([("1", "s", "Ada King"), ("2", "s", "King, Ada"), ("3", "t", "Ada King")], "id string, source string, name string")
     assert [(r.key, r.merged) for r in biblio.likely_same(people, X.name_key(F.col("name"))).collect()] == [("ada king", "1+2")]
@@ -188,18 +200,28 @@ def test_biblio(spark):
 def test_evaluate(spark):
     w = one(spark, evaluate.wilson(F.lit(8), F.lit(10)))
     assert (round(w["low"], 3), round(w["high"], 3)) == (0.49, 0.943) and one(spark, evaluate.wilson(F.lit(0), F.lit(0))) is None
-    reps = spark.createDataFrame([("a", "pass"), ("a", "fail"), ("a", "pass"), ("b", "skipped"), ("c", "pass"), ("c", "fail")], "task string, status string")
-    assert {r.task: r.status for r in evaluate.majority(reps).collect()} == {"a": "pass", "b": "skipped", "c": "fail"}
-    rows = spark.createDataFrame([("Ｆｕｌｌ-Width, 3.5\\%", "the fullwidth 3.5% rate"), ("3.5", "35"), ("", "x"), (None, "x")], "n string, h string")
-    assert [r.contained for r in evaluate.contained(rows, "n", "h").collect()] == [True, False, False, False]
+    reps = spark.createDataFrame([("a", "pass"), ("a", "fail"), ("a", "pass"), ("b", "skipped"), ("c", "pass"), ("c", "fail"), ("d", "pass"), ("d", "skipped"), ("d", "skipped"), ("e", "pass"), ("e", "skipped"), ("e", "fail"), ("f", "dormant")], "task string, status string")
+    assert {r.task: r.status for r in evaluate.majority(reps).collect()} == {"a": "pass", "b": "skipped", "c": "fail", "d": "skipped", "e": "fail", "f": "dormant"}
+    rows = spark.createDataFrame([("Ｆｕｌｌ-Width, 3.5\\%", "the fullwidth 3.5% rate"), ("3.5", "35"), ("", "x"), (None, "x"), ("1,000", "cost 1 000"), ("1,000", "cost (1,000)"), ("a-b", "AB"), ("5 %", "5"), ("€5", "5"), ("«a»", "a"), ("3.5", "３．５"), ("Straße", "STRASSE")], "n string, h string")
+    assert [r.contained for r in sorted(evaluate.contained(rows.withColumn("i", F.monotonically_increasing_id()), "n", "h").collect(), key=lambda r: r.i)] == [True, False, False, False, False, True, True, True, False, False, True, True]
+    odd = ["a,b 1,2 - 3. x\\\\%", " \t1\n2 ", "1,.2", "12:30/1 _", "[x]^{y}`~", "A-1-b 7-8"]
+    assert [r.f for r in spark.createDataFrame([(o,) for o in odd], "o string").select(evaluate.ascii_form(F.col("o")).alias("f")).collect()] == list(map(evaluate.plain_form, odd))
     assert evaluate.similar("abcd", "xxabcdxx") == 1.0 and evaluate.similar("", "x") == 0
     assert one(spark, evaluate.in_top(F.array(F.lit("a"), F.lit("https://doi.org/10.1/X")), F.lit("doi:10.1/x"), 2))
+    found = lambda got, wanted, k=1: one(spark, evaluate.in_top(F.array(*map(F.lit, got)), F.lit(wanted), k))
+    assert found(["https://arxiv.org/pdf/2401.01234v3.pdf?x=1#y"], " arXiv:2401.01234. ") and found(["HTTP://a.org/b/"], "https://A.org/b") and found(["10.1/A.pdf"], "10.1/a")
+    assert not found(["arxiv.org/abs/hep-th/9901001", "x"], "x") and found(["q", "arxiv.org/abs/hep-th/9901001v2"], "hep-th/9901001", 2) and not found(["x"], "x", 0)
+    assert not found(["https://example.org/2401.01234"], "2401.01234")
+    claims = spark.createDataFrame([("a", "p", 0.0, 1), ("a", "q", 2.0, 2), ("a", "r", 8.0, 3), ("a", "r", 80.0, 4), ("b", "p", 0.0, 1), ("b", "q", 2.0, 2)], "item string, provenance string, value double, pos long")
+    assert [tuple(r) for r in evaluate.conflicts(claims, 3.0).collect()] == [("a", 4.0)]
 
 
 def test_audit(spark):
     rules = spark.createDataFrame([("r", "host_suffix", "bad.org", "soft")], "rule string, kind string, value string, severity string")
     rows = spark.createDataFrame([(1, "https://www.a.bad.org/x", "q", True), (2, "https://notbad.org", "q", False), (3, None, None, False)], "id long, url string, query string, discovered boolean")
-    assert [(r.id, r.severity) for r in audit.red_lines(rows, rules).collect()] == [(1, "hard")]
+    assert [(r.id, r.severity) for r in audit.red_lines(rows, rules).collect()] == [(1, "soft")] and [r.severity for r in audit.red_lines(rows, rules, ["r"]).collect()] == ["hard"]
+    said = [(None, "403"), (False, "HTTP 403, 429"), (True, "403"), (True, "429 degraded"), (True, "DEGRADED"), (False, "throttling"), (False, None), (True, None), (False, "code 4290")]
+    assert [one(spark, audit.probe_class(F.lit(ok).cast("boolean"), F.lit(m).cast("string"))) for ok, m in said] == ["skipped", "blocked", "up", "rate_limited", "degraded", "rate_limited", "down", "up", "down"]
     assert audit.plan(spark.createDataFrame([("a", True, None, ["x"]), ("b", True, "retired", ["x"]), ("c", True, "org_watch_1", ["x"]), ("d", False, None, [])], "name string, enabled boolean, reason string, tokens array<string>"), spark.createDataFrame([("a",)], "name string"), ["x"]).count() == 2
 
 
