@@ -45,6 +45,11 @@ def number(value: Column) -> Column:
     return F.when(kind(value) == "number", F.try_variant_get(value, "$", "double"))
 
 
+def amount(value: Column) -> Column:
+    """The number that a value is or, for a boolean, counts as."""
+    return F.when(kind(value).isin("number", "boolean"), F.try_variant_get(value, "$", "double"))
+
+
 def filled(value: Column) -> Column:
     """Whether a value says something: a text, list or object that isn't empty, a number but zero, true."""
     k = kind(value)
@@ -132,7 +137,7 @@ def _literal(expected) -> Column:
 def _equals(value: Column, expected) -> Column:
     """Numbers and booleans by amount, texts by their characters, all else by its canonical JSON."""
     if isinstance(expected, (bool, int, float)):
-        return kind(value).isin("number", "boolean") & (F.try_variant_get(value, "$", "double") == float(expected))
+        return amount(value) == float(expected)
     if isinstance(expected, str):
         return (kind(value) == "string") & (F.try_variant_get(value, "$", "string") == expected)
     return F.to_json(value) == F.to_json(_literal(expected))
@@ -142,7 +147,7 @@ def _compare(value: Column, expected, strict: bool) -> Column:
     if isinstance(expected, str):
         mine, ok = F.try_variant_get(value, "$", "string"), kind(value) == "string"
     elif isinstance(expected, (bool, int, float)):
-        mine, ok, expected = F.try_variant_get(value, "$", "double"), kind(value).isin("number", "boolean"), float(expected)
+        mine, ok, expected = amount(value), F.lit(True), float(expected)
     else:
         return F.lit(False)
     return ok & ((mine > expected) if strict else (mine >= expected))
@@ -182,7 +187,7 @@ def assertion(value: Column, rule: dict) -> Column:
     holds += [_compare(found, rule[c], c == "gt") for c in ("gt", "gte") if c in rule]
     if "reduction" in rule:
         m = members_of(found)
-        holds.append(number(m["in"]) > number(m["out"]))
+        holds.append(amount(m["in"]) > amount(m["out"]))
     if "each" in rule:
         holds.append(_each(found, rule["each"]))
     if rule.get("each_provenance"):
