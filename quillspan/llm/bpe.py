@@ -5,6 +5,11 @@ one per byte.  A recursive query joins neighbouring rows with the merge table an
 leftmost pair of least rank, until a word has no pair that the table knows.  Decoding joins (document,
 position, id) rows with the vocabulary and concatenates in order of position.
 
+A word of more than ``PIECE`` bytes is contracted in pieces, which are then joined two by two.  Ids are a word's encoding
+exactly if each two neighbours are the encoding of their own bytes, as every token's own bytes encode to that token.  So
+a seam whose neighbours are not is contracted anew, with twice as many tokens around it each time, until its ends fit.
+The work grows with the word's length, whatever its letters.
+
 The work is per partition and needs no shuffle.  A lost executor costs the re-run of its partitions.
 
 Defined results: a null text counts as the empty one (no ids, digest of no bytes); repeated rows are encoded
@@ -23,10 +28,12 @@ from .common import table, tokenizer_path, with_text
 from .workers import begin, kept
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Bytes from which a word's equal least pairs are contracted together rather than one by one.
-LONG_WORD = 64
-#: Distinct words and tokens given to one query; they bound memory.
-WORDS_AT_ONCE, TOKENS_AT_ONCE = 60_000, 1_500_000
+#: Bytes of a word that are contracted at once.
+PIECE = 64
+#: Bytes around a seam from which equal least pairs are contracted together rather than one by one.
+LONG_SEAM = 255
+#: Distinct words, their bytes, and tokens given to one query; they bound memory.
+WORDS_AT_ONCE, BYTES_AT_ONCE, TOKENS_AT_ONCE = 60_000, 1_000_000, 1_500_000
 
 #: One contraction a step: of the least (rank, position) of each word.  ``spot`` is word * 256 + position.
 CONTRACT = """
@@ -92,6 +99,7 @@ class BpeEngine:
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
         self.db.execute("SET memory_limit = '400MB'")
+        self.db.execute("SET temp_directory = ''")  # nothing is left on a machine's own disk
         pairs = [
             ((ranks[token[:i]] << 16) | ranks[token[i:]], rank)
             for token, rank in ranks.items()
@@ -104,6 +112,7 @@ class BpeEngine:
         self._fill("merges", given)
         self._fill("vocabulary", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]}))
         self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+        self.spelling = {rank: token for token, rank in ranks.items()}
 
     def _fill(self, name: str, rows) -> None:
         self.db.register("given", rows)
@@ -121,19 +130,64 @@ class BpeEngine:
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Each word's ids as little-endian unsigned 32-bit integers."""
         raw = [w.encode() for w in words]
+        long = [i for i, w in enumerate(raw) if len(w) > PIECE]
+        out = self._encode([w if len(w) <= PIECE else b"" for w in raw])
+        for i, ids in zip(long, self._encode_long([raw[i] for i in long])):
+            out[i] = b"".join(x.to_bytes(4, "little") for x in ids)
+        return out
+
+    def _encode(self, raw: list[bytes]) -> list[bytes]:
+        """Each one's ids, by one contraction a step up to ``LONG_SEAM`` bytes."""
         out = [b""] * len(raw)
-        short = [i for i, w in enumerate(raw) if len(w) <= LONG_WORD]
-        for k in range(0, len(short), WORDS_AT_ONCE):
-            self._contract(CONTRACT, raw, short[k : k + WORDS_AT_ONCE], out)
-        part, size = [], 0
-        for i in (i for i, w in enumerate(raw) if len(w) > LONG_WORD):
-            part.append(i)
-            size += len(raw[i])
-            if size > 200_000:
-                self._contract(CONTRACT_LONG, raw, part, out)
-                part, size = [], 0
-        if part:
-            self._contract(CONTRACT_LONG, raw, part, out)
+        for query, mine in ((CONTRACT, lambda n: n <= LONG_SEAM), (CONTRACT_LONG, lambda n: n > LONG_SEAM)):
+            part, size = [], 0
+            for i, w in enumerate(raw):
+                if not mine(len(w)):
+                    continue
+                if part and (len(part) == WORDS_AT_ONCE or size + len(w) > BYTES_AT_ONCE):
+                    self._contract(query, raw, part, out)
+                    part, size = [], 0
+                part.append(i)
+                size += len(w)
+            self._contract(query, raw, part, out)
+        return out
+
+    def _ids(self, raw: list[bytes]) -> list[tuple]:
+        """``_encode`` as tuples of ids, each different text encoded once."""
+        distinct = list(dict.fromkeys(raw))
+        known = {w: tuple(memoryview(ids).cast("I")) for w, ids in zip(distinct, self._encode(distinct))}
+        return [known[w] for w in raw]
+
+    def _encode_long(self, raw: list[bytes]) -> list[list[int]]:
+        """The ids of long words: pieces, joined two by two."""
+        counts = [-(-len(w) // PIECE) for w in raw]
+        pieces = iter(self._ids([w[k : k + PIECE] for w in raw for k in range(0, len(w), PIECE)]))
+        words = [[list(next(pieces)) for _ in range(n)] for n in counts]
+        while any(len(parts) > 1 for parts in words):
+            joined = iter(self._join([(a, b) for parts in words for a, b in zip(parts[::2], parts[1::2])]))
+            words = [[next(joined) for _ in range(len(parts) // 2)] + parts[len(parts) // 2 * 2 :] for parts in words]
+        return [parts[0] for parts in words]
+
+    def _join(self, pairs: list[tuple[list[int], list[int]]]) -> list[list[int]]:
+        """The ids of each two texts after each other, from the ids of both."""
+        spell = lambda ids: b"".join(map(self.spelling.__getitem__, ids))
+        out, open_, width = [None] * len(pairs), list(range(len(pairs))), 1
+        while open_:
+            seams = [(pairs[i][0][-width:], pairs[i][1][:width]) for i in open_]
+            anew = [list(ids) for ids in self._ids([spell(a) + spell(b) for a, b in seams])]
+            ends = []  # the neighbours that a seam's new ids must fit
+            for i, ids in zip(open_, anew):
+                left, right = pairs[i][0][:-width], pairs[i][1][width:]
+                ends.append([x for x in (left and (left[-1], ids[0]), right and (ids[-1], right[0])) if x])
+            asked = list({x for both in ends for x in both})
+            fits = {x for x, ids in zip(asked, self._ids([spell(x) for x in asked])) if ids == x}
+            left_open = []
+            for i, ids, both in zip(open_, anew, ends):
+                if all(x in fits for x in both):
+                    out[i] = pairs[i][0][:-width] + ids + pairs[i][1][width:]
+                else:
+                    left_open.append(i)
+            open_, width = left_open, 2 * width
         return out
 
     def _contract(self, query: str, raw: list[bytes], which: list[int], out: list[bytes]) -> None:

@@ -27,15 +27,16 @@ from .workers import begin
 
 SAMPLE, LANDMARKS = 2048, 256
 FEATURES_LOG2 = 15
+BYTES_AT_ONCE = 1 << 20
 RIDGE = 1e-3
 NO_LANGUAGE = "und"
 
 
-def feature_ids(text: str):
-    """The hashed feature of every n-gram occurrence of a text."""
+def feature_ids(b):
+    """The hashed feature of every n-gram occurrence in an array of bytes."""
     import numpy as np
 
-    b = np.frombuffer(text.lower().encode(), dtype=np.uint8).astype(np.uint32)
+    b = b.astype(np.uint32)
     two = (b[:-1] << 8 | b[1:]) + np.uint32(1 << 24)
     three = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) + np.uint32(1 << 25)
     mixed = np.concatenate((b, two, three)) * np.uint32(2654435761)
@@ -43,12 +44,14 @@ def feature_ids(text: str):
 
 
 def presence(texts: list[str]):
-    """A row of zeros and ones for each text: which features it holds."""
+    """A row of zeros and ones for each text: which features it holds.  ``BYTES_AT_ONCE`` bytes of a text are hashed at once."""
     import numpy as np
 
     rows = np.zeros((len(texts), 1 << FEATURES_LOG2), np.float32)
     for row, text in zip(rows, texts):
-        row[feature_ids(text)] = 1
+        data = np.frombuffer(text.lower().encode(), dtype=np.uint8)
+        for k in range(0, len(data), BYTES_AT_ONCE):
+            row[feature_ids(data[k : k + BYTES_AT_ONCE + 2])] = 1  # n-grams over the cut are met once more
     return rows
 
 

@@ -35,6 +35,8 @@ from .workers import begin
 WIDTH, KMER = 400, 64
 #: Bytes of segments that are sorted at once (a value's segments stay together) and from which a value is trimmed.
 SORT_BYTES, TRIM_BYTES = 1 << 18, 1 << 20
+#: Windows of a text that are hashed at once.
+WINDOWS_AT_ONCE = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list = []
 
@@ -87,15 +89,25 @@ def window_values(data, width: int):
     return hashes, sliding(hashes, width - KMER + 1, np.minimum)
 
 
+def window_chunks(data, width: int):
+    """(first window, k-mer hashes, least hashes) of ``WINDOWS_AT_ONCE`` windows after another."""
+    n = len(data) - width + 1
+    for a in range(0, n, WINDOWS_AT_ONCE):
+        yield a, *window_values(data[a : min(a + WINDOWS_AT_ONCE, n) + width - 1], width)
+
+
 def anchors(data, width: int):
     """(values, places): the least hashes of a text's windows, with how many k-mers of it have them."""
     import numpy as np
 
-    hashes, least = window_values(data, width)
-    span = width - KMER + 1
+    span, places, values = width - KMER + 1, [], []
     edge = np.zeros(span - 1, np.uint64)
-    highest = sliding(np.concatenate((edge, least, edge)), span, np.maximum)
-    return np.unique(hashes[hashes == highest], return_counts=True)
+    for a, hashes, least in window_chunks(data, width):
+        at = np.flatnonzero(hashes == sliding(np.concatenate((edge, least, edge)), span, np.maximum))
+        places.append(at + a)
+        values.append(hashes[at])
+    first = np.unique(np.concatenate(places), return_index=True)[1]  # a k-mer may be the least of windows in two chunks
+    return np.unique(np.concatenate(values)[first], return_counts=True)
 
 
 def runs_of(mask):
@@ -110,11 +122,18 @@ def segments(data, width: int, wanted):
     """(value, first window, last window) of every stretch of windows whose value is among ``wanted``."""
     import numpy as np
 
-    least = window_values(data, width)[1]
-    starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    ends = np.append(starts[1:], len(least)) - 1
-    chosen = np.isin(least[starts], wanted)
-    return least[starts][chosen], starts[chosen], ends[chosen]
+    values, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, _, least in window_chunks(data, width):
+        at = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+        if a and least[0] == values[-1][-1]:  # the stretch goes on
+            at = at[1:]
+        if len(at):
+            values.append(least[at])
+            starts.append(at + a)
+    values, starts = np.concatenate(values), np.concatenate(starts)
+    ends = np.append(starts[1:], len(data) - width + 1) - 1
+    chosen = np.isin(values, wanted)
+    return values[chosen], starts[chosen], ends[chosen]
 
 
 def repeated_windows(parts: list[bytes], width: int):

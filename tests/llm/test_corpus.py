@@ -346,3 +346,18 @@ def test_stages_with_clashing_columns(spark, docs, stage):
     rows = found.collect()
     assert plain and sorted(str(tuple(r)[: len(docs.columns)]) for r in rows) == plain
     assert all(r[c] == f"my {c}" for r in rows for c in extra)
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 100])
+def test_long_texts_are_hashed_in_chunks(monkeypatch, at_once):
+    rng = random.Random(9)
+    texts = [np.frombuffer(bytes(rng.choices(b"abc", k=n)), np.uint8) for n in (400, 401, 900, 1500)] + [np.frombuffer(b"ab" * 700, np.uint8)]
+    whole = [(suffixdedup.anchors(t, 400), suffixdedup.segments(t, 400, suffixdedup.anchors(t, 400)[0][::2])) for t in texts]
+    words = ["", "a", "Äb", "the text " * 40]
+    rows = langid.presence(words)
+    monkeypatch.setattr(suffixdedup, "WINDOWS_AT_ONCE", at_once)
+    monkeypatch.setattr(langid, "BYTES_AT_ONCE", at_once)
+    for t, (found, parts) in zip(texts, whole):
+        again = suffixdedup.anchors(t, 400)
+        assert all(np.array_equal(a, b) for a, b in zip((*again, *suffixdedup.segments(t, 400, again[0][::2])), (*found, *parts)))
+    assert np.array_equal(langid.presence(words), rows)

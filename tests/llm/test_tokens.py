@@ -164,3 +164,26 @@ def test_operators_on_no_rows(spark, tmp_path):
     assert bpe.encode_decode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
     tokenfile.write_shards(docs, P.path("byte_bpe_50k.json"), P.PATTERN, str(tmp_path / "shards"))
     assert tokenfile.read_documents(spark, str(tmp_path / "shards")).count() == 0
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ab", "=", " ", "é漢z", "tion"])
+def test_long_words_are_joined_from_pieces(ranks, letters):
+    import random
+
+    rng = random.Random(letters)
+    library = tiktoken.Encoding("one word", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    some = ["".join(rng.choice(letters) for _ in range(n)) for n in (63, 64, 65, 66, 127, 129, 500, 4000)]
+    assert [numbers(x) for x in bpe.BpeEngine(ranks).encode_words(some)] == [library.encode_ordinary(w) for w in some]
+
+
+def test_a_word_of_a_hundred_thousand_letters_ends(ranks):
+    import random
+    import time
+
+    word = "".join(random.Random(0).choices("abcdefghijklmnopqrstuvwxyz", k=100_000))
+    start = time.time()
+    ids = numbers(bpe.BpeEngine(ranks).encode_words([word])[0])
+    spelling = {rank: token for token, rank in ranks.items()}
+    assert b"".join(map(spelling.__getitem__, ids)).decode() == word and time.time() - start < 60
+    library = tiktoken.Encoding("one word", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    assert all(library.encode_ordinary((spelling[a] + spelling[b]).decode()) == [a, b] for a, b in zip(ids[:2000], ids[1:2000]))
