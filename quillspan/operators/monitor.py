@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.functions.records import as_date
+
 KEY = ["source", "source_id"]
 
 
@@ -121,6 +123,18 @@ def scheduled(jobs: DataFrame, schedule: Column, now: Column, last_run: Column)
     return read.withColumns({"due": is_due(F.col("_plan"), F.col("slot"), F.col("_now"), F.col("_ran")), "next": next_slot(F.col("_plan"), F.col("_now"), F.col("_ran"))}).drop("_plan", "_now", "_ran")
 
 
+# The intervals of standing queries; any other word means daily.
+INTERVALS = {"hourly": 3600, "daily": 86_400, "weekly": 604_800}
+
+
+def due_sensors(sensors: DataFrame, now: Column) -> DataFrame:
+    """The ``sensors`` (schedule, last_run_at as an ISO text) whose interval has passed; one that never ran, or whose stamp is none, is due."""
+    word = F.lower(F.trim(F.coalesce("schedule", F.lit(""))))
+    every = F.coalesce(*(F.when(word == w, s) for w, s in INTERVALS.items()), F.lit(INTERVALS["daily"]))
+    passed = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(as_date(F.col("last_run_at")))) / 1_000_000
+    return sensors.where(F.coalesce(passed >= every, F.lit(True)))
+
+
 def yields(hits: DataFrame) -> DataFrame:
     """Counters of each source over searches: (source, searches, offered, top, sole, best_rank, r0_2, r3_5, r6_9, r10).
 

@@ -32,7 +32,7 @@ def survivors(members: DataFrame) -> DataFrame:
     ``members`` are from ``grouped`` with content, attention, backend, date.  Everything is one aggregation over mergeable
     extremes and sets, so a group of any size is combined before it is shuffled.
     """
-    best = F.max_by(F.struct("pos", "source", "source_id", "title", "date"), F.struct(F.length("content"), F.col("attention"), -F.col("pos")))
+    best = F.max_by(F.struct("pos", "source", "source_id", "title", "date"), F.struct(F.length(F.coalesce("content", F.lit(""))), F.coalesce("attention", F.lit(0.0)), -F.col("pos")))
     dated = F.min_by(F.struct("date", "source"), F.when(F.col("date").isNotNull(), F.col("pos")))
     rows = members.groupBy("grp").agg(
         best.alias("best"), F.collect_set("source").alias("sources"), F.count_distinct("backend").alias("backends"),
@@ -48,6 +48,28 @@ def survivors(members: DataFrame) -> DataFrame:
     )
 
 
+def carried(members: DataFrame) -> DataFrame:
+    """(grp, pos, doi, arxiv, ids_from, openalex, authorships): what a group's survivor takes from its other members.
+
+    A survivor without any id takes those of the first member that has one; one without authorships takes those of the
+    first member with some, and that member's openalex id if it lacks its own.  Everything else is null: nothing native is
+    told again.  ``members`` are from ``grouped`` with content, attention, openalex, authorships (array).  "The first
+    member with" is a mergeable minimum for each fact, so no group is sorted.
+    """
+    some = lambda c: F.nullif(c, F.lit(""))
+    handle = F.coalesce(some("doi"), some("arxiv"))
+    named = F.coalesce(F.size("authorships"), F.lit(0)) > 0
+    seen = F.struct("pos", handle.isNotNull().alias("handled"), named.alias("named"), some("openalex").alias("openalex"))
+    best = F.max_by(seen, F.struct(F.length(F.coalesce("content", F.lit(""))), F.coalesce("attention", F.lit(0.0)), -F.col("pos")))
+    rows = members.groupBy("grp").agg(
+        best.alias("best"), F.min_by(F.struct(some("doi").alias("doi"), some("arxiv").alias("arxiv"), "source"), F.when(handle.isNotNull(), F.col("pos"))).alias("ids"),
+        F.min_by(F.struct("authorships", some("openalex").alias("openalex")), F.when(named, F.col("pos"))).alias("who"),
+    )
+    lent = lambda c: F.when(~F.col("best.handled"), F.col(f"ids.{c}"))
+    told = F.when(~F.col("best.named"), F.col("who.authorships"))
+    return rows.select("grp", F.col("best.pos").alias("pos"), lent("doi").alias("doi"), lent("arxiv").alias("arxiv"), lent("source").alias("ids_from"), F.when(told.isNotNull() & F.col("best.openalex").isNull(), F.col("who.openalex")).alias("openalex"), told.alias("authorships"))
+
+
 def divergence_ratio(a: Column, b: Column) -> Column:
     """max|v| / min|v|; infinite for opposite signs or one zero; null for equal values."""
     high, low = F.greatest(F.abs(a), F.abs(b)), F.least(F.abs(a), F.abs(b))
