@@ -18,7 +18,8 @@ def tokens(text: Column) -> Column:
     """Words of every script in text order; runs of scripts without spaces become overlapping pairs of characters."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
     pairs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))
-    return F.flatten(F.transform(found, lambda w: F.when(w.rlike(f"^[{CONTINUA}]"), pairs(w)).otherwise(F.array(w))))
+    split = F.flatten(F.transform(found, lambda w: F.when(w.rlike(f"^[{CONTINUA}]"), pairs(w)).otherwise(F.array(w))))
+    return F.when(text.rlike(f"[{CONTINUA}]"), split).otherwise(found)  # most texts have no such run, and need no look at each word
 
 
 def query_terms(text: Column) -> Column:

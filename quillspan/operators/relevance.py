@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as X
+from quillspan.storage import materialise, spread
 
 K1, B = 1.2, 0.75
 
@@ -20,16 +21,18 @@ def term_list(spark, query: str) -> list[str]:
     return spark.range(1).select(X.query_terms(F.lit(query)).alias("t")).first()["t"]
 
 
-def bm25(rows: DataFrame, fields: list[tuple[str, float]], terms: list[str], score: str = "score") -> DataFrame:
-    """``rows`` with a BM25 score over weighted text ``fields``; 0 where no term occurs, and for no terms."""
-    if not terms:
-        return rows.withColumn(score, F.lit(0.0))
+def frequencies(rows: DataFrame, fields: list[tuple[str, float]], terms: list[str], keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``rows`` with ``_dl``, the weighted length, and ``_f0``, ``_f1``, ...: how often each term occurs."""
     made = rows
     for i, (field, _) in enumerate(fields):
         made = made.withColumn(f"_t{i}", X.tokens(F.col(field)))
     total = lambda f: reduce(Column.__add__, (f(F.col(f"_t{i}")) * float(w) for i, (_, w) in enumerate(fields)))
-    counted = made.select("*", total(F.size).alias("_dl"), *(total(lambda t, w=w: F.size(F.filter(t, lambda x: x == w))).alias(f"_f{k}") for k, w in enumerate(terms)))
-    counted = counted.drop(*(f"_t{i}" for i in range(len(fields))))
+    return made.select(*keep, total(F.size).alias("_dl"), *(total(lambda t, w=w: F.size(t) - F.size(F.array_remove(t, w))).alias(f"_f{k}") for k, w in enumerate(terms)))
+
+
+def scored(counted: DataFrame, terms: list[str], score: str = "score") -> DataFrame:
+    """What ``frequencies`` gives for a candidate set, with its BM25 score in place of the counts; it is read twice."""
+    counts = ["_dl", *(f"_f{k}" for k in range(len(terms)))]
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *(F.count_if(F.col(f"_f{k}") > 0).alias(f"_d{k}") for k in range(len(terms))))
     both = counted.crossJoin(F.broadcast(stats))  # one row
     norm = 1 - B + B * F.col("_dl") / F.when(F.col("_avg") > 0, F.col("_avg")).otherwise(1.0)
@@ -38,7 +41,19 @@ def bm25(rows: DataFrame, fields: list[tuple[str, float]], terms: list[str], sco
         f, d = F.col(f"_f{k}"), F.col(f"_d{k}")
         idf = F.log(1 + (F.col("_n") - d + 0.5) / (d + 0.5))
         parts.append(F.when(f > 0, idf * (f * (K1 + 1)) / (f + K1 * norm)).otherwise(0.0))
-    return both.select(*rows.columns, reduce(Column.__add__, parts).alias(score))
+    return both.select(*(c for c in counted.columns if c not in counts), reduce(Column.__add__, parts, F.lit(0.0)).alias(score))
+
+
+def bm25(rows: DataFrame, fields: list[tuple[str, float]], terms: list[str], score: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """``rows`` with a BM25 score over weighted text ``fields``; 0 where no term occurs, and for no terms.
+
+    With ``keep``, only those columns stay, and texts are read once: their counts are written, and both the statistics and
+    the scores come from what was written.
+    """
+    if not terms:
+        return rows.select(*(keep or rows.columns), F.lit(0.0).alias(score))
+    counted = frequencies(spread(rows), fields, terms, keep or rows.columns)
+    return scored(materialise(counted, "term-counts") if keep else counted, terms, score)
 
 
 def filter_rank(rows: DataFrame, fields: list[tuple[str, float]], query: str, order: str) -> DataFrame:

@@ -12,10 +12,10 @@ from quillspan.operators.components import connected_components
 def grouped(docs: DataFrame) -> DataFrame:
     """``docs`` with ``fp``, and ``grp``: the earliest fingerprint of those that strong ids unite, and ``united``.
 
-    ``docs`` have pos, source, source_id, url, title, doi, arxiv.  Fingerprints that share a strong id are joined by
+    ``docs`` have pos, source, source_id, url, title, doi, arxiv, or ``fp`` in place of the title.  Fingerprints that share a strong id are joined by
     their components; rows without a shared id take no part in that.
     """
-    keyed = docs.withColumn("fp", X.fingerprint(*(F.col(c) for c in ("title", "doi", "url", "source", "source_id"))))
+    keyed = docs if "fp" in docs.columns else docs.withColumn("fp", X.fingerprint(*(F.col(c) for c in ("title", "doi", "url", "source", "source_id"))))
     ids = keyed.select("fp", "pos", F.explode(X.strong_ids(F.col("doi"), F.col("arxiv"), F.col("url"))).alias("strong"))
     firsts = keyed.groupBy("fp").agg(F.min("pos").alias("fp_pos"))
     holders = ids.groupBy("strong", "fp").agg(F.lit(1)).select("strong", "fp").join(firsts, "fp")
@@ -26,13 +26,25 @@ def grouped(docs: DataFrame) -> DataFrame:
     return keyed.join(placed, "fp")
 
 
+def narrow_columns() -> list[Column]:
+    """What ``grouped`` and ``survivors`` need of a document, without its text; a long fingerprint as its digest.
+
+    Equal fingerprints have equal digests and a digest keeps its kind, so the groups and what they rest on are the same.
+    """
+    fp = X.fingerprint(*(F.col(c) for c in ("title", "doi", "url", "source", "source_id")))
+    short = F.when(F.length(fp) > 96, F.concat(F.substring_index(fp, ":", 1), F.lit(":"), F.sha2(fp, 256))).otherwise(fp)
+    kept = [F.col(c) for c in ("pos", "source", "source_id", "url", "doi", "arxiv", "backend", "date", "attention")]
+    return [*kept, F.length(F.coalesce("content", F.lit(""))).alias("chars"), short.alias("fp")]
+
+
 def survivors(members: DataFrame) -> DataFrame:
     """A row for each group: its richest member and the facts that the group agrees on.
 
-    ``members`` are from ``grouped`` with content, attention, backend, date.  Everything is one aggregation over mergeable
+    ``members`` are from ``grouped`` with content (or ``chars``, its length), attention, backend, date.  Everything is one aggregation over mergeable
     extremes and sets, so a group of any size is combined before it is shuffled.
     """
-    best = F.max_by(F.struct("pos", "source", "source_id", "title", "date"), F.struct(F.length(F.coalesce("content", F.lit(""))), F.coalesce("attention", F.lit(0.0)), -F.col("pos")))
+    chars = F.col("chars") if "chars" in members.columns else F.length(F.coalesce("content", F.lit("")))
+    best = F.max_by(F.struct("pos", "source", "source_id", "date"), F.struct(chars, F.coalesce("attention", F.lit(0.0)), -F.col("pos")))
     dated = F.min_by(F.struct("date", "source"), F.when(F.col("date").isNotNull(), F.col("pos")))
     rows = members.groupBy("grp").agg(
         best.alias("best"), F.collect_set("source").alias("sources"), F.count_distinct("backend").alias("backends"),

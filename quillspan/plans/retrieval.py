@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as X
 from quillspan.operators import rank, recall, relevance, resolve
-from quillspan.storage import materialise
+from quillspan.storage import materialise, spread
 
 QUERY = "the tion of and erthe with 9 a"
 NOW = "2025-02-01 00:00:00"
@@ -75,7 +75,7 @@ engaged AS (SELECT d.*, coalesce(eng, 0) AS eng FROM {0} d LEFT JOIN shares USIN
 
 
 def bm25_topk(spark, sf_dir):
-    scored = relevance.bm25(corpus(spark, sf_dir), FIELDS, relevance.term_list(spark, QUERY))
+    scored = relevance.bm25(corpus(spark, sf_dir), FIELDS, relevance.term_list(spark, QUERY), keep=["pos", "source"])
     return scored.orderBy(F.desc("score"), "pos").limit(20).select("pos", "source", F.round("score", 6).alias("score"))
 
 
@@ -99,7 +99,7 @@ def fingerprints(spark, sf_dir):
 
 
 def dedup_survivors(spark, sf_dir):
-    found = resolve.survivors(resolve.grouped(corpus(spark, sf_dir)))
+    found = resolve.survivors(resolve.grouped(materialise(spread(corpus(spark, sf_dir)).select(*resolve.narrow_columns()), "narrow")))
     return found.select("pos", "source", "members", F.array_join("also_in", ",").alias("also_in"), F.array_join("live_sources", ",").alias("live_sources"), "corroboration", "date", "date_from", "merge_basis")
 
 
@@ -119,11 +119,13 @@ def signal_divergence(spark, sf_dir):
 def merged_rank(spark, sf_dir, limit: int = 25):
     """Flagship: deduplicate all candidates, score, blend and cut, with the stamps of each survivor."""
     docs, now = corpus(spark, sf_dir), F.lit(NOW).cast("timestamp")
-    kept = materialise(resolve.survivors(resolve.grouped(docs)).select("pos", "source", "corroboration", "date"), "survivors")
     terms = relevance.term_list(spark, QUERY)
-    scored = relevance.bm25(kept.join(docs.select("pos", "title", "content", "attention"), "pos"), FIELDS, terms, "rel")
-    # texts are read for the score and for the rows that stay; what is normalised over the whole set is narrow and written once
-    narrow = materialise(scored.select("pos", "source", "corroboration", "date", "attention", "rel", F.lit(None).cast("double").alias("rrf")), "candidates")
+    # one scan of the texts gives all that is needed of them until the last rows are known
+    counted = materialise(relevance.frequencies(spread(docs), FIELDS, terms, resolve.narrow_columns()), "narrow")
+    counts = [c for c in counted.columns if c.startswith("_")]
+    kept = resolve.survivors(resolve.grouped(counted.drop(*counts))).select("pos", "source", "corroboration", "date")
+    candidates = materialise(kept.join(counted.select("pos", "attention", *counts), "pos"), "candidates")
+    narrow = materialise(relevance.scored(candidates, terms, "rel").withColumn("rrf", F.lit(None).cast("double")), "scored")
     blended = rank.composite(rank.engagement(narrow), now, bool(terms))
     top = blended.orderBy(F.desc(F.round("composite", 9)), "pos").limit(limit)
     stamped = F.broadcast(top.drop("attention")).join(docs.select("pos", "title", "content"), "pos")  # ``limit`` rows
@@ -132,7 +134,7 @@ def merged_rank(spark, sf_dir, limit: int = 25):
 
 def source_diversity(spark, sf_dir):
     """Of the best twenty rows: how many of each label (language, backend) and which labels have none."""
-    top = relevance.bm25(corpus(spark, sf_dir), FIELDS, relevance.term_list(spark, QUERY)).orderBy(F.desc("score"), "pos").limit(20)
+    top = relevance.bm25(corpus(spark, sf_dir), FIELDS, relevance.term_list(spark, QUERY), keep=["pos", "source", "lang", "backend"]).orderBy(F.desc("score"), "pos").limit(20)
     labelled = top.select(F.explode(F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("backend:"), "backend"))).alias("label"), "source")
     present = labelled.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
     known = corpus(spark, sf_dir).select(F.explode(F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("backend:"), "backend"))).alias("label")).distinct()
@@ -168,7 +170,7 @@ def _everything():
 
 
 def hybrid_recall(spark, sf_dir):
-    scored = relevance.bm25(corpus(spark, sf_dir), FIELDS, relevance.term_list(spark, QUERY)).where("score > 0").select((F.col("pos") % 250).alias("key"), F.round("score", 6).alias("score"))
+    scored = relevance.bm25(corpus(spark, sf_dir), FIELDS, relevance.term_list(spark, QUERY), keep=["pos"]).where("score > 0").select((F.col("pos") % 250).alias("key"), F.round("score", 6).alias("score"))
     lexical = recall.ranked(scored.groupBy("key").agg(F.max("score").alias("score")), F.desc("score"), F.col("key"), k=50)
     near = recall.vector_search(_vectors(spark, sf_dir), _query_vector(spark, sf_dir, 7), 50).withColumn("cos", F.round("cos", 9))
     vector = recall.ranked(near, F.desc("cos"), F.col("key"), k=50)

@@ -40,3 +40,12 @@ def discard(*tables: DataFrame) -> None:
     """
     for df in tables:
         df.sparkSession.range(0).write.mode("overwrite").parquet(df.stored_at)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the cluster if its scan has fewer tasks than there are cores, as files of few row groups have.
+
+    Where the input is large, it has tasks enough and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
