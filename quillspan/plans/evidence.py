@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as X
 from quillspan.operators import evidence, statements
+from quillspan.operators.keyindex import KeyIndex
 from quillspan.plans import network
 from quillspan.plans.retrieval import DOCS, FP, corpus, table
 from quillspan.storage import materialise
@@ -140,12 +141,28 @@ def document_voices(spark, sf):
     return found.select("voice", "verdict", *joined.values(), "speaker_known")
 
 
+def title_partners(spark, sf):
+    """Of each title that documents share, how many; from the bucketed index."""
+    return KeyIndex(documents(spark, sf)).partners().where("documents > 1").select(F.sha2("key", 256).alias("title"), "documents")
+
+
+def anchor_edges(spark, sf):
+    """The identities of the first twenty documents that carry a DOI or whose title others share."""
+    docs = documents(spark, sf)
+    anchors = [r.id for r in docs.where("doi IS NOT NULL OR openalex IS NOT NULL").orderBy("id").limit(20).collect()]
+    return KeyIndex(docs).edges(anchors)
+
+
 QUERIES = {
+    "title_partners": title_partners, "anchor_edges": anchor_edges,
     "statements_settled": statements_settled, "statements_refused": statements_refused, "evidence_neighborhood": neighborhood,
     "evidence_neighborhood_of_document": neighborhood_of_document, "evidence_since": since, "evidence_between": between, "document_voices": document_voices,
 }
 ROWS = "SELECT 'node' AS part, id AS src, kind, label, capped, NULL AS dst, NULL AS type, NULL AS method, NULL AS tier{0} FROM stay UNION ALL SELECT 'edge', src, NULL, NULL, NULL, dst, type, method, tier{1} FROM found WHERE src IN (SELECT id FROM stay) AND dst IN (SELECT id FROM stay)"
 ORACLE_SQL = {
+    "title_partners": f"WITH {TABLES} SELECT sha256(fp) AS title, count(*) AS documents FROM papers WHERE starts_with(fp, 'title:') GROUP BY fp HAVING count(*) > 1",
+    "anchor_edges": f"""WITH {TABLES}, first AS (SELECT id FROM papers WHERE doi IS NOT NULL OR openalex IS NOT NULL ORDER BY id LIMIT 20)
+SELECT src, dst, 'same_as' AS type, method FROM carried WHERE src IN (FROM first) UNION SELECT least(x.id, y.id), greatest(x.id, y.id), 'same_as', 'align:title_fp' FROM papers x JOIN papers y USING (fp) WHERE x.id IN (FROM first) AND x.id <> y.id AND starts_with(fp, 'title:')""",
     "statements_settled": f"WITH {REQUESTS} SELECT src, dst, type, note, doc, stated_at FROM st",
     "statements_refused": f"WITH {REQUESTS} SELECT seq, refused FROM judged WHERE refused IS NOT NULL",
     "evidence_neighborhood": f"""WITH {TABLES}, {WORKING}, h0 AS (SELECT 'person:c:10' AS node), e1 AS MATERIALIZED ({touching('counted', 'h0')}), h1 AS ({ends('e1')} UNION FROM h0),

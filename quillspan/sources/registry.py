@@ -1,4 +1,4 @@
-"""Sources by name: registration with collision checks, a batch data source over them, and views as functions."""
+"""Sources by name: registration with collision checks, their union, and views as functions."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from collections.abc import Callable
 from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 class Registry:
@@ -58,36 +57,3 @@ def search_all(spark: SparkSession, query: str, limit: int = 5, names: list[str]
     if not found:
         return spark.createDataFrame([], "source string, source_id string, url string, title string, content string, date timestamp"), states
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found), states
-
-
-class _Share(InputPartition):
-    def __init__(self, first: int, last: int):
-        self.first, self.last = first, last
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.rows, self.parts = int(options.get("rows", "100")), int(options.get("partitions", "4"))
-        self.query = options.get("query", "")
-
-    def partitions(self):
-        edges = [self.rows * i // self.parts for i in range(self.parts + 1)]
-        return [_Share(a, b) for a, b in zip(edges, edges[1:])]
-
-    def read(self, share):
-        for i in range(share.first, share.last):
-            yield ("template", str(i), f"https://example.org/{i}", f"{self.query} {i}", f"Row {i} for {self.query}")
-
-
-class TemplateSource(DataSource):
-    """A pattern for connectors: ``spark.read.format("quillspan-template").option("query", q).load()``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "quillspan-template"
-
-    def schema(self) -> str:
-        return "source string, source_id string, url string, title string, content string"
-
-    def reader(self, schema):
-        return _Reader(self.options)

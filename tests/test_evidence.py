@@ -1,11 +1,14 @@
 """Statements and the views over stored, derived and stated edges, on small graphs."""
 
+import contextlib
 import datetime
+import io
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillspan.operators import evidence, statements
+from quillspan.operators.keyindex import KeyIndex
 
 REQUEST = "seq long, op string, src string, dst string, type string, note string, doc string, stated_at string"
 NO_TIME = datetime.datetime(2024, 1, 1)
@@ -132,3 +135,28 @@ def test_stamps_and_stores(spark, graph):
     assert found == [day, *[day.replace(hour=3, minute=4, second=5)] * 2, day.replace(hour=1, minute=4, second=5), None, None, None, None]
     thin = graph.documents.limit(0).unionByName(spark.createDataFrame([("doc:s:1", "hidden", "", None, None, None, NO_TIME), ("doc:v:9", "thin", "title:z", None, None, None, NO_TIME)], graph.documents.schema))
     assert sorted(r.title for r in evidence.known_documents(graph.documents, thin).collect()) == ["Alone", "One  title", "One title", "Three", "thin"]
+
+
+def test_the_index_reads_few_buckets_and_joins_without_a_shuffle(spark, graph):
+    index = KeyIndex(graph.documents, 8)
+    try:
+        def plan(df):
+            with contextlib.redirect_stdout(io.StringIO()) as out:
+                df.explain("formatted")
+            return out.getvalue()
+
+        looked = index.lookup("key", ["title:onetitle"])
+        assert sorted(r.id for r in looked.collect()) == ["doc:s:1", "doc:t:2"]
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # a plan tells its buckets then alone
+        assert "SelectedBucketsCount: 1 out of 8" in plan(index.lookup("key", ["title:onetitle"]))
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+        assert index.title_of("doc:t:2") == "title:onetitle" and index.title_of("doc:t:3") is None and index.title_of("none") is None
+        found = sorted((r.src, r.dst, r.method) for r in index.edges(["doc:s:1", "doc:t:3", "gone"]).collect())
+        assert found == [("doc:s:1", "doc:t:2", "align:title_fp"), ("doc:s:1", "work:doi:10.1/x", "id_eq:doi"), ("doc:t:3", "work:arxiv:2401.1", "id_eq:arxiv"), ("doc:t:3", "work:openalex:W3", "id_eq:openalex")]
+        assert index.edges([]).count() == 0
+        counted = index.partners()
+        assert [tuple(r) for r in counted.collect()] == [("title:onetitle", 2)] and "Exchange" not in plan(counted)
+        with pytest.raises(ValueError):
+            index.lookup("id", ["x"] * 1001)
+    finally:
+        index.drop()

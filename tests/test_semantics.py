@@ -245,8 +245,6 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in readers.cube_series(spark.createDataFrame([(cube,)], "body string")).collect()] == [("2021", 5.5)]
     (tmp_path / "n.txt").write_text("\n  Head\nbody")
     assert readers.text_documents(spark, str(tmp_path / "n.txt")).first()["title"] == "Head"
-    spark.dataSource.register(registry.TemplateSource)
-    assert spark.read.format("quillspan-template").option("query", "q").option("rows", 10).load().count() == 10
 
 
 def test_registry(spark):
