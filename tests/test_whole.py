@@ -13,7 +13,7 @@ from quillspan.plans import catalog
 CUTS = {
     "signal_divergence": (" FROM lineitem)", " FROM lineitem WHERE l_partkey % 10 = 0)"),
     "dates_read": (" FROM events", " FROM events WHERE event_id % 4 = 0"),
-    "schedules": (" FROM events)", " FROM events WHERE event_id % 10 = 0)"),
+    "schedules": (" = event_id // 10 % 8)", " = event_id // 10 % 8 WHERE event_id % 10 = 0)"),
     "inverted_abstracts": (" FROM documents", " FROM documents WHERE length(text) < 1500"),
     "search_plan": ("'[^a-z]+'))", "'[^a-z]+')) FILTER (doc_id < 40)"),
     "graph_voices": (" OR type = 'authored')", " OR type = 'authored' AND dst LIKE '%07')"),
