@@ -151,3 +151,18 @@ def cache_lifetime(rows: Column, ttl: Column, reached: Column) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(Column.__or__, conditions)
+
+
+def midpoint(low: Column, high: Column) -> Column:
+    """The middle of two bounds, or the one that is given; null for none, never a made-up zero."""
+    return (F.coalesce(low, high) + F.coalesce(high, low)) / 2
+
+
+def log_attention(value: Column) -> Column:
+    """Attention on a scale of its logarithm, 1 at about ten thousand; none and negative ones are 0."""
+    return F.when(value > 0, F.least(F.lit(1.0), F.log10(1 + value) / 4)).otherwise(F.lit(0.0))
+
+
+def comment_anchor(source: Column, source_id: Column, comment: Column) -> Column:
+    """Where a quoted comment stands."""
+    return F.concat(source, F.lit(":"), source_id, F.lit("#comment-"), comment)

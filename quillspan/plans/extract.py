@@ -89,7 +89,25 @@ def source_quota(spark, sf):
     return readers.per_source(docs, 5, F.desc("n_chars"), "doc_id")
 
 
+def year_series(spark, sf):
+    """Orders of a customer and priority are one row list; some rows are no years, no numbers or no objects."""
+    o = table(spark, sf, "orders")
+    date = F.expr("CASE WHEN o_orderkey % 11 = 0 THEN '\"soon\"' WHEN o_orderkey % 11 = 1 THEN CAST(year(o_orderdate) AS STRING) ELSE concat('\" ', year(o_orderdate), '\"') END")
+    value = F.expr("CASE WHEN o_orderkey % 7 = 0 THEN 'null' WHEN o_orderkey % 7 = 1 THEN 'true' WHEN o_orderkey % 7 = 2 THEN concat('\" ', o_orderkey, '\"') WHEN o_orderkey % 7 = 3 THEN '\"x\"' ELSE CAST(o_orderkey AS STRING) END")
+    label = F.expr("CASE WHEN o_orderkey % 3 = 0 THEN concat(', \"unit\": \"u', o_orderkey, '\", \"indicator\": {\"value\": \"\"}') WHEN o_orderkey % 3 = 1 THEN concat(', \"countryiso3code\": \"C', o_orderkey, '\", \"indicator\": {\"value\": \"i', o_orderkey, '\"}') ELSE '' END")
+    row = F.when(F.col("o_orderkey") % 13 == 0, F.lit("7")).otherwise(F.concat(F.lit('{"date": '), date, F.lit(', "value": '), value, label, F.lit("}")))
+    answers = o.groupBy(F.concat(F.lit("c"), F.col("o_custkey") % 97).alias("country"), F.col("o_orderpriority").alias("indicator")).agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("r")))), lambda x: x["r"]), ", "), F.lit("]")).alias("json"))
+    return readers.year_series(answers)
+
+
+def record_marks(spark, sf):
+    docs = table(spark, sf, "documents")
+    low, high = F.when(F.col("doc_id") % 3 != 0, F.col("doc_id").cast("double")), F.when(F.col("doc_id") % 4 != 0, F.col("n_chars").cast("double"))
+    return docs.select("doc_id", R.midpoint(low, high).alias("midpoint"), F.round(R.log_attention(high - 500), 9).alias("attention"), R.comment_anchor(F.col("source"), F.col("doc_id").cast("string"), F.lit("c1")).alias("anchor"))
+
+
 QUERIES = {
+    "year_series": year_series, "record_marks": record_marks,
     "page_texts": page_texts, "page_versions": page_versions, "normal_urls": normal_urls, "tail_passages": tail_passages, "text_pages": text_pages, "record_fields": record_fields, "dates_read": dates_read,
     "agent_views": agent_views, "summary_lines": summary_lines, "inverted_abstracts": inverted_abstracts, "conversation_answers": conversation_answers, "newest_values": newest_values, "source_quota": source_quota,
 }
@@ -111,6 +129,11 @@ _MARKERS = [
     "拖动滑块", "访问链接异常", "检测到非正常操作", "账号异常",
 ]
 ORACLE_SQL = {
+    "year_series": """WITH o AS (SELECT 'c' || (o_custkey % 97) AS country, o_orderpriority AS indicator, o_orderkey AS k, CASE WHEN k % 11 <> 0 THEN year(o_orderdate) END AS y, CASE WHEN k % 7 IN (2, 4, 5, 6) THEN k::DOUBLE END AS v FROM orders WHERE k % 13 <> 0),
+g AS (SELECT *  FROM o WHERE y IS NOT NULL), b AS (SELECT country, indicator, y, arg_max(v, k) FILTER (v IS NOT NULL) AS v FROM g GROUP BY ALL HAVING count(v) > 0),
+l AS (SELECT country, indicator, count(*) AS years, max(y)::INTEGER AS latest_year, arg_max(v, y) AS latest_value FROM b GROUP BY ALL), n AS (SELECT country, indicator, min(k) FILTER (k % 3 = 1) AS named, min(k) FILTER (k % 3 = 0) AS unit FROM g GROUP BY ALL)
+SELECT country, indicator, coalesce('i' || named, indicator) AS name, coalesce('C' || named, country) AS iso3, coalesce('u' || unit, '') AS unit, years, latest_year, latest_value FROM l JOIN n USING (country, indicator)""",
+    "record_marks": "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 AND doc_id % 4 <> 0 THEN (doc_id + n_chars) / 2.0 WHEN doc_id % 3 <> 0 THEN doc_id WHEN doc_id % 4 <> 0 THEN n_chars END::DOUBLE AS midpoint, round(CASE WHEN doc_id % 4 <> 0 AND n_chars > 500 THEN least(1, log10(n_chars - 499) / 4) ELSE 0 END, 9)::DOUBLE AS attention, source || ':' || doc_id || '#comment-c1' AS anchor FROM documents",
     "page_texts": f"SELECT page_id, regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si') AS title, {_visible('html')} AS content, CASE {' '.join(f'WHEN contains(lower(html), {chr(39)}{m}{chr(39)}) THEN {chr(39)}{m}{chr(39)}' for m in _MARKERS)} WHEN length(html) < 600 AND (contains(lower(html), 'challenge-platform') OR contains(lower(html), '/cdn-cgi/challenge')) THEN 'short_challenge_shell' END AS blocked FROM pages",
     "page_versions": f"WITH v AS (SELECT url, {_visible('html')} AS content FROM pages) SELECT url, substr(sha256(content), 1, 16) AS version FROM v WHERE length(content) >= 200",
     "normal_urls": "SELECT page_id, regexp_replace(lower(regexp_replace(regexp_replace(url, '[?#].*$', '', 's'), '/+$', '')), '^https?://(www\\.)?', '') AS url FROM pages",

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import records as R
 from quillspan.functions import text as X
+from quillspan.operators.nested import items_of, kind, members_of, spelled
 
 DOCUMENT = ["source", "source_id", "url", "title", "content", "date"]
 
@@ -121,3 +122,23 @@ def answers_of_questions(questions: DataFrame) -> DataFrame:
 def per_source(rows: DataFrame, n: int, *order) -> DataFrame:
     """The first n rows of each source."""
     return rows.withColumn("_nth", F.row_number().over(Window.partitionBy("source").orderBy(*order))).where(F.col("_nth") <= n).drop("_nth")
+
+
+def year_series(answers: DataFrame) -> DataFrame:
+    """(country, indicator, name, iso3, unit, years, latest_year, latest_value) of row lists ``json``; those without a number give no row.
+
+    A row is a year and a value; a later row of a year wins, a value that is none leaves the year as it was.  Labels come
+    from the first row that has one, codes stand in for names.
+    """
+    rows = answers.select("country", "indicator", F.posexplode(items_of(F.try_parse_json("json"))).alias("pos", "row")).withColumn("m", members_of(F.col("row")))
+    said = lambda v: F.try_variant_get(v, "$", "string")
+    m = F.col("m")
+    year = F.when(kind(m["date"]).isin("number", "string"), F.when(F.trim(said(m["date"])).rlike(r"^[+-]?\d+$"), F.trim(said(m["date"])).try_cast("int")))
+    value = F.when(kind(m["value"]).isin("number", "string"), F.trim(said(m["value"])).try_cast("double"))
+    parts = rows.where("m IS NOT NULL").select("country", "indicator", "pos", year.alias("year"), value.alias("value"), spelled(members_of(m["indicator"])["value"]).alias("name"), spelled(m["countryiso3code"]).alias("iso3"), spelled(m["unit"]).alias("unit")).where("year IS NOT NULL")
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c) for c in ("name", "iso3", "unit")]
+    by_year = parts.groupBy("country", "indicator", "year").agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("pos"))).alias("value")).where("value IS NOT NULL")
+    latest = by_year.groupBy("country", "indicator").agg(F.count("*").alias("years"), F.max("year").alias("latest_year"), F.max_by("value", "year").alias("latest_value"))
+    labels = parts.groupBy("country", "indicator").agg(*first)
+    named = latest.join(labels, ["country", "indicator"])
+    return named.select("country", "indicator", F.coalesce("name", "indicator").alias("name"), F.coalesce("iso3", "country").alias("iso3"), F.coalesce("unit", F.lit("")).alias("unit"), "years", "latest_year", "latest_value")
