@@ -6,6 +6,7 @@ import os
 import random
 import re
 import sys
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -131,6 +132,16 @@ def test_suffix_query(spark, docs, tmp_path):
     assert sorted(str(tuple(r)) for r in suffixdedup.op10_suffix_dedup(spark, str(tmp_path)).collect()) == sorted(want)
 
 
+def test_memory_of_sorting():
+    parts = [np.random.default_rng(i).integers(97, 123, 1000, np.uint8).tobytes() for i in range(500)]
+    suffixdedup.repeated_windows(parts[:2], 400)
+    tracemalloc.start()
+    suffixdedup.repeated_windows(parts, 400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 68 * sum(map(len, parts))
+
+
 def test_repeated_windows():
     rng = random.Random(3)
     for _ in range(80):
