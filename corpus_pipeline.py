@@ -23,8 +23,8 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without byte strings that repeat; a document of repeats alone stays with an empty text."""
-    return without_repeats(docs)
+    """Documents without byte strings and passages of 50 words that repeat; one of repeats alone stays with an empty text."""
+    return without_repeats(docs, words=50)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

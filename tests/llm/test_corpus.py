@@ -132,6 +132,38 @@ def test_suffix_query(spark, docs, tmp_path):
     assert sorted(str(tuple(r)) for r in suffixdedup.op10_suffix_dedup(spark, str(tmp_path)).collect()) == sorted(want)
 
 
+def brute_passages(texts, n):
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    runs = [[tuple(t[a:b] for a, b in at[i : i + n]) for i in range(len(at) - n + 1)] for t, at in zip(texts, places)]
+    counts: dict = {}
+    for run in itertools.chain(*runs):
+        counts[run] = counts.get(run, 0) + 1
+    masks = brute_removed(texts, 400)
+    for mask, at, found in zip(masks, places, runs):
+        for i, run in enumerate(found):
+            if counts[run] > 1:
+                mask[at[i][0] : at[i + n - 1][1]] = True
+    return masks
+
+
+@pytest.mark.parametrize("trim", [1 << 22, 100])
+def test_passages_of_fifty_words(spark, monkeypatch, trim):
+    monkeypatch.setattr(suffixdedup, "TRIM_BYTES", trim)
+    rng = random.Random(11)
+    short = [" ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 5))) for _ in range(n)) for n in (49, 50, 55, 70)]
+    texts = [f"{words(rng, rng.randint(0, 40))}{rng.choice([' ', chr(10), '  '])}{short[i % 4]}\t{words(rng, rng.randint(0, 40))}" for i in range(16)]
+    texts += [short[1], short[1].replace(" ", "\n"), "x" + short[2], short[0], None, "", "a", "é" * 300 + words(rng, 50), "é" * 300, "é" * 300]
+    texts += ["ab " * 60, words(rng, 45) + " ", "\u4e2d" * 140, "\u4e2d" * 139 + "x"]
+    docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in enumerate(texts)], SCHEMA)
+    raw = [(t or "").encode() for t in texts]
+    masks = brute_passages(raw, 50)
+    assert sum(m.any() and not b.any() for m, b in zip(masks, brute_removed(raw, 400))) > 10
+    want = {i: None if t is None else bytes(b for b, m in zip(r, mask) if not m).decode("utf-8", "ignore") for i, (t, r, mask) in enumerate(zip(texts, raw, masks))}
+    assert {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["suffix_dedup"](spark, docs, "").collect()} == want
+    with pytest.raises(ValueError):
+        suffixdedup.repeated_spans(docs, 400, 70)
+
+
 def test_memory_of_sorting():
     parts = [np.random.default_rng(i).integers(97, 123, 1000, np.uint8).tobytes() for i in range(500)]
     suffixdedup.repeated_windows(parts[:2], 400)
