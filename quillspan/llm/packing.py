@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialise, single_threaded_tokenizers, table, tokenizer_path, with_text
 from .workers import begin, kept
 
+#: Bytes of memory for the chunks that a worker knows; it bounds memory and never changes a result.
+CHUNK_BYTES = 192 << 20
 PIECES = "part int, doc_id long, piece int, start long, length long, ids_crc32 long, local_rank long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -119,13 +121,13 @@ def cut(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     return with_text(docs, "doc_id").mapInArrow(run, PIECES)
 
 
-def word_encoder(path: str):
+def word_encoder(path: str, limit: int = CHUNK_BYTES):
     single_threaded_tokenizers()
     from tokenizers import Tokenizer
 
     from .pieces import WordEncoder
 
-    return WordEncoder(Tokenizer.from_file(path))
+    return WordEncoder(Tokenizer.from_file(path), limit)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

@@ -34,9 +34,9 @@ def tokenizer_digest(path: str) -> str:
 def word_counter(path: str):
     """A function from a text to its token count for a vocabulary that drops white space and never looks across it."""
     from .packing import word_encoder
-    from .pieces import Known
+    from .pieces import CACHE_BYTES, Known
 
-    encoder = word_encoder(path)
+    encoder = word_encoder(path, CACHE_BYTES // 2)
     counts = Known(lambda chunk: len(encoder.encode_chunk(chunk)) // 4)
     return lambda text: sum(map(counts.__getitem__, text.encode().split()))
 

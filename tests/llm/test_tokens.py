@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+from types import SimpleNamespace
 from zlib import crc32
 
 import numpy as np
@@ -187,3 +188,16 @@ def test_a_word_of_a_hundred_thousand_letters_ends(ranks):
     assert b"".join(map(spelling.__getitem__, ids)).decode() == word and time.time() - start < 60
     library = tiktoken.Encoding("one word", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
     assert all(library.encode_ordinary((spelling[a] + spelling[b]).decode()) == [a, b] for a, b in zip(ids[:2000], ids[1:2000]))
+
+
+def test_words_are_made_once():
+    calls = []
+
+    def tokenize(word):
+        calls.append(word)
+        return [SimpleNamespace(id=len(word))]
+
+    library = SimpleNamespace(model=SimpleNamespace(tokenize=tokenize), get_added_tokens_decoder=dict)
+    encoder = pieces.WordEncoder(library, 450_000)  # room for a thousand words, if they are held once
+    text = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(6)) for i in range(1000))
+    assert encoder(text) == encoder(text) and len(calls) == 1000
