@@ -32,7 +32,7 @@ from .workers import begin, kept
 
 SHARD_TOKENS = 1 << 20
 #: Bytes of memory for the pieces that a worker knows; it bounds memory and never changes a result.
-PIECE_BYTES = 224 << 20
+PIECE_BYTES = 320 << 20
 BLOCK = 512
 MAGIC = b"QWM2"
 SHARD = "part int, shard int, part_start long, n_tokens long, file binary"
@@ -64,9 +64,9 @@ class WaveletMatrix:
             planes.append(plane)
             ranks.append(cls.block_ranks(plane))
             ones = ones.view(bool)
-            low = ids[~ones]
+            low = ids[np.flatnonzero(~ones)]  # places cost less than a mask
             zeros.append(len(low))
-            ids = np.concatenate((low, ids[ones]))
+            ids = np.concatenate((low, ids[np.flatnonzero(ones)]))
         return cls(len(ids), zeros, planes, ranks)
 
     @staticmethod
@@ -142,8 +142,8 @@ class WaveletMatrix:
         ids = np.zeros(self.n, np.uint16 if width <= 16 else np.uint32)
         for level in range(width - 1, -1, -1):
             ones, above = np.unpackbits(self.planes[level], count=self.n).view(bool), np.empty_like(ids)
-            above[~ones] = ids[: self.zeros[level]]
-            above[ones] = ids[self.zeros[level] :] | (1 << (width - 1 - level))
+            above[np.flatnonzero(~ones)] = ids[: self.zeros[level]]
+            above[np.flatnonzero(ones)] = ids[self.zeros[level] :] | (1 << (width - 1 - level))
             ids = above
         return ids.astype(np.uint32)
 

@@ -201,3 +201,11 @@ def test_words_are_made_once():
     encoder = pieces.WordEncoder(library, 450_000)  # room for a thousand words, if they are held once
     text = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(6)) for i in range(1000))
     assert encoder(text) == encoder(text) and len(calls) == 1000
+
+
+def test_words_at_a_line_s_start_need_no_pattern(level):
+    library, searched = level[1], []
+    encoder = pieces.PieceIds(lambda t: searched.append(t) or regex.findall(P.PATTERN, t), pieces.ModelIds(library))
+    text = "One two, three.\nFour five\nSix. Über\nÜber, done!"
+    assert encoder(text) == pieces.library_ids(library, text) and searched == ["\n"]
+    assert encoder("Don't\n(a) b-c") == pieces.library_ids(library, "Don't\n(a) b-c") and len(searched) > 1
