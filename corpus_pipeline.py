@@ -11,6 +11,10 @@ from quillspan.llm.pii import replace_private
 from quillspan.llm.simhash import keep_one
 from quillspan.llm.suffixdedup import without_repeats
 
+#: Bytes of memory for the chunks that a packing worker knows: beside executors whose heap earlier stages have filled, less
+#: is left than the operator takes alone.  It bounds memory and never changes a result.
+PACKING_BYTES = 24 << 20
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; the others have no letters.  A missing ``lang`` takes the prediction."""
@@ -34,7 +38,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of each document, with its place in a training sequence."""
-    return pack(docs, tokenizer_path("word_bpe_49k.json"))
+    return pack(docs, tokenizer_path("word_bpe_49k.json"), chunk_bytes=PACKING_BYTES)
 
 
 STAGES = [

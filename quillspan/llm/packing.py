@@ -95,7 +95,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return runs
 
 
-def cut(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
+def cut(docs: DataFrame, path: str, capacity: int, end_id: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """A row for each piece of each document, with its partition and its rank among that partition's pieces of its length."""
 
     def run(batches: Iterator) -> Iterator:
@@ -103,7 +103,7 @@ def cut(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
         from pyspark import TaskContext
 
         begin("packing")
-        encode, part, ranks = kept(path, lambda: word_encoder(path)), TaskContext.get().partitionId(), {}
+        encode, part, ranks = kept((path, chunk_bytes), lambda: word_encoder(path, chunk_bytes)), TaskContext.get().partitionId(), {}
         end, room = end_id.to_bytes(4, "little"), capacity * 4
         for batch in batches:
             rows = []
@@ -130,9 +130,12 @@ def word_encoder(path: str, limit: int = CHUNK_BYTES):
     return WordEncoder(Tokenizer.from_file(path), limit)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document."""
-    pieces = materialise(cut(docs, path, capacity, end_id), "pieces")
+def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document.
+
+    ``chunk_bytes`` is what a worker may hold of known chunks: less costs time, never changes a result.
+    """
+    pieces = materialise(cut(docs, path, capacity, end_id, chunk_bytes), "pieces")
     counts = pieces.groupBy("part", "length").count()
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))

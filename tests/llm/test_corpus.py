@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 import corpus_pipeline
-from quillspan.llm import gridjoin, langid, pii, simhash, suffixdedup, topk
+from quillspan.llm import gridjoin, langid, packing, pii, simhash, suffixdedup, topk
 from quillspan.operators.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -327,6 +327,26 @@ def test_top_k_keeps_repeated_rows(spark, tmp_path):
     assert sorted(map(tuple, found)) == sorted(want) and [r[2] for r in sorted(want)[:3]] == [6, 6, 6]
 
 
+def test_packing_stage_holds_few_chunks(spark, docs, monkeypatch):
+    limits, pack = [], packing.pack
+
+    def noted(docs, path, chunk_bytes=packing.CHUNK_BYTES):
+        limits.append(chunk_bytes)
+        return pack(docs, path, chunk_bytes=chunk_bytes)
+
+    monkeypatch.setattr(corpus_pipeline, "pack", noted)
+    found = corpus_pipeline.packing(spark, docs, "").select("doc_id", "piece", "length", "ids_crc32")
+    assert sorted(map(str, found.collect())) == sorted(map(str, pack(docs, packing.tokenizer_path("word_bpe_49k.json")).select(*found.columns).collect()))
+    encode = packing.word_encoder(packing.tokenizer_path("word_bpe_49k.json"), limits[0])
+    chunks = ("".join(c) for c in itertools.product("abcdefghijklm", repeat=5))
+    tracemalloc.start()
+    while some := " ".join(itertools.islice(chunks, 10_000)):
+        encode(some)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20
+
+
 def test_pipeline(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
