@@ -31,8 +31,9 @@ from .common import discard, materialise, shared_dir, single_threaded_tokenizers
 from .workers import begin, kept
 
 SHARD_TOKENS = 1 << 20
-#: Bytes of memory for the pieces that a worker knows; it bounds memory and never changes a result.
-PIECE_BYTES = 320 << 20
+#: Bytes of memory for the pieces that a worker knows, and of texts that it cuts at once; they bound memory and never
+#: change a result.
+PIECE_BYTES, TEXT_BYTES = 320 << 20, 4 << 20
 BLOCK = 512
 MAGIC = b"QWM2"
 SHARD = "part int, shard int, part_start long, n_tokens long, file binary"
@@ -184,8 +185,8 @@ def read_shard(data: bytes):
     return doc_ids, np.unpackbits(absent, count=documents).view(bool), ends, WaveletMatrix(n, zeros, planes, ranks)
 
 
-def level_encoder(path: str, pattern: str):
-    """The worker's function from a text to id bytes for a byte-level vocabulary of the tokenizers library.
+def column_encoder(path: str, pattern: str):
+    """The worker's function from a column of texts to their id bytes for a byte-level vocabulary of the tokenizers library.
 
     The pattern cuts a text into words and the library's model encodes them; a text that holds an added token's string
     goes to the library as a whole.
@@ -194,12 +195,29 @@ def level_encoder(path: str, pattern: str):
     import regex
     from tokenizers import Tokenizer
 
-    from .pieces import ModelIds, PieceIds, library_ids
+    from .pieces import ColumnIds, ModelIds, PieceIds, library_ids
 
     library = Tokenizer.from_file(path)
     added = [t.content for t in library.get_added_tokens_decoder().values()]
     by_piece = PieceIds(regex.compile(pattern).findall, ModelIds(library), PIECE_BYTES)
-    return lambda text: library_ids(library, text) if any(a in text for a in added) else by_piece(text)
+    return ColumnIds(by_piece, lambda text: library_ids(library, text) if any(a in text for a in added) else by_piece(text), added)
+
+
+def level_encoder(path: str, pattern: str):
+    """The same for a single text."""
+    return column_encoder(path, pattern).encode
+
+
+def by_bytes(batch, size: int) -> Iterator:
+    """The batch in parts whose texts have at most ``size`` bytes, or that are one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends, k = np.cumsum(pc.binary_length(batch.column("text")).to_numpy().astype(np.int64)), 0
+    while k < batch.num_rows:
+        stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + size, "right")))
+        yield batch.slice(k, stop - k)
+        k = stop
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, end_id: int) -> DataFrame:
@@ -210,12 +228,12 @@ def encoded(docs: DataFrame, path: str, pattern: str, end_id: int) -> DataFrame:
         import pyarrow as pa
 
         begin("token shards")
-        encode, end = kept((path, pattern), lambda: level_encoder(path, pattern)), end_id.to_bytes(4, "little")
+        encode, end = kept((path, pattern), lambda: column_encoder(path, pattern)), end_id.to_bytes(4, "little")
         for batch in batches:
-            for k in range(0, batch.num_rows, 400):
-                some, rows = batch.slice(k, 400), []
-                for text in some.column("text").to_pylist():
-                    data = encode(text) + end
+            for some in by_bytes(batch, TEXT_BYTES):
+                rows = []
+                for data in encode(some.column("text")):
+                    data += end
                     ids = np.frombuffer(data, "<u4")
                     wide = bool(ids.max() >> 16)
                     rows.append((wide, data if wide else ids.astype("<u2").tobytes(), crc32(data)))

@@ -6,6 +6,7 @@ from types import SimpleNamespace
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import regex
@@ -209,3 +210,30 @@ def test_words_at_a_line_s_start_need_no_pattern(level):
     text = "One two, three.\nFour five\nSix. Über\nÜber, done!"
     assert encoder(text) == pieces.library_ids(library, text) and searched == ["\n"]
     assert encoder("Don't\n(a) b-c") == pieces.library_ids(library, "Don't\n(a) b-c") and len(searched) > 1
+
+
+@pytest.fixture(scope="module")
+def column():
+    return tokenfile.column_encoder(P.path("byte_bpe_50k.json"), P.PATTERN)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(texts, max_size=6))
+def test_columns_of_texts(level, column, some):
+    some = some + ODD + ["one two\nthree", "x", "a b\nc d"]
+    want = [e.ids for e in level[1].encode_batch(some, add_special_tokens=False)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["skipped", *some])], ["text"]).slice(1)
+    assert [numbers(x) for x in column(batch.column("text"))] == want
+    parts = list(tokenfile.by_bytes(batch, 20))
+    assert [numbers(x) for part in parts for x in column(part.column("text"))] == want
+    assert all(part.num_rows == 1 or sum(len(x.encode()) for x in part.column("text").to_pylist()) <= 20 for part in parts)
+    assert column(pa.array([], pa.string())) == []
+
+
+def test_a_column_s_pieces_are_looked_up_once(column, monkeypatch):
+    looked_up, found = [], pieces.ColumnIds._pieces
+    monkeypatch.setattr(pieces.ColumnIds, "_pieces", lambda self, some: looked_up.extend(some) or found(self, some))
+    monkeypatch.setattr(pieces.ColumnIds, "LONG", 2_000)
+    some = ["one two three\none two"] * 50 + ["one two " * 300 + "one"]
+    assert [numbers(x) for x in column(pa.array(some))] == [numbers(column.encode(x)) for x in some]
+    assert sorted(looked_up) == ["\0", "\0one", "\n", "three", "two"]
