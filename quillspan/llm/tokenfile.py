@@ -31,9 +31,9 @@ from .common import discard, materialise, shared_dir, single_threaded_tokenizers
 from .workers import begin, kept
 
 SHARD_TOKENS = 1 << 20
-#: Bytes of memory for the pieces that a worker knows, and of texts that it cuts at once; they bound memory and never
-#: change a result.
-PIECE_BYTES, TEXT_BYTES = 320 << 20, 4 << 20
+#: Bytes of memory for the pieces that a worker knows, for those of Latin letters, and of texts that it cuts at once; they
+#: bound memory and never change a result.
+PIECE_BYTES, WORD_BYTES, TEXT_BYTES = 320 << 20, 24 << 20, 8 << 20
 BLOCK = 512
 MAGIC = b"QWM2"
 SHARD = "part int, shard int, part_start long, n_tokens long, file binary"
@@ -200,7 +200,7 @@ def column_encoder(path: str, pattern: str):
     library = Tokenizer.from_file(path)
     added = [t.content for t in library.get_added_tokens_decoder().values()]
     by_piece = PieceIds(regex.compile(pattern).findall, ModelIds(library), PIECE_BYTES)
-    return ColumnIds(by_piece, lambda text: library_ids(library, text) if any(a in text for a in added) else by_piece(text), added)
+    return ColumnIds(by_piece, lambda text: library_ids(library, text) if any(a in text for a in added) else by_piece(text), added, WORD_BYTES)
 
 
 def level_encoder(path: str, pattern: str):

@@ -237,3 +237,16 @@ def test_a_column_s_pieces_are_looked_up_once(column, monkeypatch):
     some = ["one two three\none two"] * 50 + ["one two " * 300 + "one"]
     assert [numbers(x) for x in column(pa.array(some))] == [numbers(column.encode(x)) for x in some]
     assert sorted(looked_up) == ["\0", "\0one", "\n", "three", "two"]
+
+
+def test_latin_pieces_of_a_column_need_no_pattern(level):
+    library, searched = level[1], []
+    by_piece = pieces.PieceIds(lambda t: searched.append(t) or regex.findall(P.PATTERN, t), pieces.ModelIds(library))
+    some = ["Über... naïve!!\nŒuvre### (", "a-b c_d", "naïve$$$ a.b", "x\u00d7y \u00f7 \u00aa ß] ſ\u0149"]
+    column = pieces.ColumnIds(by_piece, by_piece, [])
+    want = [pieces.library_ids(library, x) for x in some]
+    assert column(pa.array(some)) == want
+    assert set(searched) == {"\n", " (", "a-b", " c_d", " a.b", "x\u00d7y", " \u00f7"}
+    assert sorted(column.table.words.to_pylist()) == sorted(["\0Über", "naïve", "\0Œuvre", "\0naïve", "ß", "ſ\u0149"])
+    column.table.limit = 0  # words go, results stay
+    assert [column(pa.array([x])) for x in some] == [[x] for x in want] and len(column.table.words) < 6
