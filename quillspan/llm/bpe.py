@@ -24,10 +24,12 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, tokenizer_path, with_text
+from .common import by_bytes, table, tokenizer_path, with_text
 from .workers import begin, kept
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: Bytes of texts that are cut at once.
+TEXT_BYTES = 8 << 20
 #: Bytes of a word that are contracted at once.
 PIECE = 64
 #: Bytes around a seam from which equal least pairs are contracted together rather than one by one.
@@ -229,13 +231,13 @@ class BpeEngine:
 
 
 def engine_for(path: str, pattern: str):
-    """A worker process's engine and text encoder for a rank file."""
+    """A worker process's engine and encoder of columns of texts for a rank file."""
     import regex
 
-    from .pieces import LevelEncoder
+    from .pieces import BatchColumnIds
 
     engine = BpeEngine(read_ranks(path))
-    return engine, LevelEncoder(regex.compile(pattern).findall, engine.encode_words)
+    return engine, BatchColumnIds(regex.compile(pattern).findall, engine.encode_words)
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -247,14 +249,12 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         begin("bpe")
         engine, encode = kept((path, pattern), lambda: engine_for(path, pattern))
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            step = 1000
-            for k in range(0, len(texts), step):
-                ids = encode(texts[k : k + step])
+            for some in by_bytes(batch, TEXT_BYTES):
+                ids = encode(some.column("text"))
                 decoded = engine.decode(ids)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(k, step),
+                        some.column("doc_id"),
                         pa.array([len(x) // 4 for x in ids], pa.int64()),
                         pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
                         pa.array([hashlib.sha256(x).hexdigest() for x in decoded]),

@@ -27,7 +27,7 @@ from zlib import crc32
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, shared_dir, single_threaded_tokenizers, table, tokenizer_path, with_text
+from .common import by_bytes, discard, materialise, shared_dir, single_threaded_tokenizers, table, tokenizer_path, with_text
 from .workers import begin, kept
 
 SHARD_TOKENS = 1 << 20
@@ -208,18 +208,6 @@ def level_encoder(path: str, pattern: str):
     return column_encoder(path, pattern).encode
 
 
-def by_bytes(batch, size: int) -> Iterator:
-    """The batch in parts whose texts have at most ``size`` bytes, or that are one row."""
-    import numpy as np
-    import pyarrow.compute as pc
-
-    ends, k = np.cumsum(pc.binary_length(batch.column("text")).to_numpy().astype(np.int64)), 0
-    while k < batch.num_rows:
-        stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + size, "right")))
-        yield batch.slice(k, stop - k)
-        k = stop
-
-
 def encoded(docs: DataFrame, path: str, pattern: str, end_id: int) -> DataFrame:
     """(doc_id, wide, ids, tie): each text's ids with the end id, 16 or 32 bits each (``wide``); ``tie`` orders rows of one id."""
 

@@ -250,3 +250,16 @@ def test_latin_pieces_of_a_column_need_no_pattern(level):
     assert sorted(column.table.words.to_pylist()) == sorted(["\0Über", "naïve", "\0Œuvre", "\0naïve", "ß", "ſ\u0149"])
     column.table.limit = 0  # words go, results stay
     assert [column(pa.array([x])) for x in some] == [[x] for x in want] and len(column.table.words) < 6
+
+
+def test_words_of_columns_are_contracted_once(ranks, monkeypatch):
+    contracted, found = [], bpe.BpeEngine.encode_words
+    monkeypatch.setattr(bpe.BpeEngine, "encode_words", lambda self, words: contracted.extend(words) or found(self, words))
+    _, encode = bpe.engine_for(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for some in (["one two, three", "naïve two"], ["two. three!!\none naïve", "", " two  one", "\x00 one"], ["two?\nthree; 漢字 12"]):
+        assert [numbers(x) for x in encode(some)] == [library.encode_ordinary(t) for t in some]
+    assert all(contracted.count(f" {w}") == 1 for w in ("three", "naïve"))
+    encode.table.limit = encode.others.cache.limit = 0  # what is held goes, results stay
+    for t in ODD:
+        assert [numbers(x) for x in encode([t, "one", t])] == [library.encode_ordinary(x) for x in (t, "one", t)]
