@@ -1,15 +1,28 @@
 """Embedding near-duplicates by an epsilon grid order join.
 
-Unit vectors with a cosine of at least c lie within epsilon = sqrt(2 - 2 c) of one another.  Vectors are rotated
-to principal dimensions and sorted by their cells in a grid of width epsilon over the leading ones.  The sequence
-is cut into intervals with boxes; pairs of intervals are joined recursively, first as tables of boxes with a
-fan-out of ``FAN``, then inside a task down to small blocks, and pairs whose boxes lie further apart than epsilon
-are skipped.  What remains is compared by matrix products in double precision.
+Unit vectors with a cosine of at least c lie within epsilon = sqrt(2 - 2 c) of one another.  Vectors are rotated to
+principal dimensions, which are dealt to up to ``GROUPS`` groups.  Of a linked pair, the squared distance in some group is at
+most that group's share of epsilon squared, so each group is joined by itself, with its own small radius.
+
+A group's leading dimensions carry a grid whose cells are at least twice as wide as the radius.  Vectors are put in the
+lexicographic order of their cells; intervals of that order, those of equal leading cells, are the tasks.  A task holds
+the vectors of its interval and meets each vector of the table with the cells near it, found dimension by dimension: the squared
+distances to the borders crossed add up, and what exceeds half the group's share is skipped.  Half is enough, as of two
+vectors on two sides of some borders one is that near to them.  What remains is compared by matrix products in the
+group's dimensions, and pairs found there by their whole vectors in double precision.
+
+Every task reads the one table of blocks from the shared folder, so vectors are shuffled once, when equal ones are brought
+together, and disk grows in proportion to the input.  The time of reading grows with the number of intervals.
+
+A pair may be found in several groups, and from either side.  It counts where its distance has the least part of the
+group's share, from the side that is nearer to the borders.  These are functions of the two vectors alone: coordinates
+are sums of whole numbers that double precision holds exactly, in whatever order a product adds them.
 
 Equal vectors are one class with a count, so a very common vector costs what one does.  A task adds up the links of
 each class and gives a spanning forest of them; no list of all pairs is made.  Links between classes make components.
 
-The principal dimensions come from a sample of ``SAMPLE`` classes chosen by hash; any rotation gives the same result.
+The rotation, the cuts of the grid and the sizes of intervals come from a random sample of about ``SAMPLE`` classes; any of
+them gives the same result.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing, and
 so do vectors of different lengths; equal rows count as several vectors; rows without an id have a null
@@ -21,277 +34,488 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from quillspan.operators.components import UnionFind, connected_components
+from quillspan.operators.components import connected_components
 
-from .common import materialise, table
+from .common import discard, materialise, table
 from .topk import is_sound
 
 SAMPLE = 4096
-#: Dimensions of the grid order, and of boxes, whose last one is the norm of what the leading ones leave.
-GRID_DIMS, BOX_DIMS = 6, 16
-LEADING = BOX_DIMS - 1
-BLOCK_ROWS, SMALL_ROWS, FAN = 4096, 256, 16
-SLACK = 1e-6
-
-
-def rotations(classes: DataFrame) -> dict:
-    """{dimension: rotation to principal dimensions}, fitted on the sample."""
-    import numpy as np
+#: Principal dimensions that are used, groups of them, and the rows up to which one group does.
+DIMS, GROUPS, ONE_GROUP = 128, 4, 1 << 14
+#: Most classes of a stored row, of at most ROW_BYTES; classes in a cell, about; bytes of an interval's vectors, about.
+BLOCK_ROWS, ROW_BYTES, SMALL_ROWS, INTERVAL_BYTES = 32, 1 << 14, 48, 1 << 26
+#: Bits of a coordinate; products of two and their sums stay whole below 2 ** 53.
+BITS = 25
+SLACK = 1e-5
+#: Queries that wait for one another, their visits to cells at once, and pairs that are looked at together.
+WAITING, VISITS, PAIRS = 1 << 14, 1 << 20, 1 << 17
 
-    found: dict = {}
-    for (v,) in classes.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE).collect():
-        found.setdefault(len(v), []).append(v)
-    out = {}
-    for dim, rows in found.items():
-        x = np.stack([as_doubles(v) for v in rows])
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        out[dim] = np.linalg.eigh(x.T @ x / len(x) - np.outer(x.mean(0), x.mean(0)))[1][:, ::-1]
-    return out
 
+def digests(vector: Column, salt: int) -> list[Column]:
+    """128 bits that stand for a vector as a key; ``classes_of`` makes sure that no two classes share them."""
+    return [F.xxhash64(F.lit(salt), vector), F.xxhash64(vector, F.lit(-1 - salt))]
 
-def as_doubles(vector: list[float]):
-    """A vector in double precision, scaled by a power of two so that no square overflows or vanishes; its direction is exact."""
-    import numpy as np
-
-    x = np.array(vector, np.float64)
-    return np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))
 
+def with_digests(rows: DataFrame, salt: int) -> DataFrame:
+    return rows.withColumns({f"h{i}": h for i, h in enumerate(digests(F.col("embedding"), salt))})
 
-def projected(classes: DataFrame, epsilon: float, bases: dict) -> DataFrame:
-    """``classes`` with ``dim``, the grid ``cells`` and the ``point``: ``LEADING`` principal coordinates and the norm of the rest.
 
-    Two vectors are as far apart at least as their points: the norms of the rests differ by no more than the rests do.
-    """
-    bases = {d: b[:, :LEADING] for d, b in bases.items()}
+def packed(classes: DataFrame) -> DataFrame:
+    """(block, dim, vectors, h0, h1, n, first): classes of one length in rows of up to ``BLOCK_ROWS``; a class is block * BLOCK_ROWS + its place."""
+    most, size, carried = BLOCK_ROWS, ROW_BYTES, ["h0", "h1", "n", "first"]
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
 
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            points, cells, dims = [], [], []
-            for v in batch.column("embedding").to_pylist():
-                x = as_doubles(v)
-                y = np.zeros(BOX_DIMS)
-                # a length that the sample lacks keeps its own leading dimensions
-                z = x @ bases[len(x)] if len(x) in bases else x[:LEADING]
-                y[: len(z)] = z / np.linalg.norm(x)
-                y[LEADING] = max(0.0, 1 - y @ y) ** 0.5
-                points.append(y)
-                cells.append(np.floor(y[:GRID_DIMS] / epsilon).astype(np.int32).tolist())
-                dims.append(len(x))
-            extra = [pa.array(dims, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array([p.tolist() for p in points], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "dim", "cells", "point"])
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema.fields)
-    return classes.mapInArrow(run, f"{kinds}, dim int, cells array<int>, point array<double>")
-
-
-def in_sequence(rows: DataFrame) -> DataFrame:
-    """``rows`` in grid order, cut into intervals: with their ``block`` and place ``pos`` in it; a block holds one ``dim``.
-
-    Tasks count their own rows; the driver adds up the counts, a row for each task and length of vectors.  So intervals
-    depend on the sequence alone and not on how many tasks sorted it.
-    """
+            lists = batch.column("embedding")
+            dims, starts, values = pc.list_value_length(lists).to_numpy(), lists.offsets.to_numpy()[:-1], lists.values.to_numpy()
+            for dim in np.unique(dims).tolist():
+                rows = np.flatnonzero(dims == dim)
+                vectors = values[starts[rows][:, None] + np.arange(dim)]
+                step = max(1, min(most, size // (dim * vectors.itemsize)))
+                cuts = np.append(np.arange(0, len(rows), step), len(rows)).astype(np.int32)
+                blobs = pa.array([vectors[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())
+                lists_of = [pa.ListArray.from_arrays(pa.array(cuts), batch.column(c).take(pa.array(rows))) for c in carried]
+                ids = pa.array(np.arange(block, block + len(blobs)), pa.int64())
+                block += len(blobs)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(blobs), dim, np.int32)), blobs, *lists_of], ["block", "dim", "vectors", *carried])
+
+    kinds = ", ".join(f"{c} array<{classes.schema[c].dataType.simpleString()}>" for c in carried)
+    return classes.mapInArrow(run, f"block long, dim int, vectors binary, {kinds}")
+
+
+def classes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks of the distinct vectors, the rows with digests that tell these apart)."""
+    salt = 0
+    while True:
+        keyed = with_digests(rows, salt)
+        blocks = materialise(packed(keyed.groupBy("h0", "h1", "embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))), "blocks")
+        keys = blocks.select(F.explode(F.arrays_zip("h0", "h1")).alias("h")).select("h.*")
+        if not keys.groupBy("h0", "h1").count().where("count > 1").head(1):
+            return blocks, keyed
+        discard(blocks)
+        salt += 1
+
+
+def sampled(blocks: DataFrame, share: float, kind: str) -> dict:
+    """{dimension: about that share of its vectors}"""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        part, place, last = TaskContext.get().partitionId(), 0, None
         for batch in batches:
-            places = []
-            for dim in batch.column("dim").to_pylist():
-                place, last = (place + 1 if dim == last else 0), dim
-                places.append(place)
-            extra = [pa.array(np.full(len(places), part, np.int32)), pa.array(places, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "part", "place"])
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    ordered = rows.repartitionByRange("dim", "cells", "embedding").sortWithinPartitions("dim", "cells", "embedding")
-    counted = materialise(ordered.mapInArrow(run, f"{kinds}, part int, place long"), "sequence")
-    starts, total, last = [], 0, None
-    for dim, part, n in sorted(tuple(r) for r in counted.groupBy("dim", "part").agg(F.max("place") + 1).collect()):
-        total = total if dim == last else -(-total // BLOCK_ROWS) * BLOCK_ROWS
-        starts.append((dim, part, total))
-        total, last = total + n, dim
-    bases = rows.sparkSession.createDataFrame(starts, "dim int, part int, base long")
-    placed = counted.join(F.broadcast(bases), ["dim", "part"]).withColumn("class", F.col("base") + F.col("place")).drop("part", "place", "base")
-    return placed.withColumns({"block": F.floor(F.col("class") / BLOCK_ROWS).cast("long"), "pos": F.col("class") % BLOCK_ROWS})
-
-
-def interval_pairs(boxes: DataFrame, count: int, epsilon: float) -> DataFrame:
-    """(a, b), a <= b: the pairs of intervals whose boxes are within epsilon; ``boxes`` are (block, dim, low, high).
-
-    The recursion starts from the whole sequence and joins the boxes of each level's children.
-    """
-    spark, levels = boxes.sparkSession, 0
-    while FAN**levels < count:
-        levels += 1
-    pairs = spark.createDataFrame([(0, 0)], "a long, b long")
-    for level in range(levels - 1, -1, -1):
-        some = boxes.withColumn("node", F.floor(F.col("block") / FAN**level).cast("long")).groupBy("node").agg(
-            F.min("dim").alias("dim_low"), F.max("dim").alias("dim_high"),
-            F.array(*(F.min(F.col("low")[i]) for i in range(BOX_DIMS))).alias("low"), F.array(*(F.max(F.col("high")[i]) for i in range(BOX_DIMS))).alias("high"),
-        )
-        children = F.sequence(F.lit(0).cast("long"), F.lit(FAN - 1).cast("long"))
-        pairs = pairs.withColumn("a", F.explode(F.transform(children, lambda i: F.col("a") * FAN + i))).withColumn("b", F.explode(F.transform(children, lambda i: F.col("b") * FAN + i)))
-        left = some.select(*(F.col(c).alias(f"{c}_a") for c in some.columns))
-        right = some.select(*(F.col(c).alias(f"{c}_b") for c in some.columns))
-        apart = F.zip_with(F.zip_with("low_a", "high_b", lambda x, y: x - y), F.zip_with("low_b", "high_a", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
-        near = F.aggregate(apart, F.lit(0.0), lambda s, x: s + x * x) <= (epsilon + SLACK) ** 2
-        met = pairs.where("a <= b").join(left, F.col("a") == F.col("node_a")).join(right, F.col("b") == F.col("node_b"))
-        pairs = met.where(near & F.expr("dim_low_a <= dim_high_b AND dim_low_b <= dim_high_a")).select("a", "b")
-        if level:
-            pairs = materialise(pairs, "intervals")
-    return pairs
-
-
-def join_blocks(a, b, same: bool, least: float, epsilon: float):
-    """(links of a's rows, links of b's rows, linked pairs that span all links) of two blocks.
-
-    A block is (vectors, weights, points) as arrays; ``same`` says that both are one block.
-    """
+            rng, found = np.random.default_rng(batch.column("block")[0].as_py()), ([], [])
+            for dim, blob in zip(batch.column("dim").to_pylist(), batch.column("vectors").to_pylist()):
+                x = np.frombuffer(blob, kind).reshape(-1, dim)
+                for v in x[rng.random(len(x)) < share]:
+                    found[0].append(dim)
+                    found[1].append(v.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int32()), pa.array(found[1], pa.binary())], ["dim", "vector"])
+
     import numpy as np
 
-    links, spanning = (np.zeros(len(a[0]), np.int64), np.zeros(len(b[0]), np.int64)), []
-    norms = [np.linalg.norm(x[0], axis=1) for x in (a, b)]
-    stack = [(0, len(a[0]), 0, len(b[0]))]
-    boxes: dict = {}
-
-    def box(side: int, points, i: int, j: int):
-        if (side, i, j) not in boxes:
-            boxes[side, i, j] = points[i:j].min(axis=0), points[i:j].max(axis=0)
-        return boxes[side, i, j]
-
-    while stack:
-        i, j, k, m = stack.pop()
-        if i == j or k == m or same and m <= i:
-            continue
-        (low_a, high_a), (low_b, high_b) = box(0, a[2], i, j), box(0 if same else 1, b[2], k, m)
-        gap = np.maximum(np.maximum(low_a - high_b, low_b - high_a), 0)
-        if gap @ gap > (epsilon + SLACK) ** 2:
-            continue
-        if max(j - i, m - k) > SMALL_ROWS:
-            if j - i >= m - k:
-                half = (i + j) // 2
-                stack += (i, half, k, m), (half, j, k, m)
-            else:
-                half = (k + m) // 2
-                stack += (i, j, k, half), (i, j, half, m)
-            continue
-        near = a[0][i:j] @ b[0][k:m].T / norms[0][i:j, None] / norms[1][None, k:m] >= least
-        if same:
-            near &= np.arange(i, j)[:, None] < np.arange(k, m)[None, :]
-        if not near.any():
-            continue
-        links[0][i:j] += near @ b[1][k:m]
-        links[1][k:m] += near.T @ a[1][i:j]
-        spanning += ((i + x, k + y) for x, y in spanning_links(near))
-    return *links, spanning
-
-
-def spanning_links(near):
-    """Row and column pairs that connect what the true entries of a matrix connect, at most one fewer than its lines."""
+    out: dict = {}
+    for dim, blob in blocks.select("block", "dim", "vectors").mapInArrow(run, "dim int, vector binary").collect():
+        out.setdefault(dim, []).append(np.frombuffer(blob, kind))
+    return {dim: np.stack(found) for dim, found in out.items()}
+
+
+def scaled(vectors):
+    """Vectors in double precision, scaled by powers of two so that no square overflows or vanishes, and their norms; directions are exact."""
+    import numpy as np
+
+    x = vectors.astype(np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+    return x, np.sqrt((x * x).sum(axis=1))
+
+
+def whole(unit):
     import numpy as np
 
-    rows_left, out = near.any(axis=1), []
-    while rows_left.any():
-        new_rows = np.zeros(len(near), bool)
-        new_rows[rows_left.argmax()] = True
-        columns = np.zeros(near.shape[1], bool)
-        while new_rows.any():
-            rows_left &= ~new_rows
-            at = np.flatnonzero(new_rows)
-            new_columns = near[at].any(axis=0) & ~columns
-            found = np.flatnonzero(new_columns)
-            if not len(found):
+    return np.rint(unit * 2.0**BITS)
+
+
+class Grid:
+    """The groups of the principal dimensions of vectors of one length, and a grid in each."""
+
+    def __init__(self, dim: int, count: int, sample, least: float, cells: float, groups: int):
+        import numpy as np
+
+        self.dim, self.least = dim, least
+        epsilon = (max(0.0, 2 - 2 * least)) ** 0.5 + SLACK
+        spread, base = np.zeros(dim), np.eye(dim)
+        if len(sample):
+            x, norms = scaled(sample)
+            x /= norms[:, None]
+            spread, base = np.linalg.eigh(x.T @ x / len(x) - np.outer(x.mean(0), x.mean(0)))
+            spread, base = np.maximum(spread[::-1], 0), base[:, ::-1]
+        spread, base = spread[:DIMS], base[:, :DIMS]
+        effective = spread.sum() ** 2 / max((spread**2).sum(), 1e-300)
+        n = int(np.clip(round(effective / 16), 1, groups)) if count > ONE_GROUP else 1
+        turns = np.arange(len(spread)) % (2 * n)
+        dealt = [np.flatnonzero(np.minimum(turns, 2 * n - 1 - turns) == g) for g in range(n)]
+        self.rotation = whole(np.ascontiguousarray(base[:, np.concatenate(dealt)]))
+        ends = np.cumsum([0, *map(len, dealt)]).tolist()
+        self.columns = list(zip(ends[:-1], ends[1:]))
+        shares = np.array([spread[d].sum() for d in dealt])
+        shares = shares / shares.sum() if shares.min() > 0 else np.full(n, 1 / n)
+        self.budgets = (shares * epsilon**2).tolist()
+        self.sample = self.coordinates(*scaled(sample)) if len(sample) else np.zeros((0, len(spread)))
+        self.cuts = [self.cut(self.sample[:, a:b], budget**0.5, count / cells) for (a, b), budget in zip(self.columns, self.budgets)]
+
+    @staticmethod
+    def cut(y, radius: float, cells: float) -> list:
+        """The cuts of the leading dimensions, those that make ``cells`` cells; as many in each as leave cells two radii wide."""
+        import numpy as np
+
+        out, made = [], 1
+        for x in y.T:
+            if made >= min(cells, 1 << 22) or len(x) < 2 or x.std() < 0.3 * radius:
                 break
-            out += zip(at[near[np.ix_(at, found)].argmax(axis=0)].tolist(), found.tolist())
-            columns |= new_columns
-            new_rows = near[:, found].any(axis=1) & rows_left
-            at = np.flatnonzero(new_rows)
-            out += zip(at.tolist(), found[near[np.ix_(at, found)].argmax(axis=1)].tolist())
-    return out
+            for n in range(16, 1, -1):
+                cuts = np.quantile(x, np.arange(1, n) / n)
+                if n == 2 or np.diff(cuts).min() >= 2 * radius:
+                    break
+            out.append(cuts)
+            made *= n
+        return out
+
+    def coordinates(self, x, norms, group: int | None = None):
+        """Principal coordinates, of one group or all, the same for a vector whatever rows stand beside it."""
+        a, b = self.columns[group] if group is not None else (0, self.rotation.shape[1])
+        return (whole(x / norms[:, None]) @ self.rotation[:, a:b]) * 2.0 ** (-2 * BITS)
+
+    def place(self, group: int, y, dims: int | None = None):
+        """(cell, squared distance to its lower border, to its upper one) of each vector, by dimension of the grid."""
+        import numpy as np
 
+        cuts = self.cuts[group][:dims]
+        cells, down, up = np.zeros((len(cuts), len(y)), np.int32), np.empty((len(cuts), len(y))), np.empty((len(cuts), len(y)))
+        for j, c in enumerate(cuts):
+            borders = np.concatenate(([-np.inf], c, [np.inf]))
+            cells[j] = np.searchsorted(c, y[:, j], "right")
+            down[j], up[j] = y[:, j] - borders[cells[j]], borders[cells[j] + 1] - y[:, j]
+        return cells, down * down, up * up
+
+    def intervals(self, count: int, width: int, least: int) -> list[tuple]:
+        """(group, leading cells, part, parts, classes in it, about): intervals of every group's order, at least ``least`` in all if the grid has them."""
+        import itertools
+
+        out, most = [], max(1, INTERVAL_BYTES // (self.dim * width))
+        for g, (a, b) in enumerate(self.columns):
+            lead, made = 0, 1
+            while lead < len(self.cuts[g]) and made < max(count / most, min(least / len(self.columns), count / 1024)):
+                made *= len(self.cuts[g][lead]) + 1
+                lead += 1
+            cells = self.place(g, self.sample[:, a:b], lead)[0]
+            for prefix in itertools.product(*(range(len(c) + 1) for c in self.cuts[g][:lead])):
+                held = count * (1 + int((cells.T == prefix).all(axis=1).sum())) / (1 + len(self.sample))
+                parts = -(-int(held) // most) or 1
+                out += ((g, prefix, i, parts, held / parts) for i in range(parts))
+        return out
+
+
+class Interval:
+    """The vectors of an interval in grid order, which the vectors of the whole table meet."""
+
+    def __init__(self, grid: Grid, group: int, prefix: tuple, part: int, parts: int):
+        import numpy as np
 
-def class_links(rows: DataFrame, least: float, epsilon: float) -> DataFrame:
-    """(src, dst, links): a class's added links with other classes (dst null), or a link of the spanning forest.
+        self.grid, self.group, self.prefix, self.part, self.parts = grid, group, prefix, part, parts
+        self.budget = grid.budgets[group]
+        #: More than half the share and the share, by what single precision may lose.
+        self.half, self.limit = self.budget / 2 * (1 + 1e-4) + 1e-7, np.float32(self.budget * (1 + 1e-4) + 2e-6)
+        self.held: list = []
+        self.ready, self.waiting, self.waits, self.step = False, [], 0, 1024
+        self.pairs: list = []
+        self.paired = 0
+
+    def hold(self, ids, weights, vectors, y) -> None:
+        """Keep what lies in the interval."""
+        import numpy as np
 
-    ``rows`` are (block, pos, dim, embedding, n, point); a class is block * BLOCK_ROWS + pos.
-    """
+        cells = self.grid.place(self.group, y, len(self.prefix))[0]
+        inside = (cells == np.array(self.prefix, np.int32)[:, None]).all(axis=0)
+        if self.parts > 1:
+            inside &= ids // 7 % self.parts == self.part
+        at = np.flatnonzero(inside)
+        if len(at):
+            self.held.append((ids[at], weights[at], vectors[at], y[at].astype(np.float32), self.grid.place(self.group, y[at])[0]))
 
-    kind = "<f4" if isinstance(rows.schema["embedding"].dataType.elementType, FloatType) else "<f8"
+    def order(self) -> None:
+        import numpy as np
 
-    def gather(batches: Iterator) -> Iterator:
+        self.ready, lead = True, len(self.prefix)
+        sizes = [len(c) + 1 for c in self.grid.cuts[self.group]]
+        self.strides = [int(np.prod(sizes[j + 1 :], dtype=np.int64)) for j in range(len(sizes))]
+        if not self.held:
+            return
+        self.ids, self.weights, self.vectors, y = (np.concatenate(x) for x in list(zip(*self.held))[:4])
+        cells = np.concatenate([h[4] for h in self.held], axis=1)
+        self.held = [True]
+        keys = np.zeros(len(self.ids), np.int64)
+        for j in range(lead, len(sizes)):
+            keys += cells[j].astype(np.int64) * self.strides[j]
+        order = np.argsort(keys, kind="stable")
+        self.ids, self.weights, self.vectors, y = (x[order] for x in (self.ids, self.weights, self.vectors, y))
+        found, first = np.unique(keys[order], return_index=True)
+        self.rank = np.full(int(np.prod(sizes[lead:], dtype=np.int64)), -1, np.int32)
+        self.rank[found] = np.arange(len(found))
+        self.bounds = np.append(first, len(order)).tolist()
+        self.points = np.concatenate((-2 * y, np.ones((len(y), 1), np.float32), (y * y).sum(axis=1, keepdims=True)), axis=1)
+        self.links = np.zeros(len(self.ids), np.int64)
+
+    def ask(self, ids, weights, vectors, y) -> Iterator:
+        """Meet more vectors; gives (class, links) of those asked."""
         import numpy as np
-        import pyarrow as pa
 
-        held: dict = {}
-        for batch in batches:
-            for block, pos, v, n, p in zip(*(batch.column(c).to_pylist() for c in ("block", "pos", "embedding", "n", "point"))):
-                held.setdefault(block, []).append((pos, as_doubles(v).astype(kind), n, np.array(p, "<f8")))
-        for block, found in held.items():
-            found.sort(key=lambda r: r[0])
-            vectors, weights, points = (np.stack([r[i] for r in found]) for i in (1, 2, 3))
-            blobs = [pa.array([x.tobytes()], pa.binary()) for x in (vectors, weights.astype("<i8"), points)]
-            boxes = [pa.array([x.tolist()], pa.list_(pa.float64())) for x in (points.min(axis=0), points.max(axis=0))]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([vectors.shape[1]], pa.int32()), *boxes, *blobs], ["block", "dim", "low", "high", "vectors", "weights", "points"])
-
-    dealt = rows.select("block", "pos", "embedding", "n", "point").repartition("block")
-    blocks = materialise(dealt.mapInArrow(gather, "block long, dim int, low array<double>, high array<double>, vectors binary, weights binary, points binary"), "blocks")
-    count = blocks.agg(F.max("block")).collect()[0][0]
-    pairs = materialise(interval_pairs(blocks.select("block", "dim", "low", "high"), 1 + (count or 0), epsilon), "interval-pairs")
-    left = blocks.select(F.col("block").alias("a"), "dim", *(F.col(c).alias(f"{c}_a") for c in ("vectors", "weights", "points")))
-    right = blocks.select(F.col("block").alias("b"), F.col("dim").alias("dim_b"), *(F.col(c).alias(f"{c}_b") for c in ("vectors", "weights", "points")))
-    met = pairs.join(left, "a").join(right, "b").where("dim = dim_b")
+        if not self.held:
+            return
+        lead, (cells, down, up) = len(self.prefix), self.grid.place(self.group, y)
+        left = np.full(len(ids), self.half)
+        for j, want in enumerate(self.prefix):
+            d = want - cells[j]
+            left -= np.where(d == 0, 0.0, np.where(d == 1, up[j], np.where(d == -1, down[j], np.inf)))
+        at = np.flatnonzero(left >= 0)
+        if not len(at):
+            return
+        y = y[at].astype(np.float32)
+        points = np.concatenate((y, (y * y).sum(axis=1, keepdims=True), np.ones((len(y), 1), np.float32)), axis=1)
+        self.waiting.append((ids[at], weights[at], vectors[at], points, left[at].astype(np.float32), cells[lead:, at], down[lead:, at].astype(np.float32), up[lead:, at].astype(np.float32)))
+        self.waits += len(at)
+        if self.waits >= WAITING:
+            yield from self.meet()
+
+    def meet(self) -> Iterator:
+        import numpy as np
+
+        if not self.waits:
+            return
+        columns = list(zip(*self.waiting))
+        self.waiting, self.waits = [], 0
+        ids, weights, vectors, points, left = (np.concatenate(c) for c in columns[:5])
+        grid_of = [np.concatenate(c, axis=1) for c in columns[5:]]
+        links, start = np.zeros(len(ids), np.int64), 0
+        while start < len(ids):
+            stop = min(len(ids), start + self.step)
+            at, rank = self.visits(start, stop, left, *grid_of)
+            self.step = int(np.clip((stop - start) * VISITS / max(1, len(at)), 64, 4 * self.step))
+            self.compare(at, rank, ids, weights, vectors, points, links)
+            start = stop
+        at = np.flatnonzero(links)
+        if len(at):
+            yield ids[at], links[at]
+
+    def visits(self, start: int, stop: int, left, cells, down, up):
+        """(query, cell) wherever the borders between them are near enough, by cell."""
+        import numpy as np
+
+        at, key, left = np.arange(start, stop, dtype=np.int32), np.zeros(stop - start, np.int32), left[start:stop]
+        for j, stride in enumerate(self.strides[len(self.prefix) :]):
+            here = cells[j][at]
+            if len(self.grid.cuts[self.group][len(self.prefix) + j]) == 1:
+                steps = [(np.where(cells[j] == 0, up[j], down[j]), None)]
+            else:
+                steps = [(down[j], -stride), (up[j], stride)]
+            found = [(at, key + here * np.int32(stride), left)]
+            for cost, by in steps:
+                rest = left - cost[at]
+                ok = np.flatnonzero(rest >= 0)
+                to = found[0][1][ok] + np.int32(by) if by else key[ok] + (1 - here[ok]) * np.int32(stride)
+                found.append((at[ok], to, rest[ok]))
+            at, key, left = (np.concatenate(c) for c in zip(*found))
+        rank = self.rank[key]
+        some = rank >= 0
+        at, rank = at[some], rank[some]
+        order = np.argsort(rank.astype(np.uint16) if len(self.bounds) <= 1 << 16 else rank, kind="stable")
+        return at[order], rank[order]
+
+    def compare(self, at, rank, ids, weights, vectors, points, links) -> None:
+        import numpy as np
+
+        found, n = [], 0
+        counts = np.bincount(rank, minlength=len(self.bounds) - 1)
+        ends = np.cumsum(counts).tolist()
+        for c in np.flatnonzero(counts).tolist():
+            queries = at[ends[c] - counts[c] : ends[c]]
+            for low in range(self.bounds[c], self.bounds[c + 1], 4096):
+                there = self.points[low : min(low + 4096, self.bounds[c + 1])]
+                width = len(there)
+                for k in range(0, len(queries), max(64, (1 << 19) // width)):
+                    some = queries[k : k + max(64, (1 << 19) // width)]
+                    near = np.flatnonzero((points[some] @ there.T).ravel() <= self.limit)
+                    if len(near):
+                        found.append((some[near // width], low + near % width))
+                        n += len(near)
+                        if n >= PAIRS:
+                            self.settle(found, ids, weights, vectors, links)
+                            found, n = [], 0
+        if n:
+            self.settle(found, ids, weights, vectors, links)
+
+    def settle(self, found, ids, weights, vectors, links) -> None:
+        """Count the pairs that are linked and whose place is here."""
+        import numpy as np
+
+        asked, held = (np.concatenate(c) for c in zip(*found))
+        other = ids[asked] != self.ids[held]
+        asked, held = asked[other], held[other]
+        grid, step = self.grid, max(256, (1 << 22) // (self.grid.dim * 5))
+        for k in range(0, len(asked), step):
+            q, t = asked[k : k + step], held[k : k + step]
+            (a, norm_a), (b, norm_b) = scaled(vectors[q]), scaled(self.vectors[t])
+            near = np.flatnonzero(np.einsum("ij,ij->i", a, b) / norm_a / norm_b >= grid.least)
+            q, t, a, b, norm_a, norm_b = (x[near] for x in (q, t, a, b, norm_a, norm_b))
+            y, z = grid.coordinates(a, norm_a), grid.coordinates(b, norm_b)
+            apart = np.ascontiguousarray((y - z).T) ** 2
+            parts = np.zeros((len(grid.columns), len(q)))
+            for g, (i, j) in enumerate(grid.columns):
+                for row in apart[i:j]:
+                    parts[g] += row
+                parts[g] /= grid.budgets[g]
+            i, j = grid.columns[self.group]
+            mine, costs = parts.argmin(axis=0) == self.group, np.zeros((2, len(q)))
+            (cells_y, *borders_y), (cells_z, *borders_z) = grid.place(self.group, y[:, i:j]), grid.place(self.group, z[:, i:j])
+            for d in range(len(cells_y)):
+                side = np.sign(cells_z[d] - cells_y[d])
+                costs[0] += np.where(side > 0, borders_y[1][d], np.where(side < 0, borders_y[0][d], 0.0))
+                costs[1] += np.where(side < 0, borders_z[1][d], np.where(side > 0, borders_z[0][d], 0.0))
+            mine &= (costs[0] < costs[1]) | (costs[0] == costs[1]) & (ids[q] < self.ids[t])
+            q, t = q[mine], t[mine]
+            np.add.at(links, q, self.weights[t])
+            np.add.at(self.links, t, weights[q])
+            self.pairs.append((ids[q], self.ids[t]))
+            self.paired += len(q)
+            if self.paired >= 4 * PAIRS:
+                self.pairs = [stars(*(np.concatenate(c) for c in zip(*self.pairs)))]
+                self.paired = len(self.pairs[0][0])
+
+    def result(self) -> Iterator:
+        """(class, links) of what it holds."""
+        import numpy as np
+
+        if self.held:
+            at = np.flatnonzero(self.links)
+            yield self.ids[at], self.links[at]
+
+
+def stars(a, b):
+    """(node, root) of every node that isn't the least of those that pairs connect it with."""
+    import numpy as np
+
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    u, v, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while (open_ := root[u] != root[v]).any():
+        u, v = u[open_], v[open_]
+        np.minimum.at(root, np.maximum(root[u], root[v]), np.minimum(root[u], root[v]))
+        while (root[root] != root).any():
+            root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[moved], nodes[root[moved]]
+
+
+def class_links(blocks: DataFrame, least: float, kind: str) -> DataFrame:
+    """(src, dst, links): a class's added links with other classes (dst null), or a link of a spanning forest."""
+    spark, shape, most = blocks.sparkSession, "src long, dst long, links long", BLOCK_ROWS
+    counts = {r["dim"]: r["classes"] for r in blocks.groupBy("dim").agg(F.sum(F.size("n")).alias("classes")).collect()}
+    total, cores, width = sum(counts.values()), spark.sparkContext.defaultParallelism, int(kind[-1])
+    if not total:
+        return spark.createDataFrame([], shape)
+    samples = sampled(blocks, SAMPLE / total, kind)
+    grids = {d: Grid(d, n, samples.get(d, ()), least, SMALL_ROWS, GROUPS) for d, n in counts.items()}
+    units = [(d, *unit) for d, n in sorted(counts.items()) for unit in grids[d].intervals(n, width, 4 * cores)]
+    for grid in grids.values():
+        grid.sample = None
+    sizes = [u[0] * width * u[-1] for u in units]
+    tasks, room = [], 0.0
+    for unit, size in zip(units, sizes):
+        if room < size:
+            tasks.append([])
+            room = max(size, min(INTERVAL_BYTES, sum(sizes) / (4 * cores)))
+        tasks[-1].append(unit[:5])
+        room -= size
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        def block(batch, i: int, side: str):
-            dim = batch.column("dim")[i].as_py()
-            vectors, weights, points = (batch.column(f"{c}_{side}")[i].as_py() for c in ("vectors", "weights", "points"))
-            return np.frombuffer(vectors, kind).reshape(-1, dim).astype(np.float64), np.frombuffer(weights, "<i8"), np.frombuffer(points, "<f8").reshape(-1, BOX_DIMS)
+        def out(src, links, dst=None):
+            return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.nulls(len(src), pa.int64()) if dst is None else pa.array(dst, pa.int64()), pa.array(links, pa.int64())], ["src", "dst", "links"])
 
+        units, held = None, 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                a, b = batch.column("a")[i].as_py(), batch.column("b")[i].as_py()
-                left, right, spanning = join_blocks(block(batch, i, "a"), block(batch, i, "b"), a == b, least, epsilon)
-                rows, sets = [], UnionFind()
-                for base, links in ((a * BLOCK_ROWS, left), (b * BLOCK_ROWS, right)):
-                    rows += ((base + int(k), None, int(links[k])) for k in np.flatnonzero(links))
-                for x, y in spanning:
-                    sets.union(a * BLOCK_ROWS + x, b * BLOCK_ROWS + y)
-                rows += ((x, y, 0) for x, y in sets.stars())
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 3)], ["src", "dst", "links"])
-
-    tasks = min(20_000, max(1, pairs.count()))
-    return materialise(met.repartition(tasks, "a", "b").mapInArrow(run, "src long, dst long, links long"), "links")
+            if units is None:
+                units = [(u[0], Interval(grids[u[0]], *u[1:])) for u in tasks[batch.column("task")[0].as_py()]]
+            turns, dims, blocks = (batch.column(c).to_numpy() for c in ("turn", "dim", "block"))
+            sizes = np.diff(batch.column("n").offsets.to_numpy())
+            for turn in (0, 1):
+                for dim in np.unique(dims[turns == turn]).tolist():
+                    mine = [u for d, u in units if d == dim]
+                    rows = np.flatnonzero((turns == turn) & (dims == dim))
+                    if turn == 0:
+                        held += int(sizes[rows].sum())
+                    elif held != total:
+                        raise RuntimeError(f"{held} of {total} classes came before those that ask")
+                    for some in np.split(rows, range(256, len(rows), 256)) if mine else ():
+                        part = batch.take(pa.array(some))
+                        vectors = np.frombuffer(b"".join(part.column("vectors").to_pylist()), kind).reshape(-1, dim)
+                        ids = np.repeat(blocks[some] * most, sizes[some]) + np.concatenate([np.arange(s) for s in sizes[some].tolist()])
+                        weights, directions = part.column("n").flatten().to_numpy(), scaled(vectors)
+                        y: dict = {}
+                        for u in mine:
+                            if u.group not in y:
+                                y[u.group] = u.grid.coordinates(*directions, u.group)
+                            if turn == 0:
+                                u.hold(ids, weights, vectors, y[u.group])
+                                continue
+                            if not u.ready:
+                                u.order()
+                            for src, links in u.ask(ids, weights, vectors, y[u.group]):
+                                yield out(src, links)
+        for _, u in units or ():
+            if u.ready:
+                for src, links in (*u.meet(), *u.result()):
+                    yield out(src, links)
+                if u.pairs:
+                    src, dst = stars(*(np.concatenate(c) for c in zip(*u.pairs)))
+                    yield out(src, np.zeros(len(src), np.int64), dst)
+
+    # each task is one pair of the product: the table of blocks twice, first to be held and then to ask, and a number
+    part = blocks.select("block", "dim", "vectors", "n")
+    twice = part.withColumn("turn", F.lit(0)).union(part.withColumn("turn", F.lit(1))).coalesce(1)
+    numbers = spark.range(0, len(tasks), 1, len(tasks)).withColumnRenamed("id", "task").hint("shuffle_replicate_nl")
+    return materialise(twice.crossJoin(numbers).mapInArrow(run, shape), "links")
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding)."""
-    epsilon = (2 - 2 * least) ** 0.5
     rows = vectors.select("vec_id", "embedding")
     sound = is_sound(F.col("embedding")) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    classes = materialise(rows.where("sound").groupBy("embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("first")), "classes")
-    placed = in_sequence(projected(classes, epsilon, rotations(classes)))
-    found = class_links(placed, least, epsilon)
+    single = isinstance(rows.schema["embedding"].dataType.elementType, FloatType)
+    typed = rows.where("sound").withColumn("embedding", F.col("embedding").cast("array<float>" if single else "array<double>"))
+    blocks, keyed = classes_of(typed.select("vec_id", "embedding"))
+    found = class_links(blocks, least, "<f4" if single else "<f8")
     links = found.where("dst IS NULL").groupBy(F.col("src").alias("class")).agg(F.sum("links").alias("others"))
     roots = connected_components(found.where("dst IS NOT NULL").select("src", "dst")).withColumnsRenamed({"node": "class", "component": "root"})
-    known = placed.select("class", "embedding", "n", "first").join(links, "class", "left").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    known = materialise(known, "known")
-    firsts = materialise(known.groupBy("root").agg(F.min("first").alias("component_id")), "firsts")
-    known = known.join(firsts, "root").select("embedding", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
-    linked = rows.where("sound").select("vec_id", "embedding").join(known, "embedding").select("vec_id", "n_links", "component_id")
+    classes = blocks.select("block", F.posexplode(F.arrays_zip("h0", "h1", "n", "first")).alias("pos", "c")).select((F.col("block") * BLOCK_ROWS + F.col("pos")).alias("class"), "c.*")
+    known = materialise(classes.join(links.join(roots, "class"), "class", "left").drop("class"), "known")
+    discard(blocks)
+    firsts = materialise(known.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("component_id")), "firsts")
+    joined = known.where("root IS NOT NULL").join(firsts, "root").select("h0", "h1", "n", "others", "component_id")
+    single_ones = known.where("root IS NULL").select("h0", "h1", "n", F.lit(0).cast("long").alias("others"), F.col("first").alias("component_id"))
+    known = joined.unionByName(single_ones).select("h0", "h1", (F.col("n") - 1 + F.col("others")).alias("n_links"), "component_id")
+    linked = keyed.select("vec_id", "h0", "h1").join(known, ["h0", "h1"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

@@ -300,6 +300,74 @@ def test_double_vectors(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 3), (5, 1, 5), (6, 1, 5)]
 
 
+def hard_vectors(spark, n: int = 900, dim: int = 64):
+    """Vectors without structure, near copies, and pairs in every direction with a cosine just above or below 0.95."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = rng.normal(size=(n // 2, dim)) * rng.exponential(size=(n // 2, dim))
+    d -= (d * x[: n // 2]).sum(axis=1, keepdims=True) * x[: n // 2]
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    c = 0.95 + rng.choice([-1e-7, 1e-7, 1e-3, -1e-3, 0.04], size=(n // 2, 1))
+    near = x[:1] + rng.normal(size=(60, dim)) * 0.01
+    x = np.concatenate((x, x[: n // 2] * c + d * (1 - c * c) ** 0.5, near, near[:20]))
+    return x, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+
+
+def brute_links(x):
+    """(links, least row reachable) by row."""
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    roots = brute_groups(len(x), lambda a, b: near[a, b])
+    return list(zip(near.sum(axis=1).tolist(), roots))
+
+
+def test_embedding_groups_and_intervals(spark, monkeypatch):
+    for name, n in (("ONE_GROUP", 0), ("SMALL_ROWS", 2), ("INTERVAL_BYTES", 1 << 15), ("WAITING", 256), ("VISITS", 1 << 12), ("PAIRS", 64)):
+        monkeypatch.setattr(gridjoin, name, n)
+    x, vectors = hard_vectors(spark)
+    found = gridjoin.near_vectors(vectors).orderBy("vec_id").collect()
+    assert [(r.n_links, r.component_id, r.kept) for r in found] == [(n, root, i == root) for i, (n, root) in enumerate(brute_links(x))]
+
+
+def test_embedding_join_moves_no_pairs(spark, monkeypatch):
+    plans, kept = {}, gridjoin.materialise
+
+    def recorded(df, what):
+        plans[what] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(df, what)
+
+    monkeypatch.setattr(gridjoin, "materialise", recorded)
+    assert gridjoin.near_vectors(hard_vectors(spark)[1]).count() == 1430
+    assert "Exchange" not in plans["links"]
+
+
+def test_embedding_intervals_skip_most_pairs():
+    rng, count = np.random.default_rng(2), 40_000
+    x = rng.normal(size=(count, 64)).astype(np.float32)
+    grid, compared = gridjoin.Grid(64, count, x[:4096], 0.95, 48, 4), 0
+    directions, asked = gridjoin.scaled(x), 400
+    assert len(grid.columns) == 4
+    for unit in grid.intervals(count, 4, 16):
+        held = gridjoin.Interval(grid, *unit[:4])
+        y = grid.coordinates(*directions, held.group)
+        held.hold(np.arange(count), np.ones(count, np.int64), x, y)
+        held.order()
+        list(held.ask(np.arange(asked), np.ones(asked, np.int64), x[:asked], y[:asked]))
+        _, _, _, _, left, *borders = (np.concatenate(c, axis=-1) for c in zip(*held.waiting))
+        compared += int(np.diff(held.bounds)[held.visits(0, len(left), left, *borders)[1]].sum())
+    assert compared < 0.3 * asked * count
+
+
+def test_embedding_keys_that_collide(spark, monkeypatch):
+    digests = gridjoin.digests
+    monkeypatch.setattr(gridjoin, "digests", lambda v, salt: [F.lit(7).cast("long")] * 2 if salt == 0 else digests(v, salt))
+    x, vectors = hard_vectors(spark, 60)
+    found = gridjoin.near_vectors(vectors).orderBy("vec_id").collect()
+    assert [(r.n_links, r.component_id) for r in found] == brute_links(x)
+
+
 def test_top_k(spark, monkeypatch):
     for name, n in (("SHARD_ROWS", 40), ("LEAF_ROWS", 4), ("QUERY_ROWS", 16), ("SHARDS_A_TASK", 2)):
         monkeypatch.setattr(topk, name, n)
