@@ -42,17 +42,18 @@ from quillspan.operators.components import connected_components
 
 from .common import discard, materialise, table
 from .topk import is_sound
+from .workers import begin, give_back
 
 SAMPLE = 4096
 #: Principal dimensions that are used, groups of them, and the rows up to which one group does.
 DIMS, GROUPS, ONE_GROUP = 128, 4, 1 << 14
 #: Most classes of a stored row, of at most ROW_BYTES; classes in a cell, about; bytes of an interval's vectors, about.
-BLOCK_ROWS, ROW_BYTES, SMALL_ROWS, INTERVAL_BYTES = 32, 1 << 14, 48, 1 << 26
+BLOCK_ROWS, ROW_BYTES, SMALL_ROWS, INTERVAL_BYTES = 16, 1 << 14, 160, 40 << 20
 #: Bits of a coordinate; products of two and their sums stay whole below 2 ** 53.
 BITS = 25
 SLACK = 1e-5
 #: Queries that wait for one another, their visits to cells at once, and pairs that are looked at together.
-WAITING, VISITS, PAIRS = 1 << 14, 1 << 20, 1 << 17
+WAITING, VISITS, PAIRS = 1 << 14, 1 << 18, 1 << 16
 
 
 def digests(vector: Column, salt: int) -> list[Column]:
@@ -135,14 +136,26 @@ def scaled(vectors):
     import numpy as np
 
     x = vectors.astype(np.float64)
-    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+    if vectors.dtype.itemsize > 4:  # squares of single precision fit
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x, np.sqrt((x * x).sum(axis=1))
 
 
-def whole(unit):
+def rough(vectors):
+    """Vectors and norms in single precision, of about the same directions."""
     import numpy as np
 
-    return np.rint(unit * 2.0**BITS)
+    if vectors.dtype.itemsize > 4:
+        x, norms = scaled(vectors)
+        return (x / norms[:, None]).astype(np.float32), np.ones(len(x), np.float32)
+    with np.errstate(over="ignore"):
+        norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+    odd = np.flatnonzero(~((norms > 1e-15) & (norms < 1e15)))
+    if len(odd):
+        x, exact = scaled(vectors[odd])
+        vectors = vectors.copy()
+        vectors[odd], norms[odd] = x / exact[:, None], 1
+    return vectors, norms
 
 
 class Grid:
@@ -164,9 +177,12 @@ class Grid:
         n = int(np.clip(round(effective / 16), 1, groups)) if count > ONE_GROUP else 1
         turns = np.arange(len(spread)) % (2 * n)
         dealt = [np.flatnonzero(np.minimum(turns, 2 * n - 1 - turns) == g) for g in range(n)]
-        self.rotation = whole(np.ascontiguousarray(base[:, np.concatenate(dealt)]))
+        self.rotation = np.rint(base[:, np.concatenate(dealt)] * 2.0**BITS)
         ends = np.cumsum([0, *map(len, dealt)]).tolist()
         self.columns = list(zip(ends[:-1], ends[1:]))
+        self.single = [(self.rotation[:, a:b] * 2.0**-BITS).astype(np.float32) for a, b in self.columns]
+        #: What single precision may lose in a coordinate.
+        self.tolerance = 1e-6 + 2e-8 * dim
         shares = np.array([spread[d].sum() for d in dealt])
         shares = shares / shares.sum() if shares.min() > 0 else np.full(n, 1 / n)
         self.budgets = (shares * epsilon**2).tolist()
@@ -192,20 +208,33 @@ class Grid:
 
     def coordinates(self, x, norms, group: int | None = None):
         """Principal coordinates, of one group or all, the same for a vector whatever rows stand beside it."""
+        import numpy as np
+
         a, b = self.columns[group] if group is not None else (0, self.rotation.shape[1])
-        return (whole(x / norms[:, None]) @ self.rotation[:, a:b]) * 2.0 ** (-2 * BITS)
+        x = x * (2.0**BITS / norms)[:, None]
+        return (np.rint(x, out=x) @ self.rotation[:, a:b]) * 2.0 ** (-2 * BITS)
+
+    def about(self, vectors, norms, group: int):
+        """Coordinates of one group in single precision."""
+        return (vectors @ self.single[group]) / norms[:, None]
 
-    def place(self, group: int, y, dims: int | None = None):
-        """(cell, squared distance to its lower border, to its upper one) of each vector, by dimension of the grid."""
+    def place(self, group: int, y, first: int = 0, last: int | None = None):
+        """(cell, squared distance to its lower border, to its upper one) of each vector, by dimension of the grid; with one cut, both are the distance to that."""
         import numpy as np
 
-        cuts = self.cuts[group][:dims]
-        cells, down, up = np.zeros((len(cuts), len(y)), np.int32), np.empty((len(cuts), len(y))), np.empty((len(cuts), len(y)))
+        cuts = self.cuts[group][first:last]
+        cells, down, up = np.empty((len(cuts), len(y)), np.int32), np.empty((len(cuts), len(y)), y.dtype), np.empty((len(cuts), len(y)), y.dtype)
         for j, c in enumerate(cuts):
-            borders = np.concatenate(([-np.inf], c, [np.inf]))
-            cells[j] = np.searchsorted(c, y[:, j], "right")
-            down[j], up[j] = y[:, j] - borders[cells[j]], borders[cells[j] + 1] - y[:, j]
-        return cells, down * down, up * up
+            x = y[:, first + j]
+            if len(c) == 1:
+                cells[j] = x >= c[0]
+                down[j] = (x - c[0]) ** 2
+                up[j] = down[j]
+            else:
+                borders = np.concatenate(([-np.inf], c, [np.inf]))
+                cells[j] = np.searchsorted(c, x, "right")
+                down[j], up[j] = (x - borders[cells[j]]) ** 2, (borders[cells[j] + 1] - x) ** 2
+        return cells, down, up
 
     def intervals(self, count: int, width: int, least: int) -> list[tuple]:
         """(group, leading cells, part, parts, classes in it, about): intervals of every group's order, at least ``least`` in all if the grid has them."""
@@ -217,7 +246,7 @@ class Grid:
             while lead < len(self.cuts[g]) and made < max(count / most, min(least / len(self.columns), count / 1024)):
                 made *= len(self.cuts[g][lead]) + 1
                 lead += 1
-            cells = self.place(g, self.sample[:, a:b], lead)[0]
+            cells = self.place(g, self.sample[:, a:b], 0, lead)[0]
             for prefix in itertools.product(*(range(len(c) + 1) for c in self.cuts[g][:lead])):
                 held = count * (1 + int((cells.T == prefix).all(axis=1).sum())) / (1 + len(self.sample))
                 parts = -(-int(held) // most) or 1
@@ -232,25 +261,30 @@ class Interval:
         import numpy as np
 
         self.grid, self.group, self.prefix, self.part, self.parts = grid, group, prefix, part, parts
-        self.budget = grid.budgets[group]
+        budget, lost = grid.budgets[group], grid.tolerance
         #: More than half the share and the share, by what single precision may lose.
-        self.half, self.limit = self.budget / 2 * (1 + 1e-4) + 1e-7, np.float32(self.budget * (1 + 1e-4) + 2e-6)
+        self.half = ((budget / 2) ** 0.5 + 5 * lost) ** 2 + 1e-6
+        self.limit = np.float32((budget**0.5 + 2 * grid.single[group].shape[1] ** 0.5 * lost) ** 2 + 4e-6)
         self.held: list = []
         self.ready, self.waiting, self.waits, self.step = False, [], 0, 1024
         self.pairs: list = []
-        self.paired = 0
+        self.paired, self.enough = 0, 4 * PAIRS
 
     def hold(self, ids, weights, vectors, y) -> None:
-        """Keep what lies in the interval."""
+        """Keep what lies in the interval; ``y`` are coordinates in single precision, the exact ones decide."""
         import numpy as np
 
-        cells = self.grid.place(self.group, y, len(self.prefix))[0]
-        inside = (cells == np.array(self.prefix, np.int32)[:, None]).all(axis=0)
-        if self.parts > 1:
-            inside &= ids // 7 % self.parts == self.part
+        inside = ids // 7 % self.parts == self.part if self.parts > 1 else np.ones(len(ids), bool)
+        for j, want in enumerate(self.prefix):
+            borders = [-np.inf, *self.grid.cuts[self.group][j], np.inf]
+            inside &= (y[:, j] >= borders[want] - self.grid.tolerance) & (y[:, j] <= borders[want + 1] + self.grid.tolerance)
         at = np.flatnonzero(inside)
-        if len(at):
-            self.held.append((ids[at], weights[at], vectors[at], y[at].astype(np.float32), self.grid.place(self.group, y[at])[0]))
+        y = self.grid.coordinates(*scaled(vectors[at]), self.group)
+        cells = self.grid.place(self.group, y)[0]
+        inside = (cells[: len(self.prefix)] == np.array(self.prefix, np.int32)[:, None]).all(axis=0)
+        if inside.any():
+            at = at[inside]
+            self.held.append((ids[at], weights[at], vectors[at], y[inside].astype(np.float32), cells[len(self.prefix) :, inside]))
 
     def order(self) -> None:
         import numpy as np
@@ -260,14 +294,15 @@ class Interval:
         self.strides = [int(np.prod(sizes[j + 1 :], dtype=np.int64)) for j in range(len(sizes))]
         if not self.held:
             return
-        self.ids, self.weights, self.vectors, y = (np.concatenate(x) for x in list(zip(*self.held))[:4])
-        cells = np.concatenate([h[4] for h in self.held], axis=1)
-        self.held = [True]
-        keys = np.zeros(len(self.ids), np.int64)
-        for j in range(lead, len(sizes)):
-            keys += cells[j].astype(np.int64) * self.strides[j]
+        keys = np.concatenate([(h[4].T * np.array(self.strides[lead:], np.int64)).sum(axis=1) for h in self.held])
         order = np.argsort(keys, kind="stable")
-        self.ids, self.weights, self.vectors, y = (x[order] for x in (self.ids, self.weights, self.vectors, y))
+        place, start = np.empty(len(order), np.int64), 0
+        place[order] = np.arange(len(order))
+        self.ids, self.weights, self.vectors, y = (np.empty((len(order), *x.shape[1:]), x.dtype) for x in self.held[0][:4])
+        for k, found in enumerate(self.held):  # one by one, so that little stands twice in memory
+            at = place[start : start + len(found[0])]
+            self.ids[at], self.weights[at], self.vectors[at], y[at] = found[:4]
+            self.held[k], start = True, start + len(at)
         found, first = np.unique(keys[order], return_index=True)
         self.rank = np.full(int(np.prod(sizes[lead:], dtype=np.int64)), -1, np.int32)
         self.rank[found] = np.arange(len(found))
@@ -281,17 +316,17 @@ class Interval:
 
         if not self.held:
             return
-        lead, (cells, down, up) = len(self.prefix), self.grid.place(self.group, y)
-        left = np.full(len(ids), self.half)
+        lead, left = len(self.prefix), np.full(len(ids), self.half, np.float32)
+        cells, down, up = self.grid.place(self.group, y, 0, lead)
         for j, want in enumerate(self.prefix):
             d = want - cells[j]
             left -= np.where(d == 0, 0.0, np.where(d == 1, up[j], np.where(d == -1, down[j], np.inf)))
         at = np.flatnonzero(left >= 0)
         if not len(at):
             return
-        y = y[at].astype(np.float32)
+        y = y[at]
         points = np.concatenate((y, (y * y).sum(axis=1, keepdims=True), np.ones((len(y), 1), np.float32)), axis=1)
-        self.waiting.append((ids[at], weights[at], vectors[at], points, left[at].astype(np.float32), cells[lead:, at], down[lead:, at].astype(np.float32), up[lead:, at].astype(np.float32)))
+        self.waiting.append((ids[at], weights[at], vectors[at], points, left[at], *self.grid.place(self.group, y, lead)))
         self.waits += len(at)
         if self.waits >= WAITING:
             yield from self.meet()
@@ -322,23 +357,24 @@ class Interval:
 
         at, key, left = np.arange(start, stop, dtype=np.int32), np.zeros(stop - start, np.int32), left[start:stop]
         for j, stride in enumerate(self.strides[len(self.prefix) :]):
-            here = cells[j][at]
+            here = cells[j].take(at)
             if len(self.grid.cuts[self.group][len(self.prefix) + j]) == 1:
-                steps = [(np.where(cells[j] == 0, up[j], down[j]), None)]
+                steps = [(down[j], None)]
             else:
                 steps = [(down[j], -stride), (up[j], stride)]
             found = [(at, key + here * np.int32(stride), left)]
             for cost, by in steps:
-                rest = left - cost[at]
+                rest = left - cost.take(at)
                 ok = np.flatnonzero(rest >= 0)
-                to = found[0][1][ok] + np.int32(by) if by else key[ok] + (1 - here[ok]) * np.int32(stride)
-                found.append((at[ok], to, rest[ok]))
+                to = found[0][1].take(ok) + np.int32(by) if by else key.take(ok) + (1 - here.take(ok)) * np.int32(stride)
+                found.append((at.take(ok), to, rest.take(ok)))
             at, key, left = (np.concatenate(c) for c in zip(*found))
-        rank = self.rank[key]
-        some = rank >= 0
-        at, rank = at[some], rank[some]
+        rank = self.rank.take(key)
+        if len(self.bounds) <= len(self.rank):
+            some = np.flatnonzero(rank >= 0)
+            at, rank = at.take(some), rank.take(some)
         order = np.argsort(rank.astype(np.uint16) if len(self.bounds) <= 1 << 16 else rank, kind="stable")
-        return at[order], rank[order]
+        return at.take(order), rank.take(order)
 
     def compare(self, at, rank, ids, weights, vectors, points, links) -> None:
         import numpy as np
@@ -353,7 +389,7 @@ class Interval:
                 width = len(there)
                 for k in range(0, len(queries), max(64, (1 << 19) // width)):
                     some = queries[k : k + max(64, (1 << 19) // width)]
-                    near = np.flatnonzero((points[some] @ there.T).ravel() <= self.limit)
+                    near = np.flatnonzero((points.take(some, axis=0) @ there.T).ravel() <= self.limit)
                     if len(near):
                         found.append((some[near // width], low + near % width))
                         n += len(near)
@@ -372,12 +408,13 @@ class Interval:
         asked, held = asked[other], held[other]
         grid, step = self.grid, max(256, (1 << 22) // (self.grid.dim * 5))
         for k in range(0, len(asked), step):
-            q, t = asked[k : k + step], held[k : k + step]
-            (a, norm_a), (b, norm_b) = scaled(vectors[q]), scaled(self.vectors[t])
-            near = np.flatnonzero(np.einsum("ij,ij->i", a, b) / norm_a / norm_b >= grid.least)
-            q, t, a, b, norm_a, norm_b = (x[near] for x in (q, t, a, b, norm_a, norm_b))
+            (asking, q), (holding, t) = (np.unique(x[k : k + step], return_inverse=True) for x in (asked, held))
+            (a, norm_a), (b, norm_b) = scaled(vectors.take(asking, axis=0)), scaled(self.vectors.take(holding, axis=0))
+            near = np.flatnonzero(np.einsum("ij,ij->i", a.take(q, axis=0), b.take(t, axis=0)) / norm_a[q] / norm_b[t] >= grid.least)
+            q, t = q[near], t[near]
             y, z = grid.coordinates(a, norm_a), grid.coordinates(b, norm_b)
-            apart = np.ascontiguousarray((y - z).T) ** 2
+            apart = np.ascontiguousarray((y.take(q, axis=0) - z.take(t, axis=0)).T)
+            apart *= apart
             parts = np.zeros((len(grid.columns), len(q)))
             for g, (i, j) in enumerate(grid.columns):
                 for row in apart[i:j]:
@@ -387,18 +424,20 @@ class Interval:
             mine, costs = parts.argmin(axis=0) == self.group, np.zeros((2, len(q)))
             (cells_y, *borders_y), (cells_z, *borders_z) = grid.place(self.group, y[:, i:j]), grid.place(self.group, z[:, i:j])
             for d in range(len(cells_y)):
-                side = np.sign(cells_z[d] - cells_y[d])
-                costs[0] += np.where(side > 0, borders_y[1][d], np.where(side < 0, borders_y[0][d], 0.0))
-                costs[1] += np.where(side < 0, borders_z[1][d], np.where(side > 0, borders_z[0][d], 0.0))
+                side = cells_z[d][t] - cells_y[d][q]
+                costs[0] += np.where(side > 0, borders_y[1][d][q], np.where(side < 0, borders_y[0][d][q], 0.0))
+                costs[1] += np.where(side < 0, borders_z[1][d][t], np.where(side > 0, borders_z[0][d][t], 0.0))
+            q, t = asking[q], holding[t]
             mine &= (costs[0] < costs[1]) | (costs[0] == costs[1]) & (ids[q] < self.ids[t])
             q, t = q[mine], t[mine]
             np.add.at(links, q, self.weights[t])
             np.add.at(self.links, t, weights[q])
             self.pairs.append((ids[q], self.ids[t]))
             self.paired += len(q)
-            if self.paired >= 4 * PAIRS:
+            if self.paired >= self.enough:
                 self.pairs = [stars(*(np.concatenate(c) for c in zip(*self.pairs)))]
                 self.paired = len(self.pairs[0][0])
+                self.enough = max(self.enough, 2 * self.paired)
 
     def result(self) -> Iterator:
         """(class, links) of what it holds."""
@@ -452,10 +491,13 @@ def class_links(blocks: DataFrame, least: float, kind: str) -> DataFrame:
         def out(src, links, dst=None):
             return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.nulls(len(src), pa.int64()) if dst is None else pa.array(dst, pa.int64()), pa.array(links, pa.int64())], ["src", "dst", "links"])
 
-        units, held = None, 0
-        for batch in batches:
-            if units is None:
-                units = [(u[0], Interval(grids[u[0]], *u[1:])) for u in tasks[batch.column("task")[0].as_py()]]
+        begin("op3")
+        units, held, batches = [], 0, iter(batches)
+
+        def taken(batch) -> Iterator:
+            nonlocal held
+            if not units:
+                units.extend((u[0], Interval(grids[u[0]], *u[1:])) for u in tasks[batch.column("task")[0].as_py()])
             turns, dims, blocks = (batch.column(c).to_numpy() for c in ("turn", "dim", "block"))
             sizes = np.diff(batch.column("n").offsets.to_numpy())
             for turn in (0, 1):
@@ -470,11 +512,11 @@ def class_links(blocks: DataFrame, least: float, kind: str) -> DataFrame:
                         part = batch.take(pa.array(some))
                         vectors = np.frombuffer(b"".join(part.column("vectors").to_pylist()), kind).reshape(-1, dim)
                         ids = np.repeat(blocks[some] * most, sizes[some]) + np.concatenate([np.arange(s) for s in sizes[some].tolist()])
-                        weights, directions = part.column("n").flatten().to_numpy(), scaled(vectors)
+                        weights, directions = part.column("n").flatten().to_numpy(), rough(vectors)
                         y: dict = {}
                         for u in mine:
                             if u.group not in y:
-                                y[u.group] = u.grid.coordinates(*directions, u.group)
+                                y[u.group] = u.grid.about(*directions, u.group)
                             if turn == 0:
                                 u.hold(ids, weights, vectors, y[u.group])
                                 continue
@@ -482,7 +524,12 @@ def class_links(blocks: DataFrame, least: float, kind: str) -> DataFrame:
                                 u.order()
                             for src, links in u.ask(ids, weights, vectors, y[u.group]):
                                 yield out(src, links)
-        for _, u in units or ():
+
+        while (batch := next(batches, None)) is not None:
+            yield from taken(batch)
+            batch = None  # not kept while the next one is read
+            give_back()
+        for _, u in units:
             if u.ready:
                 for src, links in (*u.meet(), *u.result()):
                     yield out(src, links)

@@ -347,11 +347,11 @@ def test_embedding_intervals_skip_most_pairs():
     rng, count = np.random.default_rng(2), 40_000
     x = rng.normal(size=(count, 64)).astype(np.float32)
     grid, compared = gridjoin.Grid(64, count, x[:4096], 0.95, 48, 4), 0
-    directions, asked = gridjoin.scaled(x), 400
+    directions, asked = gridjoin.rough(x), 400
     assert len(grid.columns) == 4
     for unit in grid.intervals(count, 4, 16):
         held = gridjoin.Interval(grid, *unit[:4])
-        y = grid.coordinates(*directions, held.group)
+        y = grid.about(*directions, held.group)
         held.hold(np.arange(count), np.ones(count, np.int64), x, y)
         held.order()
         list(held.ask(np.arange(asked), np.ones(asked, np.int64), x[:asked], y[:asked]))
